@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import shards, sstable
+from . import packing, rules, shards, sstable
 from .common import prepare, table
 
 
@@ -10,6 +10,14 @@ def _docs(spark, sf_dir):
     return table(prepare(spark), sf_dir, "documents")
 
 
+def op2_isolation_rules(spark, sf_dir):
+    return rules.op2(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op3_mixture_packing(spark, sf_dir):
+    return packing.op3(_docs(spark, sf_dir))
+
+
 def op6_token_sstable(spark, sf_dir):
     return sstable.op6(_docs(spark, sf_dir))
 
