@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, rules, shards, sstable
+from . import decontam, langid, packing, rules, shards, sstable
 from .common import prepare, table
 
 
@@ -18,6 +18,10 @@ def op3_mixture_packing(spark, sf_dir):
     return packing.op3(_docs(spark, sf_dir))
 
 
+def op4_prefix_decontamination(spark, sf_dir):
+    return decontam.op4(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_sstable(spark, sf_dir):
     return sstable.op6(_docs(spark, sf_dir))
 
@@ -26,9 +30,13 @@ def op7_lpt_shards(spark, sf_dir):
     return shards.op7(_docs(spark, sf_dir))
 
 
+def op9_viterbi_language(spark, sf_dir):
+    return langid.op9(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_prefix_decontamination": decontam.ORACLE}
