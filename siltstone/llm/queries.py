@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, packing, rules, shards, sstable
+from . import decontam, langid, ordinal, packing, rules, shards, sstable
 from .common import prepare, table
 
 
@@ -30,6 +30,10 @@ def op7_lpt_shards(spark, sf_dir):
     return shards.op7(_docs(spark, sf_dir))
 
 
+def op8_ordinal_quality(spark, sf_dir):
+    return ordinal.op8(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_viterbi_language(spark, sf_dir):
     return langid.op9(_docs(spark, sf_dir))
 
