@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, ordinal, packing, rules, shards, sstable
+from . import decontam, langid, minhash, ordinal, packing, rules, shards, sstable
 from .common import prepare, table
 
 
@@ -10,6 +10,10 @@ def _docs(spark, sf_dir):
     return table(prepare(spark), sf_dir, "documents")
 
 
+def op1_circulant_minhash(spark, sf_dir):
+    return minhash.op1(_docs(spark, sf_dir))
+
+
 def op2_isolation_rules(spark, sf_dir):
     return rules.op2(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
 
