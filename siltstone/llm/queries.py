@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minhash, ordinal, packing, rules, shards, sstable
+from . import decontam, langid, minhash, ordinal, packing, rules, shards, sstable, suffixes
 from .common import prepare, table
 
 
@@ -42,6 +42,10 @@ def op9_viterbi_language(spark, sf_dir):
     return langid.op9(_docs(spark, sf_dir))
 
 
+def op10_suffix_merge(spark, sf_dir):
+    return suffixes.op10(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
