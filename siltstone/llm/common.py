@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch; whole texts travel, so batches are kept small.
-BATCH_ROWS = 512
+BATCH_ROWS = 2048
 #: Bytes that a numpy kernel works on at once (8 bytes of scratch for each).
 CHUNK = 1 << 20
 
@@ -24,6 +24,7 @@ CHUNK = 1 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that carry texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 
@@ -156,6 +157,22 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct hash, and for each place which of these it equals; far faster than np.unique.
+
+    One sort of hash prefixes with the place in the low bits. A hash may be
+    listed more than once if another shares its prefix.
+    """
+    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    ranked = h[order]
+    fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(h)]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    return order[fresh], back
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """The text of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

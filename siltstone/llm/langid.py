@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, hashes, mix, prepare, runs, text_bytes
+from .common import LOWER, chunks, distinct, hashes, mix, prepare, runs, text_bytes
 
 #: Training rows at most (those of the least hash of doc_id), n-gram buckets, lengths of n-grams in bytes, languages at most.
 SAMPLE, BUCKETS, LENGTHS, LANGUAGES = 20_000, 1 << 17, (1, 2, 3, 4), 255
@@ -168,8 +168,7 @@ def label(docs: DataFrame, model: tuple, switch: float = SWITCH, spans: bool = F
                 part = LOWER[data[offs[i] : offs[j]]]
                 starts, ends, first = runs(part, offs[i : j + 1] - offs[i], _SEP)
                 if len(starts) and langs:
-                    key = hashes(part, starts, ends)
-                    _, one, back = np.unique(key, return_index=True, return_inverse=True)
+                    one, back = distinct(hashes(part, starts, ends))
                     bucket, word = _ngrams(part, starts[one], ends[one])
                     per = np.stack([np.bincount(word, logp[bucket, x], len(one)) for x in range(len(langs))], 1)
                     per += penalty[_SCRIPT[part[starts[one]]]]

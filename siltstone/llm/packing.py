@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare
+from .common import cut, new_path, prepare
 from .tokens import encoder, vocabulary
 
 #: Fraction bits of a quantum.
@@ -40,6 +40,8 @@ FIX = 20
 LEAST = 1 / 1024
 #: Windows of a phase; more are split, so that products fit 63 bits.
 LONGEST = 1 << 30
+#: Rows (of some 50 bytes) of the table of queue positions up to which it is broadcast.
+SENT = 200_000
 
 
 @dataclass
@@ -142,8 +144,9 @@ def tokenize(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
         for batch in batches:
             ids, n, at = [], [], []
             sources = batch.column(2).to_pylist()
-            for text, source in zip(batch.column(1), sources, strict=True):
-                x = enc.text(text.as_buffer().to_pybytes() if text.is_valid else b"") + end
+            every, first = enc.batch(batch.column(1))
+            for i, j, source in zip(first[:-1].tolist(), first[1:].tolist(), sources, strict=True):
+                x = every[i:j].tobytes() + end
                 ids.append(x)
                 n.append(len(x) // enc.dtype.itemsize)
                 at.append(ahead.get(source, 0))
@@ -171,7 +174,7 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
     vocab = vocab or vocabulary()
     spark = docs.sparkSession
     tok = tokenize(docs, vocab, end_id)
-    per = tok.groupBy("part", "source").agg(F.sum("n").alias("n"))
+    per = cut(tok.groupBy("part", "source").agg(F.sum("n").alias("n")))
     width = encoder(vocab).dtype.str
     whole = per.agg(F.sum("n")).first()[0] or 0
     named = [F.col("source").isin(list(mixture))] if mixture else [F.col("t") >= whole * LEAST]
@@ -191,6 +194,8 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
         queue = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), i).otherwise(queue)
     before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
     bases = per.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("part").alias("_p"), F.col("source").alias("_s"), "queue", "base")
+    if per.count() <= SENT:  # one row for each task and source; beyond it the join shuffles
+        bases = F.broadcast(bases)
     placed = tok.join(bases, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "queue", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
     plan = spark.sparkContext.broadcast(schedule(totals, weight, window))
 

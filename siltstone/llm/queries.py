@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minhash, ordinal, packing, rules, shards, sstable, suffixes
+from . import decontam, langid, minhash, ordinal, packing, passages, rules, shards, sstable, suffixes
 from .common import prepare, table
 
 
@@ -26,6 +26,10 @@ def op4_prefix_decontamination(spark, sf_dir):
     return decontam.op4(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op5_chained_passages(spark, sf_dir):
+    return passages.op5(_docs(spark, sf_dir))
+
+
 def op6_token_sstable(spark, sf_dir):
     return sstable.op6(_docs(spark, sf_dir))
 

@@ -199,12 +199,13 @@ def write(docs: DataFrame, uri: str, vocab: str | None = None, end_id: int = 2)
         beside, final = f"{base}/_tmp-{TaskContext.get().taskAttemptId()}", f"{base}/shard-{part:06d}.sst"
         end, writer, out, first = np.array([end_id], enc.dtype).tobytes(), None, None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, first = enc.batch(batch.column(1))
+            for doc_id, i, j in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(beside)
                     writer, first = Writer(out, enc.dtype.itemsize), key_of(doc_id)
-                writer.add(key_of(doc_id), enc.text(text.as_buffer().to_pybytes() if text.is_valid else b"") + end)
+                writer.add(key_of(doc_id), ids[i:j].tobytes() + end)
         if writer is not None:
             writer.close()
             out.close()

@@ -8,12 +8,15 @@ words whole); everything else goes through the library's full encode().
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 
-#: Words that a worker remembers; the memo starts anew beyond it.
-MEMO = 300_000
+from .common import SPACES, chunks, distinct, hashes, runs, text_bytes
+
+#: Words that a worker remembers in each of two memos, and at most as many older ones.
+MEMO = 250_000
 _PLAIN = re.compile(rb"[a-z]+")
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = b".,;:!?"
@@ -34,14 +37,12 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[bytes, bytes] = {}
         import json
 
         spec = json.load(open(path, encoding="utf-8"))
         kinds = str((spec.get("normalizer"), spec.get("pre_tokenizer")))
         #: The short cuts hold for this shape of tokenizer only.
         self.short = "Lowercase" in kinds and "ByteLevel" in kinds and "[\\\\p{L}]+|" in kinds and (spec["model"].get("end_of_word_suffix") or "") == "</w>"
-        self.spaced = self.short
         from tokenizers.pre_tokenizers import ByteLevel
 
         bytelevel = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -50,52 +51,84 @@ class Encoder:
             for ch in map(chr, range(0xDF, 0x100)):
                 self.to_chars[ord(ch)] = bytelevel.pre_tokenize_str(ch)[0][0]
 
-    def _ids(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        width = self.dtype.itemsize
+        self.packed = [i.to_bytes(width, "little") for i in range(self.full.get_vocab_size())]
+        self.memo = _Memo(self.word)
+        self.cores = _Memo(self._encode)
 
     def word(self, raw: bytes) -> bytes:
         core = raw.rstrip(_TAIL)
         if core and core != raw:
-            low = core.lower() if core.isascii() else core
-            end = chr(core[-1]) if core[-1] < 128 else core.decode("utf-8", "replace")[-1]
-            if end.isalpha() or end in "0123456789":
-                tail = raw[len(core) :]
-                return self._memo(low) + self._memo(tail)
-        if raw.isascii() and raw != (low := raw.lower()):
-            return self._memo(low) if b"<|" not in raw else self._encode(raw)
+            last = chr(core[-1]) if core[-1] < 128 else core.decode("utf-8", "replace")[-1]
+            if last.isalpha() or last in "0123456789":
+                return self.cores[core.lower() if core.isascii() and b"<|" not in core else core] + self.cores[raw[len(core) :]]
+        if raw.isascii() and b"<|" not in raw:
+            return self.cores[raw.lower()]
         return self._encode(raw)
 
-    def _memo(self, raw: bytes) -> bytes:
-        got = self.memo.get(raw)
-        if got is None:
-            got = self.memo[raw] = self._encode(raw)
-        return got
-
     def _encode(self, raw: bytes) -> bytes:
+        packed = self.packed
         if self.short:
             if _PLAIN.fullmatch(raw):
-                return self._ids([t.id for t in self.model.tokenize(raw.decode())])
+                return b"".join([packed[t.id] for t in self.model.tokenize(raw.decode())])
             text = raw.decode("utf-8", "replace")
             if _LATIN.fullmatch(low := text.lower()) and len(low) == len(text):
-                return self._ids([t.id for t in self.model.tokenize(low.translate(self.to_chars))])
-            return self._ids(self.full.encode(text, add_special_tokens=False).ids)
-        return self._ids(self.full.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids)
+                return b"".join([packed[t.id] for t in self.model.tokenize(low.translate(self.to_chars))])
+        else:
+            text = raw.decode("utf-8", "replace")
+        return b"".join([packed[i] for i in self.full.encode(text, add_special_tokens=False).ids])
 
     def text(self, raw: bytes) -> bytes:
         """The ids of a whole UTF-8 text."""
-        if not self.spaced:
+        if not self.short:
             return self._encode(raw)
-        words, memo = raw.split(), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self.word(w)
-        return b"".join([memo[w] for w in words])
+        return b"".join(map(self.memo.__getitem__, raw.split()))
+
+    def batch(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow string column, one text after another, and where each text's begin (one more entry than texts); null is empty.
+
+        Equal words of a batch are looked up once: a memo of this size misses
+        the processor's caches, which costs more than sorting word hashes.
+        """
+        data, offs = text_bytes(column)
+        ids, counts = [np.empty(0, self.dtype)], [np.zeros(1, np.int64)]
+        for i, j in chunks(offs, 8 << 20):
+            part = data[offs[i] : offs[j]]
+            if not self.short:
+                got = [self._encode(part[a:b].tobytes()) for a, b in itertools.pairwise((offs[i : j + 1] - offs[i]).tolist())]
+                ids.append(np.frombuffer(b"".join(got), self.dtype))
+                counts.append(np.array([len(x) for x in got], np.int64) // self.dtype.itemsize)
+                continue
+            starts, ends, first = runs(part, offs[i : j + 1] - offs[i], SPACES)
+            one, back = distinct(hashes(part, starts, ends))
+            raw = part.tobytes()
+            found = list(map(self.memo.__getitem__, [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
+            size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+            known = np.frombuffer(b"".join(found), self.dtype)
+            n = size[back]
+            at = np.cumsum(n)
+            shift = (np.cumsum(size) - size)[back] - (at - n)
+            ids.append(known[np.arange(len(shift) and at[-1]) + np.repeat(shift, n)])
+            counts.append(np.diff(np.concatenate([[0], at])[first]))
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+
+class _Memo(dict):
+    """Answers by key, found once and kept for a while: what was not asked for since the last turn goes at the next."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.find(key)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 _encoders: dict[str, Encoder] = {}
