@@ -197,20 +197,20 @@ def write(docs: DataFrame, uri: str, vocab: str | None = None, end_id: int = 2)
         enc, part = encoder(vocab), TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(uri)
         beside, final = f"{base}/_tmp-{TaskContext.get().taskAttemptId()}", f"{base}/shard-{part:06d}.sst"
-        end, writer, out, first = np.array([end_id], enc.dtype).tobytes(), None, None, None
+        end, writer, out, least = np.array([end_id], enc.dtype).tobytes(), None, None, None
         for batch in batches:
             ids, first = enc.batch(batch.column(1))
             for doc_id, i, j in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(beside)
-                    writer, first = Writer(out, enc.dtype.itemsize), key_of(doc_id)
+                    writer, least = Writer(out, enc.dtype.itemsize), key_of(doc_id)
                 writer.add(key_of(doc_id), ids[i:j].tobytes() + end)
         if writer is not None:
             writer.close()
             out.close()
             fs.move(beside, final)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"shard-{part:06d}.sst"], "n_docs": pa.array([writer.docs], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64()), "first": [first], "last": [writer.last]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"shard-{part:06d}.sst"], "n_docs": pa.array([writer.docs], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64()), "first": [least], "last": [writer.last]})
 
     prepare(docs.sparkSession)
     laid = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
