@@ -82,11 +82,10 @@ def pieces(text: Column | str, separator: str, keep: bool = True) -> Column:
     """A text cut at a literal separator. Keeping: each piece but the last ends with it and an empty last piece goes; else empty pieces go. The empty separator cuts into characters."""
     if separator == "":
         return F.filter(F.split(text, ""), lambda p: p != "")
-    parts = F.split(text, r"\Q" + separator + r"\E")
+    sign = r"\Q" + separator + r"\E"
     if not keep:
-        return F.filter(parts, lambda p: p != "")
-    kept = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(separator))).otherwise(p))
-    return F.filter(kept, lambda p, i: (i < F.size(parts) - 1) | (p != ""))
+        return F.filter(F.split(text, sign), lambda p: p != "")
+    return F.regexp_extract_all(text, F.lit(rf"(?s).*?{sign}|.+"), 0)
 
 
 def merge_pieces(parts: Column | str, separator: str, keep: bool = True) -> Column:
@@ -112,3 +111,14 @@ def table_text(rows: Column | str) -> Column:
     """Rows (array<array<string>>) as lines of tab-joined stripped cells; null cells are empty, null and blank rows go."""
     cells = F.transform(F.filter(rows, lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: F.coalesce(strip(c), F.lit(""))))
     return F.array_join(F.transform(F.filter(cells, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.array_join(r, "\t")), "\n")
+
+
+def decode_metadata(c: Column | str, schema: str) -> Column:
+    """JSON text as a struct; null and empty text give a struct of nulls."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.from_json(F.coalesce(F.nullif(c, F.lit("")), F.lit("{}")), schema)
+
+
+def first_sorted(c: Column | str, n: int = 10) -> Column:
+    """The first n distinct values of a group, sorted (an aggregate)."""
+    return F.slice(F.sort_array(F.collect_set(c)), 1, n)

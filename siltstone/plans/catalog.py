@@ -1,11 +1,385 @@
-"""Registered queries of the document store and their DuckDB equivalents."""
+"""Registered queries of the document store; their DuckDB equivalents are in oracles.py.
+
+Every query runs an operator of this library over whole tables.
+"""
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import half_pack, native
+from siltstone.functions.token_count import TokenLength, token_length
+from siltstone.operators import embed, search
+from siltstone.operators.splitter import Splitter
+from siltstone.operators.store import VectorStore, last_wins, upsert, without
+from siltstone.plans import ingest, oracles
+from siltstone.sources import records, samples
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(c: Column | str, n: int = 6) -> Column:
+    return F.round(c, n) + F.lit(0.0)
+
+
+def _query(spark, sf_dir) -> list[float]:
+    return list(_t(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+# ---------------------------------------------------------------- search
+
+
+def search_topk(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    return search.topk(v, _query(spark, sf_dir), 10, order="vec_id").select("vec_id", _rounded("score").alias("score"))
+
+
+def search_scores(spark, sf_dir):
+    return search.scores(_t(spark, sf_dir, "embeddings"), _query(spark, sf_dir)).select("vec_id", _rounded("score").alias("score"))
+
+
+def search_multi_query(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.search_many(v, q, 5, order="vec_id").select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", _rounded("score").alias("score"))
+
+
+def search_limit_then_lookup(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    hits = search.topk(v, _query(spark, sf_dir), 10, order="vec_id").select("vec_id", "score")
+    chunks = _t(spark, sf_dir, "documents").where("doc_id % 3 <> 1").select(F.col("doc_id").alias("id"), "text")
+    return search.lookup(hits, chunks, "vec_id", "id").select("id", "text", _rounded("score").alias("score"))
+
+
+def search_zero_query(spark, sf_dir):
+    return search.topk(_t(spark, sf_dir, "embeddings"), [0.0] * 64, 10, order="vec_id").select("vec_id", _rounded("score").alias("score"))
+
+
+def search_zero_vectors(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: F.when(F.col("vec_id") % 4 == 0, F.lit(0.0)).otherwise(x)))
+    return search.topk(v, _query(spark, sf_dir), 10, order="vec_id").select("vec_id", _rounded("score").alias("score"))
+
+
+# ---------------------------------------------------------------- vectors
+
+
+def _scaled(spark, sf_dir) -> DataFrame:
+    """vec_id, i, x: vector entries at the scale of whole, subnormal and overflowing half numbers."""
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    return v.select("vec_id", "i", (F.col("x").cast("double") * F.element_at(F.array(F.lit(1.0), F.lit(2.0**-20), F.lit(2.0**19)), (F.col("vec_id") % 3 + 1).cast("int"))).alias("x"))
+
+
+def half_round(spark, sf_dir):
+    return _scaled(spark, sf_dir).select("vec_id", "i", (native.half(F.col("x")) + F.lit(0.0)).alias("h"))
+
+
+def half_pack_roundtrip(spark, sf_dir):
+    v = _scaled(spark, sf_dir).groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    return v.select("vec_id", F.posexplode(half_pack.unpack(half_pack.pack("v"))).alias("i", "h")).select("vec_id", "i", (F.col("h").cast("double") + F.lit(0.0)).alias("h"))
+
+
+def l2_normalize(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * (F.col("vec_id") % 5)).alias("v"))
+    return v.select("vec_id", F.posexplode(native.l2_normalize("v")).alias("i", "x")).select("vec_id", "i", _rounded("x").alias("x"))
+
+
+def mean_pool(spark, sf_dir):
+    p = embed.pooled(_t(spark, sf_dir, "embeddings"), ["label"], "embedding", F.col("vec_id") % 3 != 0)
+    return p.select("label", F.posexplode("pooled").alias("i", "x")).select("label", "i", _rounded("x").alias("x"))
+
+
+def embed_hash(spark, sf_dir):
+    e = embed.embed(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    return e.select("p_partkey", F.posexplode(half_pack.unpack("embedding")).alias("i", "x")).where("x <> 0").select("p_partkey", "i", F.col("x").cast("double").alias("x"))
+
+
+def batch_assign(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / embed.BATCH).alias("batch"))
+    return v.groupBy("batch").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+
+
+def latency_average(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("value").alias("batch_ms"), (F.col("event_id") % 32 + 1).alias("batch_size"))
+    return embed.latency(e).select(_rounded("latency_ms").alias("latency_ms"))
+
+
+# ---------------------------------------------------------------- sources
+
+_SUFFIXES = (".pdf", ".DOCX", ".xlsx", ".Xml", ".pages", ".KEY", ".txt", "", ".numbers", ".iwa", ".tar.GZ")
+
+
+def route_formats(spark, sf_dir):
+    end = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("doc_id") % len(_SUFFIXES) + 1).cast("int"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/data.d/f"), F.col("doc_id"), end).alias("path"))
+    return d.select("doc_id", native.suffix("path").alias("suffix"), native.stem("path").alias("stem"), records.route_error(native.suffix("path")).alias("error"))
+
+
+def _extracted(rows: DataFrame, suffix: str, content: Column) -> DataFrame:
+    """rows with what the parser of `suffix` finds in `content`."""
+    return records.extract(rows.withColumn("path", F.lit(f"/in/x{suffix}")).withColumn("content", content))
+
+
+def _xml(spark, sf_dir, line: Column, cut: int = 0) -> DataFrame:
+    """The XML file of each user's events, `line` for each event in order of event_id."""
+    e = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    body = F.array_join(F.transform("l", lambda s: s["line"]), "")
+    whole = F.concat(F.lit("<HealthData>"), body, F.lit("</HealthData>"))
+    return _extracted(e.select("user_id", "l"), ".xml", F.substring(whole, F.lit(1), F.char_length(whole) - cut).cast("binary"))
+
+
+def _day() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+
+
+def xml_records(spark, sf_dir):
+    unit = F.when(F.col("event_id") % 2 == 0, F.lit(' unit="u"')).otherwise("")
+    line = F.concat(F.lit('<Record type="'), "event_type", F.lit('" value="'), F.col("event_id"), F.lit('"'), unit, F.lit(' startDate="'), _day(), F.lit('"/>'))
+    x = _xml(spark, sf_dir, line)
+    return x.select("user_id", "text", "metadata.record_count", F.array_join("metadata.record_types", ",").alias("record_types"))
+
+
+def xml_workouts(spark, sf_dir):
+    line = F.concat(F.lit('<Workout workoutActivityType="'), "event_type", F.lit('" duration="'), F.col("event_id"), F.lit('"/>'))
+    return _xml(spark, sf_dir, line).select("user_id", "text", "metadata.record_count", F.size("metadata.record_types").cast("bigint").alias("n_types"))
+
+
+def xml_generic(spark, sf_dir):
+    line = F.concat(F.lit("<e> "), "event_type", F.lit(" <i>"), F.col("event_id"), F.lit("</i></e>"))
+    return _xml(spark, sf_dir, line).select("user_id", "text", "metadata.record_count")
+
+
+def xml_partial_error(spark, sf_dir):
+    line = F.concat(F.lit('<Record type="'), "event_type", F.lit('" value="'), F.col("event_id"), F.lit('"/>'))
+    x = _xml(spark, sf_dir, line, cut=3)
+    return x.select("user_id", "text", F.col("error").startswith("XML parse error: ").alias("failed"), "metadata.partial")
+
+
+@F.pandas_udf("binary")
+def _workbook(name: pd.Series, rows: pd.Series) -> pd.Series:
+    return pd.Series([samples.xlsx({n: [list(r.values()) for r in json.loads(x)]}) for n, x in zip(name, rows, strict=True)])
+
+
+@F.pandas_udf("binary")
+def _document(text: pd.Series, broken: pd.Series) -> pd.Series:
+    return pd.Series([samples.docx(t.split("\n"), broken=b) for t, b in zip(text, broken, strict=True)])
+
+
+@F.pandas_udf("binary")
+def _pages(rows: pd.Series) -> pd.Series:
+    return pd.Series([samples.pdf([json.loads(x)]) for x in rows])
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+
+
+def xlsx_rows(spark, sf_dir):
+    cells = F.to_json(F.transform("l", lambda s: F.struct(s["n_nationkey"].alias("a"), F.when(s["n_nationkey"] % 4 != 0, s["n_name"]).alias("b"), (s["n_nationkey"] % 2 == 0).alias("c"))), {"ignoreNullFields": "false"})
+    x = _extracted(_nations(spark, sf_dir), ".xlsx", _workbook("r_name", cells))
+    return x.select("r_regionkey", "text", "metadata.total_rows", F.col("page_count").cast("bigint").alias("page_count"))
+
+
+def docx_paragraphs(spark, sf_dir):
+    x = _extracted(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")), ".docx", _document("t", F.lit(False)))
+    return x.select("doc_id", "text")
+
+
+def docx_fallback(spark, sf_dir):
+    x = _extracted(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")), ".docx", _document("t", F.lit(True)))
+    return x.select("doc_id", "text")
+
+
+def pdf_lines(spark, sf_dir):
+    x = _extracted(_nations(spark, sf_dir), ".pdf", _pages(F.to_json(F.transform("l", lambda s: s["n_name"]))))
+    return x.select("r_regionkey", "text", F.col("page_count").cast("bigint").alias("page_count"))
+
+
+def table_to_tsv(spark, sf_dir):
+    rows = F.transform("l", lambda s: F.when(s["n_nationkey"] % 6 != 5, F.array(F.when(s["n_nationkey"] % 4 != 0, s["n_name"]), F.concat(F.lit(" "), s["n_nationkey"].cast("string"), F.lit("\t")), F.lit(""))))
+    return _nations(spark, sf_dir).select("r_regionkey", native.table_text(rows).alias("text"))
+
+
+# ---------------------------------------------------------------- splitting
+
+
+def _pieces(df: DataFrame, key: str, text: str, separator: str, keep: bool) -> DataFrame:
+    return df.select(key, F.posexplode(native.pieces(text, separator, keep)).alias("i", "piece"))
+
+
+def pieces_newline(spark, sf_dir):
+    return _pieces(_t(spark, sf_dir, "documents"), "doc_id", "text", "\n", True)
+
+
+def pieces_sentence(spark, sf_dir):
+    return _pieces(_t(spark, sf_dir, "documents"), "doc_id", "text", ". ", False)
+
+
+def pieces_word(spark, sf_dir):
+    return _pieces(_t(spark, sf_dir, "documents"), "doc_id", "text", " ", True)
+
+
+def pieces_char(spark, sf_dir):
+    return _pieces(_t(spark, sf_dir, "part"), "p_partkey", "p_name", "", True)
+
+
+def overlap_tail(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", native.overlap_tail(native.pieces("text", " "), 51).alias("tail"))
+    return d.select("doc_id", F.size("tail").cast("bigint").alias("n"), native.merge_pieces("tail", " ").alias("text"))
+
+
+def _plain(spark, sf_dir) -> DataFrame:
+    """conversations with no separator but the space."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate("text", ".!?;,\n\r\t", "").alias("text"))
+
+
+def split_words(spark, sf_dir):
+    return Splitter(120, 20).documents(_plain(spark, sf_dir)).select("conv_id", "turn", "chunk_index", "content")
+
+
+def split_forced(spark, sf_dir):
+    return Splitter(120, 20, separators=("\n",)).documents(_plain(spark, sf_dir)).select("conv_id", "turn", "chunk_index", "content")
+
+
+def split_documents_meta(spark, sf_dir):
+    d = Splitter(120, 20).documents(_plain(spark, sf_dir), metadata=F.struct(F.col("conv_id").alias("source")))
+    return d.select("conv_id", "turn", "chunk_index", "total_chunks", "chunk_size", "metadata.source")
+
+
+def split_no_loss(spark, sf_dir):
+    s = Splitter(200, 20)
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.transform(s.column("text"), lambda c: c["content"]).alias("c"))
+    bare = F.regexp_replace("text", native.WHITE, "")
+    words = F.array_distinct(F.split(F.concat_ws(" ", "c"), r"\s+"))
+    lost = F.size(F.array_except(F.filter(F.array_distinct(F.split("text", r"\s+")), lambda w: F.char_length(w) <= 40), words))
+    return d.select("doc_id", ((bare == "") | ((lost == 0) & (F.aggregate("c", F.lit(0), lambda n, x: F.greatest(n, F.char_length(x))) <= 220))).alias("ok"))
+
+
+def split_full(spark, sf_dir):
+    return Splitter(512, 51, length=TokenLength()).documents(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def token_lengths(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", token_length("text").alias("n_tokens"))
+
+
+# ---------------------------------------------------------------- scalars
+
+
+def strip_unicode(spark, sf_dir):
+    pad = F.element_at(F.array(*(F.lit(x) for x in (" \t", " \n", "　\x1c", " \x85", ""))), (F.col("turn") % 5 + 1).cast("int"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", native.strip(F.concat(pad, F.col("text"), pad)).alias("text"))
+
+
+def preview(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", native.preview("text").alias("preview"))
+
+
+def score_badge(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000 / F.lit(1000.0)).alias("score"))
+    return o.select("o_orderkey", native.badge("score").alias("badge"))
+
+
+def chunk_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", native.chunk_id(F.concat(F.lit("doc"), "doc_id"), F.col("doc_id") * 37).alias("id"))
+
+
+def decode_metadata(spark, sf_dir):
+    text = F.when(F.col("doc_id") % 5 == 0, F.lit("")).when(F.col("doc_id") % 5 == 1, F.lit(None)).otherwise(F.to_json(F.struct("source", F.col("doc_id").alias("page_count"))))
+    d = _t(spark, sf_dir, "documents").select("doc_id", native.decode_metadata(text, "source string, page_count bigint").alias("m"))
+    return d.select("doc_id", F.col("m").isNotNull().alias("there"), "m.source", "m.page_count")
+
+
+def record_type_cap(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id") % 7, F.concat("event_type", F.col("event_id") % 5)).toDF("g", "type")
+    return e.groupBy("g").agg(F.array_join(native.first_sorted("type", 10), ",").alias("types"))
+
+
+# ---------------------------------------------------------------- store
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+
+
+def upsert_last_wins(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    old = last_wins(o.where("status = 'F'"), "id", "seq")
+    return upsert(old, o.where("status <> 'F'"), "id", "seq")
+
+
+def delete_ids(spark, sf_dir):
+    gone = _t(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    return without(_orders(spark, sf_dir), gone, "id")
+
+
+def _filled(spark, sf_dir) -> VectorStore:
+    """A store of parts under brand and size, so ids repeat; parts divisible by 5 have no vector."""
+    p = _t(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", "p_size").alias("id"), F.col("p_name").alias("text"), F.col("p_partkey").alias("seq"))
+    e = embed.embed(p, "text").withColumn("embedding", F.when(F.col("seq") % 5 != 0, F.col("embedding")))
+    store = VectorStore(spark, _place(spark, "store"))
+    store.store(e.withColumn("metadata", F.struct(F.lit("part").alias("source"), F.col("id").alias("filename"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.lit(0).alias("token_count"), F.lit(1).alias("page_count"))))
+    return store
+
+
+def store_stats(spark, sf_dir):
+    s = _filled(spark, sf_dir)
+    return s.chunks().agg(F.count("*").alias("chunk_count")).crossJoin(s.vectors().agg(F.count("*").alias("vector_count")))
+
+
+def orphan_chunks(spark, sf_dir):
+    s = _filled(spark, sf_dir)
+    return s.chunks().join(s.vectors(), F.col("id") == F.col("chunk_id"), "left_anti").select("id", "text")
+
+
+def stored_chunks(spark, sf_dir):
+    return _filled(spark, sf_dir).chunks().select("id", "text", "metadata.filename")
+
+
+def clear_store(spark, sf_dir):
+    s = _filled(spark, sf_dir)
+    s.clear()
+    return s.chunks().agg(F.count("*").alias("chunk_count")).crossJoin(s.vectors().agg(F.count("*").alias("vector_count")))
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def ingest_failures(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit("  \n")).otherwise(F.col("text"))
+    error = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("Extraction failed: no "), F.col("doc_id")))
+    return ingest.failures(d.select("doc_id", text.alias("text"), error.alias("error"))).select("doc_id", "failure")
+
+
+def ingest_results(spark, sf_dir):
+    """Documents as Word files through extraction, splitting, embedding and store."""
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("/in/d"), "doc_id", F.lit(".docx")).alias("path"), F.col("doc_id").alias("seq"), _document("text", F.lit(False)).alias("content"))
+    return ingest.ingest_files(d, VectorStore(spark, _place(spark, "store"))).select("file", "total_chunks", "vectors_stored", F.size("errors").alias("n_errors"))
+
+
+def embed_search_e2e(spark, sf_dir):
+    s = _filled(spark, sf_dir)
+    return ingest.search_text(s, _t(spark, sf_dir, "part").where("p_partkey = 1").first()["p_name"], 5).select("id", "text", _rounded("score").alias("score"))
+
 
 def queries() -> dict:
-    return {}
+    own = (search_topk, search_scores, search_multi_query, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, embed_search_e2e)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
