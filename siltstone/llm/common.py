@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch; whole texts travel, so batches are kept small.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 #: Bytes that a numpy kernel works on at once (8 bytes of scratch for each).
 CHUNK = 1 << 20
 
@@ -24,7 +24,7 @@ CHUNK = 1 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that carry texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 

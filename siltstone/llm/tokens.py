@@ -13,13 +13,15 @@ import re
 
 import numpy as np
 
-from .common import SPACES, chunks, distinct, hashes, runs, text_bytes
+from .common import LOWER, NOT_ALNUM, SPACES, chunks, distinct, hashes, runs, text_bytes
 
-#: Words that a worker remembers in each of two memos, and at most as many older ones.
-MEMO = 250_000
+#: Words whose ids a worker keeps; beyond it those go that were not met since the last turn.
+MEMO = 1_500_000
 _PLAIN = re.compile(rb"[a-z]+")
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = b".,;:!?"
+_IS_TAIL = np.isin(np.arange(256), np.frombuffer(_TAIL, np.uint8))
+_IS_ALNUM = ~NOT_ALNUM & (np.arange(256) < 128)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -53,17 +55,15 @@ class Encoder:
 
         width = self.dtype.itemsize
         self.packed = [i.to_bytes(width, "little") for i in range(self.full.get_vocab_size())]
-        self.memo = _Memo(self.word)
-        self.cores = _Memo(self._encode)
+        self.known = _Known(self.dtype)
 
     def word(self, raw: bytes) -> bytes:
+        """The ids of bytes without ASCII white space."""
         core = raw.rstrip(_TAIL)
         if core and core != raw:
             last = chr(core[-1]) if core[-1] < 128 else core.decode("utf-8", "replace")[-1]
             if last.isalpha() or last in "0123456789":
-                return self.cores[core.lower() if core.isascii() and b"<|" not in core else core] + self.cores[raw[len(core) :]]
-        if raw.isascii() and b"<|" not in raw:
-            return self.cores[raw.lower()]
+                return self._encode(core) + self._encode(raw[len(core) :])
         return self._encode(raw)
 
     def _encode(self, raw: bytes) -> bytes:
@@ -80,55 +80,80 @@ class Encoder:
 
     def text(self, raw: bytes) -> bytes:
         """The ids of a whole UTF-8 text."""
-        if not self.short:
-            return self._encode(raw)
-        return b"".join(map(self.memo.__getitem__, raw.split()))
+        return b"".join(map(self.word, raw.split())) if self.short else self._encode(raw)
 
     def batch(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow string column, one text after another, and where each text's begin (one more entry than texts); null is empty.
 
-        Equal words of a batch are looked up once: a memo of this size misses
-        the processor's caches, which costs more than sorting word hashes.
+        Words are lower-cased and parted from trailing punctuation by numpy;
+        equal ones of a batch are looked up once, by hash, in sorted arrays.
         """
         data, offs = text_bytes(column)
         ids, counts = [np.empty(0, self.dtype)], [np.zeros(1, np.int64)]
-        for i, j in chunks(offs, 8 << 20):
-            part = data[offs[i] : offs[j]]
-            if not self.short:
-                got = [self._encode(part[a:b].tobytes()) for a, b in itertools.pairwise((offs[i : j + 1] - offs[i]).tolist())]
+        for i, j in chunks(offs, 4 << 20):
+            part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            if not self.short or b"<|" in (raw := part.tobytes()):  # special tokens are told by case
+                got = [self.text(part[a:b].tobytes()) for a, b in itertools.pairwise(at.tolist())]
                 ids.append(np.frombuffer(b"".join(got), self.dtype))
                 counts.append(np.array([len(x) for x in got], np.int64) // self.dtype.itemsize)
                 continue
-            starts, ends, first = runs(part, offs[i : j + 1] - offs[i], SPACES)
-            one, back = distinct(hashes(part, starts, ends))
+            part = LOWER[part]
             raw = part.tobytes()
-            found = list(map(self.memo.__getitem__, [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
-            size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-            known = np.frombuffer(b"".join(found), self.dtype)
+            starts, ends, first = _part_tails(part, *runs(part, at, SPACES))
+            h = hashes(part, starts, ends)
+            one, back = distinct(h)
+            place, size = self.known.find(h[one], lambda k, o=one, s=starts, e=ends, r=raw: self.word(r[s[o[k]] : e[o[k]]]))
             n = size[back]
-            at = np.cumsum(n)
-            shift = (np.cumsum(size) - size)[back] - (at - n)
-            ids.append(known[np.arange(len(shift) and at[-1]) + np.repeat(shift, n)])
-            counts.append(np.diff(np.concatenate([[0], at])[first]))
+            after = np.cumsum(n)
+            shift = place[back] - (after - n)
+            ids.append(self.known.ids[np.arange(len(n) and after[-1]) + np.repeat(shift, n)])
+            counts.append(np.diff(np.concatenate([[0], after])[first]))
         return np.concatenate(ids), np.cumsum(np.concatenate(counts))
 
 
-class _Memo(dict):
-    """Answers by key, found once and kept for a while: what was not asked for since the last turn goes at the next."""
-
-    def __init__(self, find):
-        super().__init__()
-        self.find, self.old = find, {}
-
-    def __missing__(self, key: bytes) -> bytes:
-        got = self.old.get(key)
-        if got is None:
-            got = self.find(key)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[key] = got
-        return got
+def _part_tails(data, starts, ends, first):
+    """Words with up to three trailing signs of _TAIL, after an ASCII letter or digit, as words of their own."""
+    core = ends.copy()
+    for _ in range(3):
+        core -= (core - starts > 1) & _IS_TAIL[data[core - 1]]
+    cut = (core < ends) & _IS_ALNUM[data[core - 1]] if len(core) else np.zeros(0, bool)
+    before = np.concatenate([[0], np.cumsum(cut)])
+    at = np.arange(len(starts)) + before[:-1]
+    s, e = np.empty(len(starts) + before[-1], np.int64), np.empty(len(starts) + before[-1], np.int64)
+    s[at], e[at] = starts, np.where(cut, core, ends)
+    s[at[cut] + 1], e[at[cut] + 1] = core[cut], ends[cut]
+    return s, e, first + before[first]
+
+
+class _Known:
+    """Ids of words by hash, in sorted arrays: some 20 bytes a word."""
+
+    def __init__(self, dtype):
+        self.hash, self.used = np.empty(0, np.uint64), np.empty(0, bool)
+        self.place, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, dtype)
+
+    def find(self, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each hash; encode(k) gives the ids of the k-th where it is new."""
+        if len(self.hash) > MEMO:
+            keep = np.flatnonzero(self.used) if self.used.sum() < MEMO // 2 else np.empty(0, np.int64)
+            n = self.size[keep]
+            after = np.cumsum(n)
+            self.ids = self.ids[np.arange(len(n) and after[-1]) + np.repeat(self.place[keep] - (after - n), n)]
+            self.hash, self.size, self.place, self.used = self.hash[keep], n, after - n, np.zeros(len(keep), bool)
+        at = np.searchsorted(self.hash, h)
+        new = np.flatnonzero((at == len(self.hash)) | (self.hash[np.minimum(at, len(self.hash) - 1)] != h)) if len(self.hash) else np.arange(len(h))
+        if len(new):
+            fresh, k = np.unique(h[new], return_index=True)
+            got = [encode(x) for x in new[k].tolist()]
+            n = np.fromiter(map(len, got), np.int64, len(got)) // self.ids.dtype.itemsize
+            to = np.searchsorted(self.hash, fresh)
+            self.hash = np.insert(self.hash, to, fresh)
+            self.place = np.insert(self.place, to, len(self.ids) + np.cumsum(n) - n)
+            self.size, self.used = np.insert(self.size, to, n), np.insert(self.used, to, False)
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), self.ids.dtype)])
+            at = np.searchsorted(self.hash, h)
+        self.used[at] = True
+        return self.place[at], self.size[at]
 
 
 _encoders: dict[str, Encoder] = {}
