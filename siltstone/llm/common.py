@@ -7,6 +7,8 @@ table, so multi-byte characters never need decoding.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -20,6 +22,10 @@ BATCH_ROWS = 1024
 #: Bytes that a numpy kernel works on at once (8 bytes of scratch for each).
 CHUNK = 1 << 20
 
+with contextlib.suppress(OSError, AttributeError):
+    # glibc: arrays from 1 MB on go back to the system when they are freed, so a worker that lives long doesn't grow
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that carry texts to Python."""

@@ -13,8 +13,9 @@ so a partition starts with the deficits that the windows before it left, in
 whichever partition they are, and none waits for another. When a queue runs
 dry, its share is dealt among the rest: the schedule is a short list of
 phases, at most a few for each queue, found on the driver from the queues'
-totals. Sources with less than 1/1024 of the tokens share one queue, so there
-are at most 1025 queues and every quantum is at least four tokens.
+totals. Sources with less than 1/1024 of the tokens (or four tokens a window)
+share one queue, so there are at most 1025 queues and every quantum is at least
+four tokens.
 
 Windows take exactly `window` tokens. What remains at the end goes to windows
 of descending powers of two, so nothing is padded.
@@ -176,19 +177,20 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
     tok = tokenize(docs, vocab, end_id)
     per = cut(tok.groupBy("part", "source").agg(F.sum("n").alias("n")))
     width = encoder(vocab).dtype.str
+    small = max(LEAST, 4 / window)
     whole = per.agg(F.sum("n")).first()[0] or 0
-    named = [F.col("source").isin(list(mixture))] if mixture else [F.col("t") >= whole * LEAST]
+    named = [F.col("source").isin(list(mixture))] if mixture else [F.col("t") >= whole * small]
     big = per.groupBy("source").agg(F.sum("n").alias("t")).where(named[0]).collect()
     big = sorted(big, key=lambda r: (-r["t"], r["source"] is not None, r["source"] or ""))
     rest = whole - sum(r["t"] for r in big)
-    if big and 0 < rest < whole * LEAST and not mixture:
+    if big and 0 < rest < whole * small and not mixture:
         rest += big.pop()["t"]
     totals, weight = [r["t"] for r in big], [float(r["t"]) for r in big]
     if mixture:
-        weight = [max(LEAST, mixture[r["source"]]) for r in big]
+        weight = [max(small, mixture[r["source"]]) for r in big]
     if rest:
         totals.append(rest)
-        weight.append(max(LEAST, 1 - sum(weight)) if mixture else float(rest))
+        weight.append(max(small, 1 - sum(weight)) if mixture else float(rest))
     queue = F.lit(len(big))
     for i, r in enumerate(big):
         queue = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), i).otherwise(queue)

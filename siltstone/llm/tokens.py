@@ -16,7 +16,7 @@ import numpy as np
 from .common import LOWER, NOT_ALNUM, SPACES, chunks, distinct, hashes, runs, text_bytes
 
 #: Words whose ids a worker keeps; beyond it those go that were not met since the last turn.
-MEMO = 1_500_000
+MEMO = 800_000
 _PLAIN = re.compile(rb"[a-z]+")
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = b".,;:!?"
