@@ -7,13 +7,14 @@ set at shift k. The shifted values of an element lie side by side in pi, so all
 coordinates come from one contiguous read.
 
 Equal sets are collapsed first: a class has one representative, the least
-doc_id. Representatives that share a band are candidates. In a bucket of two
-that pair is verified; a larger bucket is a star around its least member. Then
-the components of the verified links are found, and in every bucket where more
-than one component is left, the pairs across components whose signatures are
-alike are verified too, in blocks. So every pair that shares a band ends in one
-component, fails the signature test, or is verified on full sets, and no bucket
-is expanded into all its pairs.
+doc_id. Representatives that share a band are joined into candidate clusters
+(a star around the least member of each bucket, then connected components), so
+each is in one cluster and no bucket is expanded into pairs. Inside a cluster
+every pair is verified on full sets: a cluster is dealt to pairs of blocks, a
+task's share each, and a block pair is one product of 0/1 matrices, which holds
+all its intersection sizes exactly. A task returns a spanning forest of its
+links and each member's number of links, never the pairs. Components of these
+links are the result.
 """
 
 from __future__ import annotations
@@ -30,10 +31,8 @@ from .graph import components
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 UNIVERSE = 1 << 20
-#: Pairs across components must agree in this share of coordinates (4.5 deviations below 0.85).
-ALIKE = 0.68
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 512
+#: Members of a cluster in a block; shingles that a matrix product takes at once.
+BLOCK, COLUMNS = 512, 8192
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +70,18 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int):
 
 
 def sign(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set (16 bytes that name the set), bands (hashes), sketch (a byte for each coordinate)."""
+    """doc_id, n_shingles, set (16 bytes that name the set), bands (hashes)."""
 
     def task(batches):
         for batch in batches:
             data, offs = text_bytes(batch.column(1))
-            size, name, bands, sketch = [], [], [], []
+            size, name, bands = [], [], []
             for i, j in chunks(offs):
                 for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n):
                     size.append(len(s))
                     if not len(s):
                         name.append(None)
                         bands.append([])
-                        sketch.append(None)
                         continue
                     sig = signature(s)
                     name.append(mix(s).sum().tobytes() + mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().tobytes())
@@ -91,68 +89,93 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
                     for r in range(ROWS):
                         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[r::ROWS].astype(np.uint64))
                     bands.append(h.view(np.int64))
-                    sketch.append((mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "set", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set", "bands"])
 
     prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, set binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, set binary, bands array<long>")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The intersection size of each set of a with each of b."""
+    values = np.concatenate([*a, *b])
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    rows, column = rows[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    out = np.zeros((len(a), len(b)), np.float32)  # counts below 2**24 are exact
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [c, c + COLUMNS])
+        m = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        m[rows[i:j], column[i:j] - c] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out.astype(np.int64)
+
+
+def forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Edges (row, column) that connect what the links of a matrix connect; same: rows and columns are the same nodes."""
+    behind = 0 if same else linked.shape[0]
+    root = np.arange(behind + linked.shape[1])
+    out = []
+    for i in range(linked.shape[0]):
+        js = np.flatnonzero(linked[i])
+        for r, k in zip(*np.unique(root[behind + js], return_index=True), strict=True):
+            if r != root[i]:
+                out.append((i, int(js[k])))
+                root[root == r] = root[i]
+    return out
+
 
+def verify(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that span those within clusters, and (a, null, links) for each member with links in a task.
 
-def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    members: id, cluster. All pairs within a cluster are compared.
+    """
+    spark = docs.sparkSession
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(sizes, "cluster")
 
     def sets(batches):
         for batch in batches:
-            data, offs = text_bytes(batch.column(1))
+            data, offs = text_bytes(batch.column(3))
             out: list = []
             for i, j in chunks(offs):
                 out += [s.tobytes() for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "s"])
-
-    def same(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            ok = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                lo, hi = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * lo >= percent * hi else 0
-                ok.append(100 * both >= percent * (lo + hi - both))
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok, pa.bool_())) for x in (batch.column(0), batch.column(1))], ["a", "b"])
-
-    one = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "text").dropDuplicates(["id"])
-    full = cut(one.mapInArrow(sets, "id long, s binary"))
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(same, "a long, b long")
-
-
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (bucket, id, root, sketch) of one bucket with other roots and alike signatures.
-
-    A bucket of more than BLOCK members is dealt to pairs of blocks, a task's
-    share each.
-    """
-    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["id", "cluster", "blocks", "s"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        by: dict = {}
+        for k, key in enumerate(zip(*(group.column(c).to_pylist() for c in ("cluster", "lo", "hi")), strict=True)):
+            by.setdefault(key, []).append(k)
+        ids, block, raw = group.column("id").to_pylist(), group.column("block").to_pylist(), group.column("s")
+        for (_, lo, hi), rows in by.items():
+            a = [k for k in rows if block[k] == lo]
+            b = [k for k in rows if block[k] == hi]
+            x = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in a]
+            y = x if lo == hi else [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in b]
+            if not x or not y:
+                continue
+            both = overlaps(x, y)
+            total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+            linked = 100 * both >= percent * (total - both)
+            if lo == hi:
+                np.fill_diagonal(linked, False)
+            out += [(ids[a[i]], ids[b[j]], 0) for i, j in forest(linked, lo == hi)]
+            out += [(ids[k], None, int(c)) for k, c in zip(a, linked.sum(1), strict=True) if c]
+            if lo != hi:
+                out += [(ids[k], None, int(c)) for k, c in zip(b, linked.sum(0), strict=True) if c]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "links"), cols, strict=True)})
+
+    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("id")).select("id", "cluster", "blocks", "text")
+    dealt = texts.mapInArrow(sets, "id long, cluster long, blocks int, s binary")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-
-    def task(group: pa.Table) -> pa.Table:
-        ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
-        block, lo, hi = group.column("block").to_numpy(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
-        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        left, right = [], []
-        for i in a:
-            j = b[(ids[b] > ids[i] if lo == hi else ids[b] != ids[i]) & (roots[b] != roots[i])]
-            j = j[(sketch[j] == sketch[i]).sum(1) >= ALIKE * K]
-            left.append(np.minimum(ids[i], ids[j]))
-            right.append(np.maximum(ids[i], ids[j]))
-        return pa.table({"a": np.concatenate(left or [ids[:0]]), "b": np.concatenate(right or [ids[:0]])})
-
-    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(task, "a long, b long").distinct()
+    share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.xxhash64("cluster", "lo", "hi"))
+    return dealt.groupBy(share.alias("share")).applyInArrow(compare, "a long, b long, links long")
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -161,7 +184,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     component_id is the least doc_id that is reachable over links (100 *
     intersection >= percent * union of shingle sets), kept whether it is the
     row's own. class_id is the least doc_id with the same set, n_links the
-    verified links of that class to others (a spanning part of all links).
+    number of other classes that this one is linked with in its cluster.
     Null, empty and wordless texts have an empty set and are linked with
     nothing. A row without doc_id is linked with nothing, has no component and
     is kept. Rows that repeat a doc_id are the same document and get the same
@@ -169,25 +192,16 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """
     sig = cut(sign(docs, shingle))
     named = sig.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull())
-    reps = cut(named.groupBy("set", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r")).select(F.col("r.doc_id").alias("id"), "set", "n_shingles", "r.bands", "r.sketch"))
+    reps = cut(named.groupBy("set", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.col("r.doc_id").alias("id"), "set", "n_shingles", "r.bands"))
     rows = reps.select(F.explode("bands").alias("bucket"), "id")
     buckets = cut(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("n > 1"))
-    many = buckets.where("n > 2").select("bucket", "least")
-    crowded = rows.join(many, "bucket")
-    stars = crowded.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    first = cut(buckets.where("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).union(stars).distinct())
-    links = cut(verify(docs, first, shingle, percent))
-    roots = components(links)
-    # buckets that still hold several components
-    held = crowded.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    held = cut(held)
-    mixed = held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    members = held.join(mixed, "bucket").join(reps.select("id", "sketch"), "id").select("bucket", "id", "root", "sketch")
-    more = cut(across(members).join(first, ["a", "b"], "left_anti"))
-    if more.take(1):
-        links = cut(links.union(verify(docs, more, shingle, percent)))
-        roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    crowded = rows.join(buckets.where("n > 2").select("bucket", "least"), "bucket")
+    stars = buckets.where("n = 2").select("least", "most").union(crowded.where("id > least").select("least", "id"))
+    clusters = components(stars, "least", "most")
+    members = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
+    found = cut(verify(docs, members, shingle, percent))
+    roots = components(found.where("b is not null"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
     classes = reps.select("set", F.col("n_shingles").alias("_n"), "id").join(roots, F.col("id") == F.col("node"), "left").join(degree, "id", "left")
     classes = classes.select(F.col("set").alias("_set"), "_n", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("_root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sig.select("doc_id", "n_shingles", "set").join(classes, (F.col("set") == F.col("_set")) & (F.col("n_shingles") == F.col("_n")) & F.col("doc_id").isNotNull(), "left")
