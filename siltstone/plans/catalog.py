@@ -12,6 +12,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import half_pack, native
 from siltstone.functions.token_count import TokenLength, token_length
@@ -167,17 +168,17 @@ def xml_partial_error(spark, sf_dir):
     return x.select("user_id", "text", F.col("error").startswith("XML parse error: ").alias("failed"), "metadata.partial")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _workbook(name: pd.Series, rows: pd.Series) -> pd.Series:
     return pd.Series([samples.xlsx({n: [list(r.values()) for r in json.loads(x)]}) for n, x in zip(name, rows, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _document(text: pd.Series, broken: pd.Series) -> pd.Series:
     return pd.Series([samples.docx(t.split("\n"), broken=b) for t, b in zip(text, broken, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _pages(rows: pd.Series) -> pd.Series:
     return pd.Series([samples.pdf([json.loads(x)]) for x in rows])
 

@@ -44,7 +44,7 @@ def chunk_rows(good: DataFrame, config: Config) -> DataFrame:
     rows = config.splitter().documents(good, metadata=F.lit(None))
     name = F.concat_ws("_", "stem", F.substring(F.sha2("path", 256), 1, 16)) if config.unique_ids else F.col("stem")
     meta = F.struct(F.col("path").alias("source"), "filename", "chunk_index", "total_chunks", token_length("content", config.tokens).alias("token_count"), "page_count")
-    return rows.select("path", native.chunk_id(name, F.col("chunk_index")).alias("id"), F.col("content").alias("text"), meta.alias("metadata"), (F.col("seq") * F.lit(1 << 24) + F.col("chunk_index")).alias("seq"))
+    return rows.select("path", native.chunk_id(name, F.col("chunk_index")).alias("id"), F.col("content").alias("text"), meta.alias("metadata"), (F.col("seq").cast("long") * F.lit(1 << 24).cast("long") + F.col("chunk_index")).alias("seq"))
 
 
 def results(files: DataFrame, embedded: DataFrame, seconds: float, memory_mb: float) -> DataFrame:

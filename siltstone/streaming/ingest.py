@@ -12,10 +12,10 @@ from siltstone.plans.ingest import Config, ingest_files
 
 def ingest_stream(spark: SparkSession, folder: str, store_path: str, checkpoint: str, config: Config | None = None, files_per_batch: int = 100) -> StreamingQuery:
     """Start an availableNow stream over `folder`. A batch that is run again stores the same ids again, so the store ends in the same state."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_batch).load(folder)
     files = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
 
     def batch(df: DataFrame, number: int) -> None:
-        ingest_files(df.withColumn("seq", F.lit(number) * F.lit(1 << 12)), VectorStore(df.sparkSession, store_path), config)
+        ingest_files(df.withColumn("seq", F.lit(number).cast("long") * (1 << 12) + F.pmod(F.xxhash64("path"), F.lit(1 << 12))), VectorStore(df.sparkSession, store_path), config)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
