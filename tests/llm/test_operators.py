@@ -188,6 +188,40 @@ def test_op5(docs, rows):
     assert set(left[3].asDict()) == set(docs.columns) and left[3].text == dict(rows)[3]
 
 
+def lines_and_periods():
+    """Frequent lines, alone in the first documents and in one order in two later ones, and texts of a few words over and over."""
+    rng = random.Random(3)
+    n = iter(range(10**6))
+    line = lambda k: " ".join(f"w{next(n)}" for _ in range(k))
+    rows, later = [], []
+    for k in (20, 25) * 6:
+        lines = [line(k) for _ in range(60 // k + 1)]
+        rows += [f"{line(30)} {x} {line(30)}" for x in lines for _ in range(3)]
+        whole = " ".join(lines).split()
+        begin = rng.randrange(len(whole) - 59)
+        later += [f"{line(12)} {' '.join(whole[begin : begin + 60])} {line(9)}" for _ in range(2)]
+    for k in (1, 3, 7, 30):
+        some = line(k)
+        rows.append(f"{line(20)} {' '.join([some] * 10)} {line(4)}")
+        later += [f"{line(5)} {' '.join([some] * m)} {line(6)}" for m in (100, 90, 70)]
+    return [(i, t) for i, t in enumerate(rows + later)]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_op5_frequent_lines_and_periods(spark, parts):
+    rows = lines_and_periods()
+    found = defaultdict(set)
+    words = {i: t.split() for i, t in rows}
+    for r in passages.op5(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect():
+        assert r.doc_id > r.other_id and r.stop - r.start >= 50
+        found[r.doc_id] |= set(range(r.start, r.stop))
+    seen: dict = {}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) < i:
+                assert found[i] >= set(range(k, k + 50)), (i, k)
+
+
 def test_op6(docs, rows):
     got = sstable.op6(docs).collect()
     assert len(got) == len(rows)
