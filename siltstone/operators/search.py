@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import native
 
-#: Queries that are broadcast at once by search_many.
+#: Queries of a block that search_many broadcasts at once.
 QUERIES = 1024
 
 
@@ -63,15 +63,25 @@ def lookup(hits: DataFrame, chunks: DataFrame, hit_key: str = "chunk_id", key: s
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", order: str = "ingest_seq") -> DataFrame:
     """The k best vectors for each query (query_id, query): query_id, rank and the vectors' columns.
 
-    At most QUERIES queries a call; each row is scored against all of them
-    where it lies, and the window keeps k a query before the shuffle.
+    Any number of queries, in blocks of QUERIES; each row is scored against all
+    of a block where it lies, and the window keeps k a query before the shuffle.
     """
     if k < 0:
         raise ValueError("top_k must not be negative")
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: call once for each block")
     q = queries.withColumn("query", native.l2_normalize("query")).where(native.norm("query") > 0)
     n = native.norm(vector)
-    rows = vectors.where(n > 0).crossJoin(F.broadcast(q)).withColumn("score", native.dot(vector, "query") / n)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(order))
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("query")
+    ids = [r[0] for r in q.select("query_id").distinct().orderBy("query_id").collect()]
+    blocks = [q]
+    if len(ids) > QUERIES:
+        edges = ids[::QUERIES]
+        # a null query_id sorts first and belongs to the first block
+        low = [F.lit(True)] + [F.col("query_id") >= F.lit(x) for x in edges[1:]]
+        high = [F.col("query_id").isNull() | (F.col("query_id") < F.lit(x)) for x in edges[1:]] + [F.lit(True)]
+        blocks = [q.where(a & b) for a, b in zip(low, high, strict=True)]
+    out = None
+    for block in blocks:
+        rows = vectors.where(n > 0).crossJoin(F.broadcast(block)).withColumn("score", native.dot(vector, "query") / n)
+        part = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("query")
+        out = part if out is None else out.union(part)
+    return out

@@ -50,6 +50,17 @@ def test_ties_and_limits(spark):
         search.topk(v, [1.0], 1).collect()
 
 
+def test_search_many_takes_any_number_of_queries(spark):
+    v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5 - 2)]) for i in range(9)], "ingest_seq int, embedding array<double>")
+    n = 2 * search.QUERIES + 52
+    rows = [(i, [float(i % 11 - 5), 1.0]) for i in range(n)]
+    got = search.search_many(v, spark.createDataFrame(rows, "query_id int, query array<double>"), 2).collect()
+    assert len(got) == 2 * n and {(r.query_id, r.rank) for r in got} == {(i, k) for i in range(n) for k in (1, 2)}
+    best = {r.query_id: r.ingest_seq for r in got if r.rank == 1}
+    for i in (0, search.QUERIES, n - 1):
+        assert best[i] == search.topk(v, rows[i][1], 1).first().ingest_seq
+
+
 def test_mean_pool_kernels():
     h = np.arange(12.0).reshape(1, 3, 4)
     assert embed.mean_pool(h, np.array([[1, 1, 0]])).tolist() == [[2, 3, 4, 5]]
