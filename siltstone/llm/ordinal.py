@@ -138,7 +138,7 @@ def learn(docs: DataFrame, ratings: DataFrame) -> Model | None:
     model = fit(*_rows(first, bucket, use), grade[use], grades)
     f1, b1 = _rows(first, bucket, check)
     f = model.score(np.repeat(np.arange(len(check)), np.diff(f1)), b1, len(check))
-    model.cut = -calibrate(-f, grade[check] == len(grades) - 1, FALSE_ALARMS) if (grade[check] < len(grades) - 1).any() else -np.inf
+    model.cut = -calibrate(-f, grade[check] == len(grades) - 1, FALSE_ALARMS, np.inf) if (grade[check] < len(grades) - 1).any() else -np.inf
     return model
 
 

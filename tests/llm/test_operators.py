@@ -282,6 +282,12 @@ def test_op8(docs, spark, rows):
     assert all(r.kept for r in ordinal.op8(docs, labels.where("false")).collect())
 
 
+def test_op8_rejects_none_without_a_cut(spark):
+    docs = spark.createDataFrame([(i, "the same words in all of them") for i in range(60)], "doc_id long, text string")
+    model = ordinal.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS grade"))
+    assert model.cut == -np.inf
+
+
 def test_op9(docs, rows, spark):
     got = langid.op9(docs).collect()
     assert len(got) == len(rows)
