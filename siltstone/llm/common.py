@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import tempfile
 import uuid
 
@@ -35,11 +36,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
+        if held.isEmpty() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="siltstone-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
@@ -56,6 +59,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a new_path() and is read no more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"_c{i}" for i in itertools.count())
+    return list(itertools.islice((c for c in names if c not in taken), n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -142,7 +158,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     i = 0
     while i < len(starts):
         at = starts[i]
+        if ends[i] - at > CHUNK:  # a word longer than a chunk, in pieces
+            out[i] = _long_hash(data[at : ends[i]])
+            i += 1
+            continue
         j = max(i + 1, int(np.searchsorted(starts, at + CHUNK)))
+        long = np.flatnonzero(ends[i:j] - starts[i:j] > CHUNK)
+        j = i + int(long[0]) if len(long) else j
         span = int(ends[i:j].max() - at)
         sums = np.zeros(span + 1, np.uint64)
         np.cumsum((data[at : at + span].astype(np.uint64) + np.uint64(1)) * _pow(span + 1, 1)[:span], out=sums[1:])
@@ -152,6 +174,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
+def _long_hash(word: np.ndarray) -> np.uint64:
+    total, factor, step = 0, 1, pow(int(_BASE), CHUNK, 1 << 64)
+    for i in range(0, len(word), CHUNK):
+        part = word[i : i + CHUNK].astype(np.uint64) + np.uint64(1)
+        total += int((part * _pow(len(part), 1)[: len(part)]).sum()) * factor
+        factor = factor * step % (1 << 64)
+    return mix(np.array([(total + len(word)) % (1 << 64)], np.uint64))[0]
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive words, by first word; those that leave a text are the caller's to skip."""
     if len(words) < n:

@@ -191,6 +191,45 @@ def test_chains_and_alignment():
     assert passages.align(a[:60], b, [tuple(x) for x in m[chain].tolist() if x[0] < 40], least=50) == []
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 120), st.integers(0, 120)), min_size=2, max_size=50))
+def test_chains_are_those_found_one_by_one(matches):
+    m = np.array(sorted({*matches, *((i, i + 3) for i in range(40, 70, 3))}))
+    q, r, left, want = m[:, 0], m[:, 1], list(range(len(m))), []
+    while len(left) > 1:
+        score, before = passages._best_predecessors(q, r, left)
+        k, chain = max(range(len(left)), key=lambda k: (score[k], -k)), []
+        while k is not None:
+            chain.append(left[k])
+            k = before[k]
+        if len(chain) < 2:
+            break
+        want.append(chain[::-1])
+        left = [i for i in left if not q[chain[-1]] <= q[i] <= q[chain[0]]]
+    assert passages.chains(q, r) == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40))
+def test_subsequence_by_halves(a, b):
+    a, b = np.array(a, int), np.array(b, int)
+    whole = passages._subsequence(a, b)
+    old, passages.CELLS = passages.CELLS, 8
+    try:
+        parts = passages._halves(a, b)
+    finally:
+        passages.CELLS = old
+    assert len(parts) == len(whole) and all(a[i] == b[j] for i, j in parts) and all(x < y and v < w for (x, v), (y, w) in itertools.pairwise(parts))
+
+
+def test_hash_of_a_long_word(monkeypatch):
+    data = np.random.default_rng(1).integers(33, 127, 20_000).astype(np.uint8)
+    starts, ends = np.array([0, 10, 3000, 3500, 9000]), np.array([5, 2500, 3400, 8000, 9100])
+    whole = common.hashes(data, starts, ends)
+    monkeypatch.setattr(common, "CHUNK", 1000)
+    assert (common.hashes(data, starts, ends) == whole).all()
+
+
 def test_ordinal_separates_grades():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 3, 1500)

@@ -248,6 +248,19 @@ def test_op5_fuzzy_near_the_limit(spark):
     assert min(got.values()) >= 98, got
 
 
+@pytest.mark.parametrize("turn", [False, True])
+def test_passages_of_repeated_ids(spark, turn):
+    """Rows of one doc_id with other texts are documents of their own; a row's cuts never fall on another's words."""
+    n = iter(range(10**6))
+    line = lambda k: " ".join(f"w{next(n)}" for _ in range(k))
+    p, x, y, z = line(120), line(80), line(80), line(200)
+    rows = [(3, f"{p} {x}"), (7, f"{p} {y}"), (7, z), (9, p), (None, f"{x} {line(60)}"), (None, line(70)), (7, z)]
+    docs = spark.createDataFrame(rows[::-1] if turn else rows, "doc_id long, text string").repartition(3)
+    left = sorted((r.doc_id or 0, len(r.text.split())) for r in passages.remove(docs).collect())
+    assert left == [(0, 70), (0, 140), (3, 120), (7, 80), (7, 200), (7, 200)]
+    assert {(r.doc_id, r.other_id) for r in passages.passages(docs).collect()} == {(3, None), (7, 3), (9, 3)}
+
+
 def test_op6(docs, rows):
     got = sstable.op6(docs).collect()
     assert len(got) == len(rows)
