@@ -205,20 +205,22 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
         p = plan.value
         starts = [[u[s] for u in p.used] for s in range(len(totals))]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols: tuple[list, ...] = ([], [], [], [], [])
-            ids, counts = [], []
-            for q, at, n, raw in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            counts = []
+            for q, at, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 start, length, seq, off = locate(p, starts, q, at, n)
                 for c, v in zip(cols, (start, length, seq, off, np.full(len(start), n)), strict=True):
                     c.append(v)
-                wide = memoryview(np.frombuffer(raw, width).astype("<u4").tobytes())
-                ids += [wide[4 * i : 4 * (i + m)] for i, m in zip(start.tolist(), length.tolist(), strict=True)]
                 counts.append(len(start))
-            if not counts:
-                continue
             pick = pa.array(np.repeat(np.arange(len(counts)), counts))
-            start, length, seq, off, n = (pa.array(np.concatenate(c).astype(np.int64)) for c in cols)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), start, length, pa.array(ids, pa.binary()), n, seq, off], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            start, length, seq, off, n = (np.concatenate(c).astype(np.int64) for c in cols)
+            # a document's pieces lie side by side, as its ids do: one buffer holds those of the whole batch
+            wide = np.frombuffer(b"".join(batch.column(5).to_pylist()), width).astype("<u4")
+            ends = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int64)
+            ids = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(wide)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start), pa.array(length), ids, pa.array(n), pa.array(seq), pa.array(off)], ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return placed.mapInArrow(task, "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -15,8 +15,10 @@ import numpy as np
 
 from .common import LOWER, NOT_ALNUM, SPACES, chunks, distinct, hashes, runs, text_bytes
 
-#: Words whose ids a worker keeps; beyond it those go that were not met since the last turn.
-MEMO = 800_000
+#: Words whose ids a worker keeps (some 25 bytes each); beyond it those go that were not met since the last turn.
+MEMO = 400_000
+#: Bytes of text that are encoded at once; scratch memory is some 25 times that.
+PART = 1 << 20
 _PLAIN = re.compile(rb"[a-z]+")
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = b".,;:!?"
@@ -39,12 +41,9 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
-        import json
-
-        spec = json.load(open(path, encoding="utf-8"))
-        kinds = str((spec.get("normalizer"), spec.get("pre_tokenizer")))
+        kinds = str([x.__getstate__() for x in (self.full.normalizer, self.full.pre_tokenizer) if x])
         #: The short cuts hold for this shape of tokenizer only.
-        self.short = "Lowercase" in kinds and "ByteLevel" in kinds and "[\\\\p{L}]+|" in kinds and (spec["model"].get("end_of_word_suffix") or "") == "</w>"
+        self.short = "Lowercase" in kinds and "ByteLevel" in kinds and "p{L}]+|" in kinds and getattr(self.model, "end_of_word_suffix", None) == "</w>"
         from tokenizers.pre_tokenizers import ByteLevel
 
         bytelevel = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -90,7 +89,7 @@ class Encoder:
         """
         data, offs = text_bytes(column)
         ids, counts = [np.empty(0, self.dtype)], [np.zeros(1, np.int64)]
-        for i, j in chunks(offs, 4 << 20):
+        for i, j in chunks(offs, PART):
             part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             if not self.short or b"<|" in (raw := part.tobytes()):  # special tokens are told by case
                 got = [self.text(part[a:b].tobytes()) for a, b in itertools.pairwise(at.tolist())]
@@ -104,9 +103,9 @@ class Encoder:
             one, back = distinct(h)
             place, size = self.known.find(h[one], lambda k, o=one, s=starts, e=ends, r=raw: self.word(r[s[o[k]] : e[o[k]]]))
             n = size[back]
-            after = np.cumsum(n)
-            shift = place[back] - (after - n)
-            ids.append(self.known.ids[np.arange(len(n) and after[-1]) + np.repeat(shift, n)])
+            after = np.cumsum(n, dtype=np.int64)
+            shift = (place[back] - (after - n)).astype(np.int32)  # both below 2**31: ids of a part, and of all words kept
+            ids.append(self.known.ids[np.arange(len(n) and after[-1], dtype=np.int32) + np.repeat(shift, n)])
             counts.append(np.diff(np.concatenate([[0], after])[first]))
         return np.concatenate(ids), np.cumsum(np.concatenate(counts))
 
@@ -126,18 +125,18 @@ def _part_tails(data, starts, ends, first):
 
 
 class _Known:
-    """Ids of words by hash, in sorted arrays: some 20 bytes a word."""
+    """Ids of words by hash, in sorted arrays: 17 bytes a word and its ids."""
 
     def __init__(self, dtype):
         self.hash, self.used = np.empty(0, np.uint64), np.empty(0, bool)
-        self.place, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, dtype)
+        self.place, self.size, self.ids = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, dtype)
 
     def find(self, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of the ids of each hash; encode(k) gives the ids of the k-th where it is new."""
         if len(self.hash) > MEMO:
             keep = np.flatnonzero(self.used) if self.used.sum() < MEMO // 2 else np.empty(0, np.int64)
             n = self.size[keep]
-            after = np.cumsum(n)
+            after = np.cumsum(n, dtype=np.int32)
             self.ids = self.ids[np.arange(len(n) and after[-1]) + np.repeat(self.place[keep] - (after - n), n)]
             self.hash, self.size, self.place, self.used = self.hash[keep], n, after - n, np.zeros(len(keep), bool)
         at = np.searchsorted(self.hash, h)
@@ -145,10 +144,10 @@ class _Known:
         if len(new):
             fresh, k = np.unique(h[new], return_index=True)
             got = [encode(x) for x in new[k].tolist()]
-            n = np.fromiter(map(len, got), np.int64, len(got)) // self.ids.dtype.itemsize
+            n = np.fromiter(map(len, got), np.int32, len(got)) // self.ids.dtype.itemsize
             to = np.searchsorted(self.hash, fresh)
             self.hash = np.insert(self.hash, to, fresh)
-            self.place = np.insert(self.place, to, len(self.ids) + np.cumsum(n) - n)
+            self.place = np.insert(self.place, to, len(self.ids) + np.cumsum(n, dtype=np.int32) - n)
             self.size, self.used = np.insert(self.size, to, n), np.insert(self.used, to, False)
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), self.ids.dtype)])
             at = np.searchsorted(self.hash, h)

@@ -1,5 +1,8 @@
 import itertools
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -54,6 +57,24 @@ def test_encoder_equals_library(texts):
         assert ids[i:j].tolist() == e.full.encode(t or "", add_special_tokens=False).ids
 
 
+def test_encoder_memory_is_bounded():
+    """A worker's own memory after a million distinct words, imports included."""
+    code = """
+import re, numpy as np, pyarrow as pa, pyspark.sql
+from siltstone.llm import tokens
+own = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+e, rng, most = tokens.encoder(tokens.vocabulary()), np.random.default_rng(0), 0
+for _ in range(8):
+    w = rng.integers(97, 123, (125_000, 8)).astype(np.uint8)
+    w[:, 7] = 32
+    e.batch(pa.array([x.tobytes().decode() for x in np.split(w, 50)] + [w.tobytes().decode()]))
+    most = max(most, own())
+print(most)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert int(out.stdout.split()[-1]) < 220
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(500, 4000), min_size=1, max_size=8), st.integers(256, 1024))
 def test_packing_phases_give_every_token_once(totals, window):
@@ -209,6 +230,29 @@ def test_chains_are_those_found_one_by_one(matches):
     assert passages.chains(q, r) == want
 
 
+def test_chains_of_a_batch_and_their_first_look():
+    """all_chains() gives what chains() gives of each pair; promising() lets every chain through of which a passage comes."""
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for pair in range(300):
+        a = rng.integers(0, 10**6, rng.integers(60, 160))
+        b = np.concatenate([rng.integers(0, 10**6, rng.integers(0, 40)), a[rng.integers(0, 30) : rng.integers(31, len(a))], rng.integers(0, 10**6, rng.integers(0, 40))])
+        b[rng.random(len(b)) < rng.choice([0, 0.05, 0.15])] = 7
+        where = {tuple(b[j : j + 5]): j for j in range(len(b) - 4)}
+        m = np.array([(i, where[tuple(a[i : i + 5])]) for i in range(len(a) - 4) if tuple(a[i : i + 5]) in where]).reshape(-1, 2)
+        one, q, r = passages.thinned(np.zeros(len(m), int), m[:, 0], m[:, 1])
+        found = [c for _, c in passages.all_chains(one, q, r)]
+        assert [c.tolist() for c in found] == [np.column_stack([q, r])[c].tolist() for c in (passages.chains(q, r) if len(q) else [])]
+        for c in found:
+            a0, b0 = max(0, c[0, 0] - 24), max(0, c[0, 1] - 24)
+            wa, wb = a[a0 : c[-1, 0] + 29], b[b0 : c[-1, 1] + 29]
+            rows.append((a0, len(a), wa.astype("<u2").tobytes(), b0, len(b), wb.astype("<u2").tobytes(), c.astype("<u4").tobytes()))
+            want.append(bool(passages.align(a, b, [tuple(x) for x in c.tolist()])))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["a0", "na", "wa", "b0", "nb", "wb", "chain"])
+    got = passages.promising(batch.slice(1), 50)
+    assert (got | ~np.array(want[1:])).all() and sum(want) > 50 and not passages.promising(batch.slice(0, 0), 50).size
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=40))
 def test_subsequence_by_halves(a, b):
