@@ -6,9 +6,11 @@ starts anywhere else. Which strings are repeated is read off sorted suffixes:
 1. Anchors. Among each `WINDOW` consecutive byte k-grams the leftmost of least
    hash is an anchor, so a string of `least` bytes holds one at a place that
    the string alone decides, and equal strings hold it at the same offset. An
-   anchor answers for the strings that begin `a` bytes before it, a in a range.
-   Only suffixes at anchors are sorted (about one in WINDOW / 2).
-2. Suffixes whose first least - WINDOW + 1 bytes, by hash, occur once in all
+   anchor answers for the strings that begin `a` bytes before it, a in a range,
+   which is cut into cells of CELL offsets; a cell's suffix begins at its least
+   offset, so all its strings share its first least - CELL + 1 bytes. Only
+   these suffixes are sorted (about one in WINDOW / 4).
+2. Suffixes whose first least - CELL + 1 bytes, by hash, occur once in all
    documents cannot begin a repeat; they are left out before any text moves.
 3. Each task sorts its suffixes into runs of bounded size, front-codes them
    (length shared with the suffix before, the rest), joins equal contexts, and
@@ -19,33 +21,37 @@ starts anywhere else. Which strings are repeated is read off sorted suffixes:
    its common prefix with the one before.
 5. Suffixes i and j with common prefix R and common left context L share the
    strings that begin a bytes before them for 400 - R <= a <= L, so each pair
-   of neighbours in a group gives an interval. In large groups all offsets are
-   looked up at once by hashes of both contexts instead of by pairs.
+   of neighbours in a group gives an interval. In large groups all members are
+   told apart at each offset by the runs of equal prefixes in the order of
+   suffixes and in the order of left contexts. Bytes decide, never hashes.
+
+A bucket's memory is that of the distinct contexts of its largest group.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, _pow, cut, mark, mix, prepare, text_bytes
+from .common import CHUNK, _pow, cut, drop_path, mark, mix, new_path, prepare, text_bytes
 
 LEAST, WINDOW, GRAM = 400, 300, 24
+#: Offsets of a cell; those before an anchor are cut into WINDOW / CELL cells.
+CELL = 150
 #: Suffix bytes after which a task closes a run; suffixes that a bucket is meant to hold.
 RUN, BUCKET = 24 << 20, 40_000
-#: Distinct contexts in a group up to which pairs are compared one by one.
+#: Distinct contexts in a group up to which pairs are compared one by one; either way gives the same.
 FEW = 12
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(place, first start, last start, hash of the first least - window + 1 bytes) of each anchor.
+def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST, window: int = WINDOW, cell: int = CELL) -> tuple[np.ndarray, ...]:
+    """(place, first start, last start, hash of the first least - cell + 1 bytes) of each cell's suffix, by place.
 
     A segment of bytes at a time, so scratch memory does not grow with a text.
     """
-    sure, found = least - window + 1, []
+    sure, found = least - cell + 1, []
     ends = np.repeat(offs[1:], np.diff(offs)) if len(data) < CHUNK else None
     for i in range(0, max(0, len(data) - least + 1), CHUNK):
         seg = data[i : i + CHUNK + least - 1]
@@ -69,13 +75,20 @@ def anchors(data: np.ndarray, offs: np.ndarray, least: int = LEAST, window: int
         at = at[start]
         edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         p, lo, hi = at[edge], start[edge], start[np.append(edge[1:], len(at)) - 1]
-        h = mix((sums[p + sure] - sums[p]) * down[p])
-        found.append((p + i, lo + i, hi + i, h))
+        for before in range(0, window, cell):
+            q = p - before
+            a, b = np.maximum(lo, q - cell + 1), np.minimum(hi, q)
+            some = np.flatnonzero(a <= b)
+            q, a, b = q[some], a[some], b[some]
+            h = mix((sums[q + sure] - sums[q]) * down[q])
+            found.append((q + i, np.full(len(q), before), a + i, b + i, h))
     if not found:
         e = np.empty(0, np.int64)
         return e, e, e, np.empty(0, np.uint64)
-    p, lo, hi, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    new = np.append(True, p[1:] != p[:-1])  # a segment's end can halve an anchor's starts
+    p, before, lo, hi, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((lo, before, p))
+    p, before, lo, hi, h = (x[order] for x in (p, before, lo, hi, h))
+    new = np.append(True, (p[1:] != p[:-1]) | (before[1:] != before[:-1]))  # a segment's end can halve a cell's starts
     last = np.append(np.flatnonzero(new)[1:], len(p)) - 1
     return p[new], lo[new], hi[last], h[new]
 
@@ -172,21 +185,23 @@ def intervals(group: list, least: int) -> list:
     size = len(group)
     entries = [g[2] for g in group]
     near, far = np.array([e[1] for e in entries]), np.array([e[2] for e in entries])
-    width = int(far.max()) + 1
-    right = np.frombuffer(b"".join(g[0][:least].ljust(least, b"\0") for g in group), np.uint8).reshape(size, least)
-    left = np.frombuffer(b"".join(e[3][::-1].ljust(width, b"\0") for e in entries), np.uint8).reshape(size, width)
-    weight = mix(np.arange(1, least + 1, dtype=np.uint64)) | np.uint64(1)
-    r = np.cumsum(mix(right.astype(np.uint64) + weight), axis=1, dtype=np.uint64)
-    s = np.cumsum(mix(left.astype(np.uint64) - weight[:width]), axis=1, dtype=np.uint64)
+    shared = np.array([g[1] for g in group])  # the suffixes are sorted: those with equal prefixes stand together
+    shared[0] = 0
+    lefts = [e[3][::-1] for e in entries]
+    order = sorted(range(size), key=lefts.__getitem__)
+    same_left = np.array([0, *(lcp(lefts[i], lefts[j], 0) for i, j in zip(order, order[1:], strict=False))])
+    order = np.array(order)
     single = np.array([e[0] == 1 for e in entries])
-    hit = np.zeros((size, width + 1), bool)
-    for a in range(int(near.min()), width):
+    hit = np.zeros((size, int(far.max()) + 2), bool)
+    left = np.empty(size, np.int64)
+    for a in range(int(near.min()), int(far.max()) + 1):
         some = np.flatnonzero((near <= a) & (a <= far))
-        key = mix(r[some, least - a - 1]) + (s[some, a - 1] if a else np.uint64(0))
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-        hit[some[order[1:][same]], a] = True
-        hit[some[order[:-1][same]], a] = True
+        left[order] = np.cumsum(same_left < a)
+        key = (np.cumsum(shared < least - a) * (size + 1) + left)[some]
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        hit[some[by[1:][same]], a] = True
+        hit[some[by[:-1][same]], a] = True
     hit &= single[:, None]
     for i in np.flatnonzero(hit.any(1)):
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[i]]).astype(np.int8)))
@@ -233,20 +248,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """_id, _hash, spans (start, stop in bytes; they may overlap) of documents in which a string of `least` bytes is repeated."""
     window = WINDOW * least // LEAST
-    sure = least - window + 1
+    cell = max(1, window * CELL // WINDOW)
+    sure = least - cell + 1
     prepare(docs.sparkSession)
     keyed = _keyed(docs).select("_id", "_hash", "text")
 
     def find(batches):
         for batch in batches:
             data, offs = text_bytes(batch.column(2))
-            p, _, _, h = anchors(data, offs, least, window)
+            p, _, _, h = anchors(data, offs, least, window, cell)
             own = np.searchsorted(offs, p, "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(p - offs[own])], ["h", "_i", "_h", "p"])
 
-    places = keyed.mapInArrow(find, "h long, _i long, _h long, p long")
-    twice = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    path = new_path(docs.sparkSession, "places")
+    keyed.mapInArrow(find, "h long, _i long, _h long, p long").write.parquet(path)
+    places = docs.sparkSession.read.parquet(path)
+    # computed apart, so that the join below has a plain exchange on either side and a hot hash can be split
+    twice = cut(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     flagged = cut(places.join(twice, "h").groupBy("_i", "_h").agg(F.collect_set("p").alias("places")))
+    drop_path(docs.sparkSession, path)
     total = flagged.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > BUCKET else 1)
 
@@ -280,7 +300,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
         for batch in batches:
             data, offs = text_bytes(batch.column(2))
             raw = data.tobytes()
-            p, lo, hi, h = anchors(data, offs, least, window)
+            p, lo, hi, h = anchors(data, offs, least, window, cell)
             own = np.searchsorted(offs, p, "right") - 1
             flags = batch.column(3)
             begin = np.array(flags.offsets) - flags.offsets[0].as_py()
