@@ -166,8 +166,9 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
     doc_id, source, start and length (tokens of the document before and in the
     piece), ids (binary: the piece's ids, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset. mixture: target token shares by source;
-    the default is the corpus's own proportions. Documents keep input order
-    within their source. Null text is a document of the end id alone; a null
+    the default is the corpus's own proportions, and a target below four tokens
+    a window or 1/1024 is refused. Documents keep input order within their
+    source. Very long texts are packed whole. Null text is a document of the end id alone; a null
     source is a source of its own; repeated rows are packed again; an empty
     table gives no row. Needs doc_id, text and source; other columns are
     ignored.
@@ -179,6 +180,8 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
     width = encoder(vocab).dtype.str
     small = max(LEAST, 4 / window)
     whole = per.agg(F.sum("n")).first()[0] or 0
+    if low := sorted(k for k, v in (mixture or {}).items() if v < small):
+        raise ValueError(f"a source's target must be {small:.6f} of a window of {window} or more, which is not so for {', '.join(low)}")
     named = [F.col("source").isin(list(mixture))] if mixture else [F.col("t") >= whole * small]
     big = per.groupBy("source").agg(F.sum("n").alias("t")).where(named[0]).collect()
     big = sorted(big, key=lambda r: (-r["t"], r["source"] is not None, r["source"] or ""))
@@ -187,7 +190,7 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
         rest += big.pop()["t"]
     totals, weight = [r["t"] for r in big], [float(r["t"]) for r in big]
     if mixture:
-        weight = [max(small, mixture[r["source"]]) for r in big]
+        weight = [float(mixture[r["source"]]) for r in big]
     if rest:
         totals.append(rest)
         weight.append(max(small, 1 - sum(weight)) if mixture else float(rest))
