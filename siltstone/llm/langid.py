@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, distinct, hashes, mix, prepare, runs, text_bytes
 
-#: Training rows at most (those of the least hash of doc_id), n-gram buckets, lengths of n-grams in bytes, languages at most.
-SAMPLE, BUCKETS, LENGTHS, LANGUAGES = 20_000, 1 << 17, (1, 2, 3, 4), 255
+#: Training rows at most, or 200 a language if that is more (those of the least hash of doc_id), n-gram buckets, lengths of n-grams in bytes.
+SAMPLE, BUCKETS, LENGTHS = 20_000, 1 << 17, (1, 2, 3, 4)
 #: Log-probability that a change of language costs; floor of a candidate that doesn't use the script.
 SWITCH, NOT_USED = 12.0, -60.0
 
@@ -57,19 +57,19 @@ def _ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities [bucket, language], and which scripts each language uses [script, language].
 
-    Learns from text and lang of rows with both; a language needs a row.
+    Learns from text and lang of rows with both; a language needs a row. There
+    is no limit to the languages, but each takes half a MB of memory on the
+    driver and in every worker.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id").alias("_h"))
-    totals = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    totals = known.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in totals)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((SCRIPTS, 0), bool)
     # at least a bounded share of rows for every language, chosen by hash
     each = max(200, SAMPLE // len(langs))
     share = {r["lang"]: min(1.0, each / r["count"]) for r in totals}
-    limit = F.lit(None).cast("double")
-    for lang in langs:
-        limit = F.when(F.col("lang") == lang, F.lit(share[lang])).otherwise(limit)
+    limit = F.element_at(F.create_map(*(F.lit(x) for lang in langs for x in (lang, share[lang]))), F.col("lang"))
     some = known.where(F.pmod("_h", F.lit(1 << 20)) < limit * (1 << 20)).select("text", "lang")
     number = {x: i for i, x in enumerate(langs)}
     wide = BUCKETS + SCRIPTS
@@ -117,8 +117,9 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     if not len(order) or k == 1:
         return out
     size, at = sizes[order], first[:-1][order]
-    back = np.zeros((n, k), np.uint8)
-    stay = np.arange(k, dtype=np.uint8)
+    kind = np.min_scalar_type(k - 1)
+    back = np.zeros((n, k), kind)
+    stay = np.arange(k, dtype=kind)
     best = score[at].astype(np.float64)
     alive = len(order)
     for t in range(1, int(size[0])):
@@ -129,7 +130,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
         high = now[np.arange(alive), top] - switch
         move = now < high[:, None]
         rows = at[:alive] + t
-        back[rows] = np.where(move, top[:, None].astype(np.uint8), stay)
+        back[rows] = np.where(move, top[:, None].astype(kind), stay)
         best[:alive] = np.where(move, high[:, None], now) + score[rows]
     label = best.argmax(1)
     for t in range(int(size[0]) - 1, -1, -1):
@@ -150,7 +151,9 @@ def label(docs: DataFrame, model: tuple, switch: float = SWITCH, spans: bool = F
     lang_pred is `und` (score 0) where text is null or has no letter, or
     nothing was learned. score: the share of the text's letters, in bytes,
     that the predicted language's spans hold. Ties go to the first language by
-    name. Needs doc_id and text; no other column is looked at.
+    name. Very long texts are labelled whole; repeated rows get the same label;
+    an empty table gives no rows. Needs doc_id and text; no other column is
+    looked at.
     """
     langs = model[0]
     sent = docs.sparkSession.sparkContext.broadcast(model[1:])
