@@ -2,10 +2,12 @@
 
 Groups (equal values of a key) are sorted by size, largest first, and each goes
 to the shard that has the least load, through a heap. The driver never sees the
-groups: it sees how many there are of each size class (exact below 8192, 12
-bits of precision above, 217,000 classes at most) and schedules a whole class
-in a few strokes, since groups of one size that go to levelled shards go there
-in turn. A group finds its shard by its number in the size order.
+groups: it sees how many there are of each total size and schedules a whole
+class of equal groups in a few strokes, since groups of one size that go to
+levelled shards go there in turn. A group finds its shard by its number in the
+size order. n bytes have sqrt(2n) distinct sizes at most; where that is too
+many, `bits` bounds the classes by their precision, and a class is scheduled by
+its mean.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import cut
 from .numbering import numbered
 
-_BITS = 12
-
 
 def schedule(classes: list[tuple[int, float]], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Strokes for (count, mean size) classes, largest size first.
@@ -50,20 +50,23 @@ def schedule(classes: list[tuple[int, float]], shards: int) -> tuple[np.ndarray,
     return np.array(first, np.int64), np.array(turns, np.int64), np.array(order, np.int16).reshape(-1, shards)
 
 
-def assign(df: DataFrame, group: Column, size: Column, shards: int = 16) -> DataFrame:
+def assign(df: DataFrame, group: Column, size: Column, shards: int = 16, bits: int | None = None) -> DataFrame:
     """df with `size` long, `shard` int and `slot` long (gapless from 0 in each shard).
 
     group: rows that are equal here stay together (null is a value like any
     other). size: a row's load, at least 1. Repeated rows are rows of their
     own. An empty df gives an empty result. df needs doc_id for the order of
-    slots; columns named _key, _class or _shard are not allowed in it. A group
-    larger than an even share still stays whole: its shard then gets nothing
-    else.
+    slots; columns of the names of the result are replaced, all others stay.
+    A group larger than an even share still stays whole: its shard then gets
+    nothing else. Groups are scheduled by their exact totals; with `bits`, by
+    classes of so many bits of precision.
     """
     spark = df.sparkSession
-    slim = cut(df.withColumn("_key", group).withColumn("size", size.cast("long")))
+    own = [c for c in df.columns if c.lower() not in ("size", "shard", "slot")]
+    # the columns of df travel in a struct, so no name of theirs can clash
+    slim = cut(df.select(F.struct(*own).alias("_row_of"), group.alias("_key"), size.cast("long").alias("size")))
     groups = slim.groupBy("_key").agg(F.sum("size").alias("total"))
-    shift = F.greatest(F.floor(F.log2("total")) - _BITS, F.lit(0)).cast("int")
+    shift = F.greatest(F.floor(F.log2("total")) - bits, F.lit(0)).cast("int") if bits else F.lit(0)
     groups = groups.withColumn("_class", F.call_function("shiftleft", F.call_function("shiftright", F.col("total"), shift), shift))
     ranked = cut(numbered(groups, [F.desc("_class"), F.desc("total"), F.col("_key")]))
     classes = ranked.groupBy("_class").agg(F.count("*").alias("n"), F.sum("total").alias("t")).collect()
@@ -78,8 +81,9 @@ def assign(df: DataFrame, group: Column, size: Column, shards: int = 16) -> Data
         return pd.Series(order[j, (i - first[j]) % turns[j]].astype(np.int32))
 
     placed = ranked.select(F.col("_key").alias("_k"), shard_of("idx").alias("shard"))
-    rows = slim.join(placed, slim["_key"].eqNullSafe(placed["_k"])).drop("_key", "_k")
-    return numbered(rows, [F.col("doc_id")], ["shard"], "slot")
+    rows = slim.join(placed, slim["_key"].eqNullSafe(placed["_k"])).select("_row_of", "size", "shard")
+    out = numbered(rows, [F.col("_row_of.doc_id")], ["shard"], "slot")
+    return out.select(*(F.col("_row_of")[c].alias(c) for c in own), "size", "shard", "slot")
 
 
 def op7(docs: DataFrame, shards: int = 16) -> DataFrame:
