@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,12 @@ def _read_varint(b, i: int) -> tuple[int, int]:
         shift += 7
 
 
+def _pair(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+
+
 def _probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    a, b = _pair(key)
     return [(a + i * b) % bits for i in range(7)]
 
 
@@ -80,7 +85,7 @@ class Writer:
         self.out, self.width = out, width
         self.at = self.docs = self.tokens = 0
         self.block, self.raw, self.last = [], 0, b""
-        self.index, self.keys = bytearray(), []
+        self.index, self.keys = bytearray(), array("I")
 
     def add(self, key: bytes, value: bytes) -> None:
         shared = 0
@@ -92,7 +97,7 @@ class Writer:
         self.block += [head, value]
         self.raw += len(head) + len(value)
         self.last = key
-        self.keys.append(key)
+        self.keys.extend(_pair(key))
         self.docs += 1
         self.tokens += len(value) // self.width
         if self.raw >= BLOCK:
@@ -109,10 +114,11 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        bits = max(64, 10 * len(self.keys))
+        bits = max(64, 10 * self.docs)
+        a, b = np.frombuffer(self.keys, np.uint32).reshape(-1, 2).T.astype(np.uint64)
         bloom = np.zeros(bits, bool)
-        for k in self.keys:
-            bloom[_probes(k, bits)] = True
+        for i in range(7):
+            bloom[(a + np.uint64(i) * b) % np.uint64(bits)] = True
         bloom = struct.pack("<Q", bits) + np.packbits(bloom).tobytes()
         self.out.write(bytes(self.index))
         self.out.write(bloom)
@@ -209,6 +215,8 @@ def write(docs: DataFrame, uri: str, vocab: str | None = None, end_id: int = 2)
         if writer is not None:
             writer.close()
             out.close()
+            if fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an attempt that was lost after its move; some stores don't move onto a file
+                fs.delete_file(final)
             fs.move(beside, final)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"shard-{part:06d}.sst"], "n_docs": pa.array([writer.docs], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64()), "first": [least], "last": [writer.last]})
 
@@ -218,7 +226,11 @@ def write(docs: DataFrame, uri: str, vocab: str | None = None, end_id: int = 2)
 
 
 def read(spark: SparkSession, uri: str, manifest: list) -> DataFrame:
-    """doc_id, start (ids in all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
+    """doc_id, start (ids in all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit).
+
+    A row for each document written, in any order: nulls, repeats and very long
+    documents as write() took them; an empty manifest gives no rows.
+    """
     rows, ahead = [], 0
     for r in manifest:
         rows.append((f"{uri}/{r['file']}", ahead))
