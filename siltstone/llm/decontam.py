@@ -8,9 +8,11 @@ some position implies where the window would lie in the document: candidates
 that leave the document are dropped (length and position bounds), the rest are
 verified there.
 
-The windows are the smaller side. They are cut by hash into blocks of at most
-about BLOCK windows; each block is broadcast and used in turn in the same pass,
-so no broadcast grows with the benchmark.
+The windows are the smaller side. They are cut by hash into blocks of about
+BLOCK windows. A pass over the documents counts rarity for one block, another
+looks for it; then the block goes and the next one comes, with the hits so far
+in a written table. So neither the driver nor an executor ever holds more than
+one block, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_ALNUM, chunks, grams, hashes, mark, mix, prepare, runs, spark_ints, text_bytes
+from .common import LOWER, NOT_ALNUM, chunks, cut, drop_path, fresh, grams, hashes, mark, mix, new_path, prepare, runs, spark_ints, text_bytes
 
 #: Words of a window and of a shingle; windows of a block.
 WINDOW, SHINGLE, BLOCK = 10, 3, 200_000
@@ -150,47 +152,30 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> float:
     return np.isin(want, grams(a, k)).mean()
 
 
-def plan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, contain: float = 1.0) -> list:
-    """Broadcast blocks of windows with their prefix shingles, rarity counted over all of docs."""
-    sc = docs.sparkSession.sparkContext
-    rows = windows(benchmark, window).persist()
-    try:
-        n = math.ceil(rows.count() / BLOCK)
-        blocks = [Block(got, window) for b in range(n) if (got := rows.where(F.pmod(F.xxhash64("words"), F.lit(n)) == b).collect())]
-    finally:
-        rows.unpersist()
-    sent = [sc.broadcast((b.shingles, b.sizes)) for b in blocks]
+def _rarity(docs: DataFrame, block: Block) -> np.ndarray:
+    """How often each shingle of a block occurs in all of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast((block.shingles, block.sizes))
 
     def count(batches):
-        seen = None
+        shingles, sizes = sent.value
+        total, small = np.zeros(len(shingles), np.int64), _filter(shingles)
         for batch in batches:
             data, offs = text_bytes(batch.column(0))
             for i, j in chunks(offs):
-                h, first = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                if seen is None:
-                    seen = [np.zeros(len(s.value[0]), np.int64) for s in sent]
-                for s, total in zip(sent, seen, strict=True):
-                    shingles, sizes = s.value
-                    small = _filter(shingles)
-                    for k in sizes:
-                        g = grams(h, k)
-                        g = g[small[(g >> np.uint64(44)).astype(np.int64)]]
-                        at = np.minimum(np.searchsorted(shingles, g), len(shingles) - 1)
-                        total += np.bincount(at[shingles[at] == g], minlength=len(shingles))
-        for b, total in enumerate(seen or []):
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), spark_ints(sent[b].value[0][some]), pa.array(total[some])], ["block", "shingle", "seen"])
-
-    if blocks:
-        counts = docs.select("text").mapInArrow(count, "block int, shingle long, seen long").groupBy("block", "shingle").agg(F.sum("seen").alias("seen"))
-        for b, block in enumerate(blocks):
-            seen = np.zeros(len(block.shingles), np.int64)
-            for r in counts.where(F.col("block") == b).collect() if len(blocks) > 1 else counts.collect():
-                seen[np.searchsorted(block.shingles, np.uint64(r["shingle"] % (1 << 64)))] = r["seen"]
-            block.choose(seen, contain)
-    for s in sent:
-        s.unpersist()
-    return [sc.broadcast(b) for b in blocks]
+                h, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                for k in sizes:
+                    g = grams(h, k)
+                    g = g[small[(g >> np.uint64(44)).astype(np.int64)]]
+                    at = np.minimum(np.searchsorted(shingles, g), len(shingles) - 1)
+                    total += np.bincount(at[shingles[at] == g], minlength=len(shingles))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([spark_ints(shingles[some]), pa.array(total[some])], ["shingle", "seen"])
+
+    got = docs.select("text").mapInArrow(count, "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen")).toArrow()
+    seen = np.zeros(len(block.shingles), np.int64)
+    seen[np.searchsorted(block.shingles, got.column("shingle").to_numpy().view(np.uint64))] = got.column("seen").to_numpy()
+    sent.destroy()
+    return seen
 
 
 HIT = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,items:array<string>,contaminated:boolean>"
@@ -202,39 +187,72 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, contain: f
     docs needs text, benchmark needs item_id and text. Null and wordless texts
     have no words and no hits; a wordless item matches nothing; an item
     without id hits as the item "". Repeated items and rows count as
-    themselves. A column of docs that is called `into` is replaced. Empty
-    tables give no hits.
+    themselves. Very long texts are searched whole. A column of docs that is
+    called `into` is replaced (fresh() of .common gives a name that isn't), all
+    others stay. Empty tables give no hits.
     """
-    prepare(docs.sparkSession)
-    blocks = plan(docs, benchmark, window, contain)
+    spark = prepare(docs.sparkSession)
     docs = docs.drop(into)
-    text = docs.columns.index("text")
-
-    def task(batches):
-        for batch in batches:
-            data, offs = text_bytes(batch.column(text))
-            n_words, n_hit, items = [], [], []
-            for i, j in chunks(offs):
-                h, first = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                sets: list[set] = [set() for _ in range(j - i)]
-                hit = np.zeros(len(h), bool)
-                for b in blocks:
-                    start, w = b.value.find(h, first, contain)
-                    hit |= mark(len(h), start, start + b.value.n[w])
-                    own = np.searchsorted(first, start, "right") - 1
-                    for d, x in np.unique(np.column_stack([own, w]), axis=0) if len(w) else ():
-                        sets[d].update(b.value.items[x])
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                n_words += np.diff(first).tolist()
-                n_hit += np.diff(sums[first]).tolist()
-                items += [sorted(s) for s in sets]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(items, pa.list_(pa.string())), pa.array([x > 0 for x in n_hit], pa.bool_())]
-            out = pa.StructArray.from_arrays(cols, ["n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, into])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(HIT))])
-    return docs.mapInArrow(task, schema)
+    hits, found = fresh(docs.withColumn(into, F.lit(None)), 2)
+    names, text = docs.columns, docs.columns.index("text")
+    struct = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(HIT))])
+    state = T.StructType([*docs.schema.fields, T.StructField(hits, T.BinaryType()), T.StructField(found, T.ArrayType(T.StringType()))])
+
+    def look(sent, last: bool):
+        """Add the hits of a block to those of the columns `hits` (a bit a word) and `found`, if there; the last pass makes the struct of them."""
+
+        def task(batches):
+            for batch in batches:
+                data, offs = text_bytes(batch.column(text))
+                old = [batch.column(k).to_pylist() if batch.num_columns > len(names) else [None] * batch.num_rows for k in (len(names), len(names) + 1)]
+                n_words, n_hit, items, bits = [], [], [], []
+                for i, j in chunks(offs):
+                    h, first = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    sets: list[set] = [set(old[1][d] or ()) for d in range(i, j)]
+                    hit = np.zeros(len(h), bool)
+                    for d in range(i, j):
+                        if old[0][d]:
+                            hit[first[d - i] : first[d - i + 1]] = np.unpackbits(np.frombuffer(old[0][d], np.uint8), count=int(first[d - i + 1] - first[d - i]))
+                    if sent is not None:
+                        start, w = sent.value.find(h, first, contain)
+                        hit |= mark(len(h), start, start + sent.value.n[w])
+                        own = np.searchsorted(first, start, "right") - 1
+                        for d, x in np.unique(np.column_stack([own, w]), axis=0) if len(w) else ():
+                            sets[d].update(sent.value.items[x])
+                    sums = np.concatenate([[0], np.cumsum(hit)])
+                    n_words += np.diff(first).tolist()
+                    n_hit += np.diff(sums[first]).tolist()
+                    items += [sorted(s) for s in sets]
+                    if not last:
+                        bits += [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else None for a, b in zip(first[:-1], first[1:], strict=True)]
+                listed = pa.array(items, pa.list_(pa.string()))
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(bits, pa.binary()), listed], [*names, hits, found])
+                    continue
+                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+                cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), listed, pa.array([x > 0 for x in n_hit], pa.bool_())]
+                out = pa.StructArray.from_arrays(cols, ["n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], out], [*names, into])
+
+        return task
+
+    wanted = cut(windows(benchmark, window))
+    n, path = max(1, math.ceil(wanted.count() / BLOCK)), None
+    for b in range(n):
+        rows, sent = wanted.where(F.pmod(F.xxhash64("words"), F.lit(n)) == b).collect(), None
+        if rows:
+            block = Block(rows, window)
+            block.choose(_rarity(docs.select("text"), block), contain)
+            sent = spark.sparkContext.broadcast(block)
+        if b == n - 1:
+            return docs.mapInArrow(look(sent, True), struct)
+        before, path = path, new_path(spark, "hits")
+        docs.mapInArrow(look(sent, False), state).write.parquet(path)
+        docs = spark.read.schema(state).parquet(path)
+        if before:
+            drop_path(spark, before)
+        if sent is not None:
+            sent.destroy()
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
