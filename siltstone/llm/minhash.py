@@ -188,7 +188,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     Null, empty and wordless texts have an empty set and are linked with
     nothing. A row without doc_id is linked with nothing, has no component and
     is kept. Rows that repeat a doc_id are the same document and get the same
-    row. Ties go to the least doc_id. An empty table gives no rows.
+    row, so a row that is kept is kept as often as it stands there. Ties go to
+    the least doc_id. Very long texts are shingled whole; other columns are
+    ignored. An empty table gives no rows.
     """
     sig = cut(sign(docs, shingle))
     named = sig.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull())

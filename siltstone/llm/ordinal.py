@@ -156,8 +156,10 @@ def grade(docs: DataFrame, model: Model | None, into: str = "verdict") -> DataFr
 
     Kept is false where f(text) is at most the calibrated cut. Null and empty
     texts have features of their statistics only and are graded like others.
-    Without a model everything is kept and grades are null. A column of docs
-    that is called `into` is replaced; docs needs text.
+    Without a model everything is kept and grades are null. Very long texts are
+    graded whole; repeated rows and ties are graded alike; an empty table gives
+    no rows. A column of docs that is called `into` is replaced (fresh() of
+    .common gives a name that isn't); docs needs text.
     """
     docs = docs.drop(into)
     if model is None:

@@ -99,8 +99,49 @@ def test_op2(docs, rows, spark):
     labels = spark.createDataFrame([(i, int(i % 5 != 0), None) for i in range(60)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = rules.op2(docs, labels).collect()
     assert len(got) == len(rows)
-    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows}
-    assert all(r.n_words == words[r.doc_id] and (not r.base_failed or not r.kept) for r in got)
+    text = dict(rows)
+    for r in got:
+        t = text[r.doc_id] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        c = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        hit = {k + d for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit))
+        assert r.base_failed == (len(w) < 50 or 2 * len(hit) > len(w)) and not (r.base_failed and r.kept) and (r.anomaly is None) == r.base_failed
+    by = {}
+    for r in got:  # ties and repeated rows
+        assert by.setdefault((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), (r.anomaly, r.kept)) == (r.anomaly, r.kept)
+
+
+def test_isolation_by_path_lengths():
+    """Scores are those of walking each tree to its leaf, one document after another."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (700, 4))
+    forest = rules.grow([x[rng.choice(700, 64, replace=False)] for _ in range(30)])
+    usual = lambda n: 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+    for row, score in zip(x[:60], forest.score(x[:60]), strict=True):
+        total = 0
+        for t in range(30):
+            node = 0
+            while forest.feature[t, node] >= 0:
+                node = forest.left[t, node] + (row[forest.feature[t, node]] >= forest.split[t, node])
+            total += forest.length[t, node]
+        assert abs(score - 2 ** (-total / 30 / usual(64))) < 1e-9
+
+
+def test_trees_draw_from_the_whole_table(spark):
+    rows = [(i, i % 977 + 60, i, i % 7, 0, 0) for i in range(20_000)]
+    stats = spark.createDataFrame(rows, f"doc_id long, {rules.STATS}").repartition(7)
+    drawn = rules.draw(stats, len(rows))
+    assert [len(d) for d in drawn] == [rules.LEAVES] * rules.TREES
+    again = rules.draw(stats.repartition(2), len(rows))
+    assert all((a == b).all() for a, b in zip(drawn, again, strict=True))
+    lengths = np.concatenate([d[:, 1] for d in drawn])
+    assert len(np.unique(lengths)) > 10_000
 
 
 def check_pieces(got, rows, window):
@@ -149,6 +190,11 @@ def hits(text, items):
     return len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit)
 
 
+def test_op3_refuses_a_target_it_cannot_keep(docs):
+    with pytest.raises(ValueError, match="s1"):
+        packing.pack(docs, mixture={"s0": 0.5, "s1": 0.0001})
+
+
 @pytest.mark.parametrize("block", [200_000, 7])
 def test_op4(docs, rows, spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK", block)
@@ -258,7 +304,9 @@ def test_passages_of_repeated_ids(spark, turn):
     docs = spark.createDataFrame(rows[::-1] if turn else rows, "doc_id long, text string").repartition(3)
     left = sorted((r.doc_id or 0, len(r.text.split())) for r in passages.remove(docs).collect())
     assert left == [(0, 70), (0, 140), (3, 120), (7, 80), (7, 200), (7, 200)]
-    assert {(r.doc_id, r.other_id) for r in passages.passages(docs).collect()} == {(3, None), (7, 3), (9, 3)}
+    # which of the earlier holders a row names depends on how documents lie in tasks
+    got = {r.doc_id: r.other_id for r in passages.passages(docs).collect()}
+    assert got.pop(9) in (3, 7) and got == {3: None, 7: 3}
 
 
 def test_op6(docs, rows):
@@ -287,6 +335,44 @@ def test_op7(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_op7_exact_totals_of_large_groups(spark):
+    """Largest first to the least loaded, with sizes of any precision; columns of any name stay."""
+    rng = random.Random(9)
+    rows = [(i, i // 2, rng.randint(10**6, 10**9), "x", 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, g long, n long, _key string, _row int")
+    loads, totals = [0] * 5, Counter()
+    for _, g, n, *_ in rows:
+        totals[g] += n
+    for n in sorted(totals.values(), reverse=True):
+        loads[loads.index(min(loads))] += n
+    got = shards.assign(df, F.col("g"), F.col("n"), 5)
+    assert got.columns == [*df.columns, "size", "shard", "slot"]
+    per = Counter()
+    for r in got.collect():
+        per[r.shard] += r.n
+        assert r._key == "x" and r._row == 1
+    assert sorted(per.values()) == sorted(loads)
+    rough = Counter()
+    for r in shards.assign(df, F.col("g"), F.col("n"), 5, bits=4).collect():
+        rough[r.shard] += r.n
+    assert max(rough.values()) < 1.3 * min(rough.values())
+
+
+def test_op8_by_plain_code(spark, docs, rows):
+    """Expected grades and tails from the weights, one feature of one document after another."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 9 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = ordinal.learn(docs.where("doc_id < 60"), ordinal.ratings(labels))
+    graded = {r.doc_id: r for r in ordinal.grade(docs, model).collect()}
+    assert model.grades == [0, 1, 2] and (np.diff(model.thresholds) > 0).all()
+    for i, t in list(dict(rows).items())[:110]:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        f = sum(float(model.weights[b]) for b in ordinal.featurize(data, np.array([0, len(data)]))[1])
+        tails = [1 / (1 + np.exp(th - f)) for th in model.thresholds]
+        v = graded[i].verdict
+        assert np.allclose(v.tails, tails, atol=1e-5) and abs(v.expected_grade - sum(tails)) < 1e-5 and v.top_probability == v.tails[-1] and v.kept == (f > model.cut)
+    assert graded[None].hit is None and all(r.hit == "clash" for i, r in graded.items() if i is not None)
+
+
 def test_op8(docs, spark, rows):
     bad = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" vilewordly"))).otherwise(F.col("text"))).where("doc_id < 60")
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(60)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
@@ -316,6 +402,15 @@ def test_op9(docs, rows, spark):
     assert a.lang_pred == "xx" and [s.lang for s in a.spans] == ["xx", "yy", "el"] and b.lang_pred == "und"
 
 
+def test_more_languages_than_a_byte_holds(spark):
+    say = lambda k: " ".join(chr(0x4E00 + 3 * k + j % 3) * 2 for j in range(12))
+    train = spark.createDataFrame([(k, say(k), f"l{k:03d}") for k in range(300)], "doc_id long, text string, lang string")
+    model = langid.learn(train)
+    assert len(model[0]) == 300
+    got = langid.label(train, model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in got) > 290
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -364,3 +459,18 @@ def test_pipeline(spark, docs, tmp_path):
     clean = stage["benchmark_leaks"](spark, table, d)
     assert {r.doc_id for r in table.collect()} - {r.doc_id for r in clean.collect()} == {i for i, t, *_ in rows if hits(t, [(1, leak)])[4]}
     assert corpus_pipeline.run(spark, d).count() > 0
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, tmp_path):
+    """Columns that carry the names of the operators' own results stay with their types and values."""
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(dict((i, t) for i, t, *_ in corpus())[4].split()[:12]))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    names = ("hit", "verdict", "_empty", "_d", "_spans", "_gone", "_c0", "_c1", "kept", "id", "set", "_id", "_hash", "start")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, d)
+        assert out.schema == odd.schema, name
+        for r in out.collect():
+            assert all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, d).count() > 0
