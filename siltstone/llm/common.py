@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; whole texts travel, so batches are kept small.
 BATCH_ROWS = 1024
@@ -59,6 +60,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
 
 
+def least_hashed(df: DataFrame, key: str, most: int) -> DataFrame:
+    """`most` rows of df at most, those of the least xxhash64 of column `key`, in that order; about as many are sorted, however large df is."""
+    n = df.count()
+    if n > most:
+        share = (most + 8 * most**0.5) / n
+        df = df.where(F.xxhash64(key) <= F.lit(int(min(1.0, share) * (2**64 - 2048)) - 2**63))
+    return df.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete what was written to a new_path() and is read no more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

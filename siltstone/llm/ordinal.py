@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_ALNUM, chunks, hashes, mix, owners, prepare, runs, text_bytes
+from .common import LOWER, NOT_ALNUM, chunks, hashes, least_hashed, mix, owners, prepare, runs, text_bytes
 from .rules import calibrate, statistics
 
 #: Hash bits; labelled rows that are used at most (those of the least xxhash64(doc_id)); of these, the share held back to set the cut.
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, ratings: DataFrame) -> Model | None:
     """Fit on ratings (doc_id, grade int); null grades and repeats of a doc_id (the least grade holds) aside. None without two grades."""
     prepare(docs.sparkSession)
     graded = ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("grade").alias("_grade"))
-    some = graded.orderBy(F.xxhash64("_id"), "_id").limit(LABELLED)  # at most LABELLED rows of 12 bytes: safe to broadcast
+    some = least_hashed(graded, "_id", LABELLED)  # at most LABELLED rows of 12 bytes: safe to broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_grade")
 
     def task(batches):

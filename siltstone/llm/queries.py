@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minhash, ordinal, packing, passages, rules, shards, sstable, suffixes
+from . import decontam, langid, minhash, oracles, ordinal, packing, passages, rules, shards, sstable, suffixes
 from .common import prepare, table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_prefix_decontamination": decontam.ORACLE}
+    return dict(oracles.SQL)
