@@ -83,7 +83,9 @@ def fresh(df: DataFrame, n: int) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer partitions than cores (a file of one row group) is dealt to all cores, larger ones are not moved."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 # ---------------------------------------------------------------- bytes, words
