@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _parts(flat, sizes: list, none: pd.Series) -> pd.Series:
+    """Slices of `flat` of the given sizes, in the places that are not null."""
+    ends = np.cumsum(sizes).tolist()
+    out = pd.Series([None] * len(none), none.index, object)
+    out[~none] = pd.Series([flat[e - n : e] for e, n in zip(ends, sizes, strict=True)], none.index[~none], object)
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def pack(v: pd.Series) -> pd.Series:
+    none = v.isna()
+    there = v[~none].tolist()
     with np.errstate(over="ignore"):
-        return v.map(lambda x: None if x is None else np.asarray(x, np.float64).astype("<f2").tobytes())
+        flat = np.concatenate([np.empty(0), *there]).astype("<f2").tobytes()
+    return _parts(flat, [2 * len(x) for x in there], none)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype(np.float32))
+    none = b.isna()
+    there = b[~none].tolist()
+    flat = np.frombuffer(b"".join(there), "<f2").astype(np.float32)
+    return _parts(flat, [len(x) // 2 for x in there], none)

@@ -30,14 +30,36 @@ def encoding(name: str = "byte_bpe_50k"):
     return _loaded[name]
 
 
+#: Characters up to which a piece's count is kept, and how many counts a worker keeps.
+SHORT, KEPT = 24, 200_000
+
+
 class TokenLength:
     """A picklable length function. Strings of special tokens count as ordinary text."""
 
     def __init__(self, name: str = "byte_bpe_50k"):
         self.name = name
+        self._known: dict[str, int] = {}
+
+    def __getstate__(self):
+        return {"name": self.name, "_known": {}}
 
     def __call__(self, text: str) -> int:
-        return len(encoding(self.name).encode_ordinary(text))
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[int]:
+        """Counts of all texts; those of short ones, which recur, are kept."""
+        encode, known, out = encoding(self.name).encode_ordinary, self._known, []
+        if len(known) > KEPT:
+            known.clear()
+        for t in texts:
+            n = known.get(t)
+            if n is None:
+                n = len(encode(t))
+                if len(t) <= SHORT:
+                    known[t] = n
+            out.append(n)
+        return out
 
 
 def token_length(text, name: str = "byte_bpe_50k"):
@@ -45,6 +67,7 @@ def token_length(text, name: str = "byte_bpe_50k"):
 
     @F.pandas_udf("int")
     def lengths(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else count(t)).astype("Int32")
+        counts = iter(count.many(texts.dropna().tolist()))
+        return pd.Series([next(counts) if there else pd.NA for there in texts.notna()], texts.index, "Int32")
 
     return lengths(text)
