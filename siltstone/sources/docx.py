@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from xml.etree import ElementTree
 
 from siltstone.sources.safe_zip import Archive, events, local
@@ -69,22 +70,17 @@ def structured(content: bytes) -> list[str]:
 
 
 def stream(content: bytes) -> list[str]:
-    """Every non-empty paragraph in document order, of any namespace; what fails gives no paragraphs."""
-    parts, run = [], []
-    try:
-        for kind, e in events(Archive(content).open(_BODY)):
-            if kind == "start":
-                continue
-            if e.tag.endswith("}t") and e.text:
-                run.append(e.text)
-            elif e.tag.endswith("}p"):
-                if run:
-                    parts.append("".join(run))
-                run = []
+    """Every non-empty paragraph in document order, of any namespace; where the file breaks off, those that ended before."""
+    paragraphs = [""]
+    # the last resort: whatever fails leaves what was read
+    with contextlib.suppress(Exception):
+        for e in (e for kind, e in events(Archive(content).open(_BODY)) if kind == "end"):
+            name = local(e.tag) if "}" in e.tag else ""
+            paragraphs[-1] += e.text or "" if name == "t" else ""
+            if name == "p" and paragraphs[-1]:
+                paragraphs.append("")
             e.clear()
-    except Exception:  # noqa: BLE001  the last resort: no text
-        return []
-    return parts
+    return paragraphs[:-1]
 
 
 def parse(content: bytes) -> dict:

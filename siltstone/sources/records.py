@@ -70,6 +70,8 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, content of existing files by Spark's binaryFile source (globs and directories too)."""
+    """path, content of existing files by Spark's binaryFile source (globs and directories too). A file above MAX_FILE has a null content, so that it becomes an error record."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return rows.where(F.col("length") <= MAX_FILE).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
+    path = F.regexp_replace("path", "^file:(//)?", "").alias("path")
+    small = rows.where(F.col("length") <= MAX_FILE).select(path, "content")
+    return small.unionByName(rows.where(F.col("length") > MAX_FILE).select(path, F.lit(None).cast("binary").alias("content")))

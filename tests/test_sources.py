@@ -1,3 +1,7 @@
+import io
+import tracemalloc
+import zipfile
+
 import pytest
 
 from siltstone.sources import records, samples
@@ -37,8 +41,33 @@ def test_xlsx_cells():
 
 
 def test_large_workbook():
-    x = parse(samples.xlsx({"S": [[f"Cell_{i}_{j}" for j in range(10)] for i in range(5000)]}), ".xlsx")
-    assert x["metadata"]["total_rows"] == 5000 and "Cell_4999_9" in x["text"]
+    """Ten thousand rows within a few times the size of their text."""
+    book = samples.xlsx({"S": [[i, i * 37 % 1001, f"item {i % 97}", i % 2 == 0] for i in range(10_000)]})
+    tracemalloc.start()
+    x = parse(book, ".xlsx")
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert x["metadata"]["total_rows"] == 10_000 and x["text"].endswith("\n9999\t594\titem 8\tFalse")
+    assert peak < 60 << 20
+
+
+def test_docx_that_breaks_off_keeps_what_ended():
+    whole = samples.docx(["one", "two", "three"])
+    with zipfile.ZipFile(io.BytesIO(whole)) as z:
+        body = z.read("word/document.xml").decode()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", body[: body.index("three") + 2])
+    x = parse(out.getvalue(), ".docx")
+    assert x["text"] == "one\n\ntwo" and x["error"] is None
+
+
+def test_file_above_the_limit_is_an_error_record(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.xml").write_bytes(b"<a>small</a>")
+    (tmp_path / "b.xml").write_bytes(b"<a>" + b"large " * 100 + b"</a>")
+    monkeypatch.setattr(records, "MAX_FILE", 100)
+    got = {r.filename: r for r in records.extract(records.read_files(spark, str(tmp_path))).collect()}
+    assert got["a.xml"].text == "small" and got["b.xml"].error.startswith("Extraction failed: ")
 
 
 def test_pdf_pages():
