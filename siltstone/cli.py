@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 from pathlib import Path
 
@@ -24,7 +25,8 @@ def session() -> SparkSession:
 def run_ingest(args) -> int:
     store = VectorStore(session(), str(Path(args.output).absolute() / "vectors"))
     if args.verbose:
-        print(f"Ingesting {', '.join(args.input)} into {store.path}", file=sys.stderr)
+        logging.basicConfig(stream=sys.stderr, format="%(message)s")
+        logging.getLogger("siltstone").setLevel(logging.INFO)
     rows = [r.asDict() for r in ingest.ingest_paths(store.spark, args.input, store).collect()]
     Path(args.output).mkdir(parents=True, exist_ok=True)
     out = Path(args.output) / "ingestion_result.json"

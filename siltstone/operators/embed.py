@@ -12,7 +12,7 @@ import time
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +24,29 @@ DIMENSION = 384
 class HashProvider:
     """Words at ASCII spaces, lower-cased; md5 gives bucket (first 8 hex digits) and sign (the next digit)."""
 
+    #: Words whose place a worker keeps.
+    KEPT = 200_000
+
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
+        self._known: dict[str, tuple[int, int]] = {}
+
+    def __getstate__(self):
+        return {"dimension": self.dimension, "_known": {}}
+
+    def _place(self, word: str) -> tuple[int, int]:
+        h = hashlib.md5(word.encode()).digest()
+        return int.from_bytes(h[:4]) % self.dimension, 1 if h[4] < 128 else -1
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        words = [[w for w in t.lower().split(" ") if w] for t in texts]
+        new = {w for ws in words for w in ws} - self._known.keys()
+        if len(self._known) + len(new) > self.KEPT:
+            self._known, new = {}, {w for ws in words for w in ws}
+        self._known.update((w, self._place(w)) for w in new)
+        places = np.array([(i, *self._known[w]) for i, ws in enumerate(words) for w in ws], np.int64).reshape(-1, 3)
         out = np.zeros((len(texts), self.dimension))
-        for i, text in enumerate(texts):
-            for word in text.lower().split(" "):
-                if word:
-                    h = hashlib.md5(word.encode()).hexdigest()
-                    out[i, int(h[:8], 16) % self.dimension] += 1 if int(h[8], 16) < 8 else -1
+        np.add.at(out, (places[:, 0], places[:, 1]), places[:, 2])
         return l2(out)
 
 
@@ -85,23 +98,36 @@ def embed(df: DataFrame, text: str, provider=None, batch: int = BATCH) -> DataFr
     names = [c for c in df.columns if c not in ("embedding", "dimension", "norm", "batch_ms", "batch_size")]
     df = df.select(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider([""])
-        for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch].copy()
+        for rows in batches:
+            texts = [t or "" for t in rows.column(at).to_pylist()]
+            vectors, ms, size = [], [], []
+            for i in range(0, len(texts), batch):
+                part = texts[i : i + batch]
                 began = time.perf_counter()
                 with np.errstate(over="ignore"):
-                    v = np.asarray(provider(part[text].fillna("").tolist())).astype("<f2")
-                part["batch_ms"] = (time.perf_counter() - began) * 1000
-                part["batch_size"] = len(part)
-                part["embedding"] = [x.tobytes() for x in v]
-                part["dimension"] = v.shape[1]
-                part["norm"] = np.linalg.norm(v.astype(np.float64), axis=1)
-                yield part[[*names, "embedding", "dimension", "norm", "batch_ms", "batch_size"]]
+                    vectors.append(np.asarray(provider(part)).astype("<f2"))
+                ms += [(time.perf_counter() - began) * 1000] * len(part)
+                size += [len(part)] * len(part)
+            if not texts:
+                continue
+            v = np.concatenate(vectors)
+            width = v.shape[1] * 2
+            packed = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(np.arange(len(v) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(v))])
+            cols = [packed, pa.array(np.full(len(v), v.shape[1], np.int32)), pa.array(np.linalg.norm(v.astype(np.float64), axis=1)), pa.array(ms), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *cols], [*names, "embedding", "dimension", "norm", "batch_ms", "batch_size"])
 
     schema = T.StructType(list(df.schema.fields)).add("embedding", "binary").add("dimension", "integer").add("norm", "double").add("batch_ms", "double").add("batch_size", "integer")
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def counters(df: DataFrame) -> DataFrame:
+    """What a run of embed() did: total_embeddings, dimension (null without any), batches and latency_ms. A new run counts anew, so there is nothing to reset."""
+    per = 1 / F.col("batch_size")
+    return df.agg(F.count("embedding").alias("total_embeddings"), F.max("dimension").alias("dimension"), F.coalesce(F.round(F.sum(per)).cast("long"), F.lit(0)).alias("batches"), F.coalesce(F.sum(F.col("batch_ms") * per) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("latency_ms"))
 
 
 def latency(df: DataFrame) -> DataFrame:

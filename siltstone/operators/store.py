@@ -99,11 +99,15 @@ class VectorStore:
         top = max(top, self.vectors().agg(F.max("ingest_seq")).first()[0] or 0)
         rows = records.where(F.col("id").isNotNull() & F.col("text").isNotNull())
         rows = rows.withColumn("ingest_seq", F.lit(top) + 1 + F.col("seq"))
-        chunks = rows.select("id", "text", "metadata", F.current_timestamp().alias("created_at"), "ingest_seq")
+        rows = rows.persist()  # both datasets and the count come of them
         whole = rows.where(F.col("embedding").isNotNull())
         vectors = whole.select(F.col("id").alias("chunk_id"), "embedding", "dimension", F.lit("float16").alias("dtype"), "norm", "ingest_seq")
-        stored = whole.count()
-        self._publish(upsert(self.chunks(), chunks, "id", "ingest_seq"), upsert(self.vectors(), vectors, "chunk_id", "ingest_seq"))
+        chunks = rows.select("id", "text", "metadata", F.current_timestamp().alias("created_at"), "ingest_seq")
+        try:
+            stored = whole.count()
+            self._publish(upsert(self.chunks(), chunks, "id", "ingest_seq"), upsert(self.vectors(), vectors, "chunk_id", "ingest_seq"))
+        finally:
+            rows.unpersist()
         return stored
 
     def delete(self, *ids: str) -> bool:
@@ -114,7 +118,11 @@ class VectorStore:
 
     def delete_source(self, source: str) -> bool:
         """Remove the chunks of one source file, for use before it is ingested anew."""
-        gone = self.chunks().where(F.col("metadata.source") == source).select("id")
+        return self.delete_sources(self.spark.createDataFrame([(source,)], "path string"))
+
+    def delete_sources(self, sources: DataFrame) -> bool:
+        """Remove the chunks of all source files in `sources` (path) in one write."""
+        gone = self.chunks().join(sources.select("path").distinct(), F.col("metadata.source") == F.col("path"), "left_semi").select("id")
         self._publish(without(self.chunks(), gone, "id"), without(self.vectors(), gone, "chunk_id"))
         return True
 

@@ -36,10 +36,20 @@ def _query(spark, sf_dir) -> list[float]:
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer partitions than there are cores, over all cores: a file of one row group would keep a Python kernel on one of them. Larger tables are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---------------------------------------------------------------- search
 
 
@@ -54,7 +64,7 @@ def search_scores(spark, sf_dir):
 
 def search_multi_query(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.search_many(v, q, 5, order="vec_id").select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", _rounded("score").alias("score"))
 
 
@@ -108,8 +118,15 @@ def embed_hash(spark, sf_dir):
 
 
 def batch_assign(spark, sf_dir):
-    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / embed.BATCH).alias("batch"))
-    return v.groupBy("batch").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+    """Rows of embed() by the size of their batch: all batches but the last of a task's Arrow batch are full."""
+    e = embed.embed(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name").persist()
+    whole = e.groupBy("batch_size").agg((F.count("*") % F.col("batch_size")).alias("rest"))
+    return e.agg(F.count("*").alias("n"), F.max("batch_size").alias("largest")).crossJoin(whole.agg(F.sum("rest").alias("rest")))
+
+
+def embed_counters(spark, sf_dir):
+    e = embed.embed(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    return embed.counters(e).select("total_embeddings", "dimension", (F.col("latency_ms") > 0).alias("timed"))
 
 
 def latency_average(spark, sf_dir):
@@ -183,15 +200,18 @@ def _pages(rows: pd.Series) -> pd.Series:
     return pd.Series([samples.pdf([json.loads(x)]) for x in rows])
 
 
-def _nations(spark, sf_dir) -> DataFrame:
-    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+def _books(spark, sf_dir) -> DataFrame:
+    """The orders of each customer, in order."""
+    o = _t(spark, sf_dir, "orders")
+    return o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("l"))
 
 
 def xlsx_rows(spark, sf_dir):
-    cells = F.to_json(F.transform("l", lambda s: F.struct(s["n_nationkey"].alias("a"), F.when(s["n_nationkey"] % 4 != 0, s["n_name"]).alias("b"), (s["n_nationkey"] % 2 == 0).alias("c"))), {"ignoreNullFields": "false"})
-    x = _extracted(_nations(spark, sf_dir), ".xlsx", _workbook("r_name", cells))
-    return x.select("r_regionkey", "text", "metadata.total_rows", F.col("page_count").cast("bigint").alias("page_count"))
+    """A sheet for each customer; every fifth order is a blank row."""
+    there = lambda s, c: F.when(s["o_orderkey"] % 5 != 4, c)
+    cells = F.to_json(F.transform("l", lambda s: F.struct(there(s, s["o_orderkey"]).alias("a"), there(s, F.when(s["o_orderkey"] % 4 != 0, s["o_orderstatus"])).alias("b"), there(s, s["o_orderkey"] % 2 == 0).alias("c"))), {"ignoreNullFields": "false"})
+    x = _extracted(_books(spark, sf_dir), ".xlsx", _workbook(F.concat(F.lit("C"), "o_custkey"), cells))
+    return x.select("o_custkey", "text", "metadata.total_rows", F.col("page_count").cast("bigint").alias("page_count"))
 
 
 def docx_paragraphs(spark, sf_dir):
@@ -205,13 +225,14 @@ def docx_fallback(spark, sf_dir):
 
 
 def pdf_lines(spark, sf_dir):
-    x = _extracted(_nations(spark, sf_dir), ".pdf", _pages(F.to_json(F.transform("l", lambda s: s["n_name"]))))
-    return x.select("r_regionkey", "text", F.col("page_count").cast("bigint").alias("page_count"))
+    line = lambda s: F.concat(s["o_orderstatus"], F.lit(" (\\"), s["o_orderkey"].cast("string"), F.lit(")"))
+    x = _extracted(_books(spark, sf_dir), ".pdf", _pages(F.to_json(F.transform("l", line))))
+    return x.select("o_custkey", "text", F.col("page_count").cast("bigint").alias("page_count"))
 
 
 def table_to_tsv(spark, sf_dir):
-    rows = F.transform("l", lambda s: F.when(s["n_nationkey"] % 6 != 5, F.array(F.when(s["n_nationkey"] % 4 != 0, s["n_name"]), F.concat(F.lit(" "), s["n_nationkey"].cast("string"), F.lit("\t")), F.lit(""))))
-    return _nations(spark, sf_dir).select("r_regionkey", native.table_text(rows).alias("text"))
+    rows = F.transform("l", lambda s: F.when(s["o_orderkey"] % 6 != 5, F.array(F.when(s["o_orderkey"] % 4 != 0, s["o_orderstatus"]), F.concat(F.lit(" "), s["o_orderkey"].cast("string"), F.lit("\t")), F.lit(""))))
+    return _books(spark, sf_dir).select("o_custkey", native.table_text(rows).alias("text"))
 
 
 # ---------------------------------------------------------------- splitting
@@ -270,11 +291,11 @@ def split_no_loss(spark, sf_dir):
 
 
 def split_full(spark, sf_dir):
-    return Splitter(512, 51, length=TokenLength()).documents(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return Splitter(512, 51, length=TokenLength()).documents(_spread(_t(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def token_lengths(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", token_length("text").alias("n_tokens"))
+    return _spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", token_length("text").alias("n_tokens"))
 
 
 # ---------------------------------------------------------------- scalars
@@ -372,13 +393,29 @@ def ingest_results(spark, sf_dir):
     return ingest.ingest_files(d, VectorStore(spark, _place(spark, "store"))).select("file", "total_chunks", "vectors_stored", F.size("errors").alias("n_errors"))
 
 
+def _turns(spark, sf_dir) -> DataFrame:
+    """Result rows of turns as Word files, cut by characters."""
+    path = F.concat(F.lit("/in/c"), "conv_id", F.lit("-"), "turn", F.lit(".docx"))
+    d = _plain(spark, sf_dir).select(path.alias("path"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), _document("text", F.lit(False)).alias("content"))
+    return ingest.ingest_files(d, VectorStore(spark, _place(spark, "store")), ingest.Config(120, 20, length=len))
+
+
+def ingest_turns(spark, sf_dir):
+    r = _turns(spark, sf_dir)
+    return r.select("file", "total_chunks", "vectors_stored", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.array_join("errors", ",").alias("errors"))
+
+
+def ingest_processed(spark, sf_dir):
+    return ingest.processed_count(_turns(spark, sf_dir))
+
+
 def embed_search_e2e(spark, sf_dir):
     s = _filled(spark, sf_dir)
     return ingest.search_text(s, _t(spark, sf_dir, "part").where("p_partkey = 1").first()["p_name"], 5).select("id", "text", _rounded("score").alias("score"))
 
 
 def queries() -> dict:
-    own = (search_topk, search_scores, search_multi_query, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, embed_search_e2e)
+    own = (search_topk, search_scores, search_multi_query, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
     return {f.__name__: f for f in own}
 
 

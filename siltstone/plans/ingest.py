@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,11 +21,16 @@ from siltstone.operators.store import VectorStore
 from siltstone.sources import records
 
 
+log = logging.getLogger("siltstone")
+
+
 @dataclass
 class Config:
     chunk_size: int = 512
     chunk_overlap: int = 51
     tokens: str = "byte_bpe_50k"
+    #: What chunk_size and chunk_overlap count; tokens by default.
+    length: Callable[[str], int] | None = None
     provider: object = field(default_factory=HashProvider)
     #: Ids are stem_0000, as two files of one stem overwrite each other; True puts a hash of the path before the index.
     unique_ids: bool = False
@@ -30,7 +38,7 @@ class Config:
     replace_source: bool = False
 
     def splitter(self) -> Splitter:
-        return Splitter(self.chunk_size, self.chunk_overlap, length=TokenLength(self.tokens))
+        return Splitter(self.chunk_size, self.chunk_overlap, length=self.length or TokenLength(self.tokens))
 
 
 def failures(extracted: DataFrame) -> DataFrame:
@@ -63,30 +71,39 @@ def results(files: DataFrame, embedded: DataFrame, seconds: float, memory_mb: fl
     )
 
 
+def processed_count(results: DataFrame) -> DataFrame:
+    """processed: the files of result rows that were ingested without an error."""
+    return results.agg(F.count(F.when(F.size("errors") == 0, True)).alias("processed"))
+
+
 def ingest_files(files: DataFrame, store: VectorStore, config: Config | None = None) -> DataFrame:
     """Ingest files (path, content, seq) and store their chunks; returns result rows, ordered by seq, computed.
 
     Files with an error don't stop others. The chunks of a batch become one
     generation. Chunks are spread anew before they are embedded, as one file
-    can have most of them.
+    can have most of them. Results, which name every chunk, stay beside the
+    store and never come to the driver.
     """
     import resource
 
     config = config or Config()
     began = time.perf_counter()
+    log.info("extracting and splitting")
     extracted = failures(records.extract(files)).persist()
     chunks = chunk_rows(extracted.where(F.col("failure").isNull()), config)
     embedded = embed(chunks.repartition(F.col("id")), "text", config.provider).persist()
     try:
         if config.replace_source and store.exists():
-            for r in extracted.where(F.col("failure").isNull()).select("path").toLocalIterator():
-                store.delete_source(r["path"])
+            store.delete_sources(extracted.where(F.col("failure").isNull()).select("path"))
         if embedded.take(1):
-            store.store(embedded)
+            log.info("storing chunks in %s", store.path)
+            log.info("stored %d vectors", store.store(embedded))
         memory = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
         out = results(extracted, embedded, time.perf_counter() - began, memory)
-        rows = out.orderBy("seq").drop("seq").collect()  # a row for each file of the batch
-        return files.sparkSession.createDataFrame(rows, schemas.RESULT)
+        at = f"{store.path}/_results/{uuid.uuid4().hex}"
+        out.write.parquet(at)
+        log.info("results are in %s", at)
+        return files.sparkSession.read.schema(f"{schemas.RESULT}, seq bigint").parquet(at).orderBy("seq").drop("seq")
     finally:
         extracted.unpersist()
         embedded.unpersist()

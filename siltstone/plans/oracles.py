@@ -42,6 +42,9 @@ c AS (SELECT conv_id, turn, k, {_STRIP.format(x="chunk")} AS content FROM g WHER
 n AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS INTEGER) AS chunk_index, content, CAST(count(*) OVER (PARTITION BY conv_id, turn) AS INTEGER) AS total FROM c WHERE content <> '')
 """
 
+#: The same for turns that a Word file strips.
+_TURNS = _WORDS.replace(f"FROM ({_PLAIN})", f"FROM (SELECT conv_id, turn, {_STRIP.format(x='text')} AS text FROM ({_PLAIN}))")
+
 _FORCED = f"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, text, string_split(text, ' ') AS p FROM ({_PLAIN})),
 g AS (
@@ -61,7 +64,7 @@ _STORED = "(SELECT p_brand || '-' || p_size AS id, p_name AS text, p_partkey AS
 SQL = {
     "search_topk": f"SELECT vec_id, round(s, 6) + 0.0 AS score FROM ({_TOP})",
     "search_scores": f"SELECT vec_id, round({_COS}, 6) + 0.0 AS score FROM embeddings e, {_Q}",
-    "search_multi_query": "SELECT query_id, rank, vec_id, round(s, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 20)) WHERE rank <= 5",
+    "search_multi_query": "SELECT query_id, rank, vec_id, round(s, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5",
     "search_limit_then_lookup": f"SELECT doc_id AS id, text, round(s, 6) + 0.0 AS score FROM ({_TOP}) JOIN documents ON doc_id = vec_id WHERE doc_id % 3 <> 1",
     "search_zero_query": "SELECT vec_id, CAST(0 AS DOUBLE) AS score FROM embeddings WHERE false",
     "search_zero_vectors": f"SELECT vec_id, round(s, 6) + 0.0 AS score FROM (SELECT vec_id, {_COS} AS s FROM embeddings e, {_Q} WHERE vec_id % 4 <> 0 ORDER BY s DESC, vec_id LIMIT 10)",
@@ -73,7 +76,8 @@ SQL = {
 b AS (SELECT p_partkey, CAST(CAST('0x' || substr(h, 1, 8) AS UBIGINT) % 384 AS INTEGER) AS i, CAST(sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM w GROUP BY ALL),
 n AS (SELECT p_partkey, i, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY p_partkey)), 1e-12) AS x FROM b)
 SELECT p_partkey, i, {_HALF.format(x="x")} AS x FROM n WHERE x <> 0""",
-    "batch_assign": "SELECT vec_id // 32 AS batch, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY ALL",
+    "batch_assign": "SELECT count(*) AS n, CAST(least(count(*), 32) AS INTEGER) AS largest, CAST(0 AS BIGINT) AS rest FROM part",
+    "embed_counters": "SELECT count(*) AS total_embeddings, CAST(384 AS INTEGER) AS dimension, true AS timed FROM part",
     "latency_average": "SELECT round(sum(value / (event_id % 32 + 1)) / count(*), 6) + 0.0 AS latency_ms FROM events",
     "route_formats": f"""WITH p AS (SELECT doc_id, 'f' || doc_id AS base, {_SUFFIXES}[doc_id % 11 + 1] AS e FROM documents),
 s AS (SELECT doc_id, CASE e WHEN '.tar.GZ' THEN base || '.tar' ELSE base END AS stem, lower(CASE e WHEN '.tar.GZ' THEN '.GZ' ELSE e END) AS suffix FROM p)
@@ -83,11 +87,11 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "xml_workouts": "SELECT user_id, string_agg('Workout: ' || event_type || ' - ' || event_id || 'min ()', chr(10) ORDER BY event_id) AS text, count(*) AS record_count, CAST(0 AS BIGINT) AS n_types FROM events GROUP BY user_id",
     "xml_generic": "SELECT user_id, string_agg(event_id || chr(10) || event_type, chr(10) ORDER BY event_id) AS text, CAST(0 AS BIGINT) AS record_count FROM events GROUP BY user_id",
     "xml_partial_error": "SELECT user_id, string_agg(event_type || ': ' || event_id, chr(10) ORDER BY event_id) AS text, true AS failed, true AS partial FROM events GROUP BY user_id",
-    "xlsx_rows": "SELECT r_regionkey, chr(10) || '[Sheet: ' || r_name || ']' || chr(10) || string_agg(n_nationkey || chr(9) || CASE WHEN n_nationkey % 4 <> 0 THEN n_name ELSE '' END || chr(9) || CASE WHEN n_nationkey % 2 = 0 THEN 'True' ELSE 'False' END, chr(10) ORDER BY n_nationkey) AS text, count(*) AS total_rows, CAST(1 AS BIGINT) AS page_count FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name",
+    "xlsx_rows": "SELECT o_custkey, chr(10) || '[Sheet: C' || o_custkey || ']' || coalesce(chr(10) || string_agg(o_orderkey || chr(9) || CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus ELSE '' END || chr(9) || CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END, chr(10) ORDER BY o_orderkey) FILTER (o_orderkey % 5 <> 4), '') AS text, count(*) FILTER (o_orderkey % 5 <> 4) AS total_rows, CAST(1 AS BIGINT) AS page_count FROM orders GROUP BY o_custkey",
     "docx_paragraphs": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(x='x')}), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
     "docx_fallback": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
-    "pdf_lines": "SELECT r_regionkey, '[Page 1]' || chr(10) || chr(10) || string_agg(n_name, chr(10) ORDER BY n_nationkey) AS text, CAST(1 AS BIGINT) AS page_count FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey",
-    "table_to_tsv": "SELECT r_regionkey, string_agg(CASE WHEN n_nationkey % 6 <> 5 THEN CASE WHEN n_nationkey % 4 <> 0 THEN n_name ELSE '' END || chr(9) || n_nationkey || chr(9) END, chr(10) ORDER BY n_nationkey) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey",
+    "pdf_lines": r"SELECT o_custkey, '[Page 1]' || chr(10) || chr(10) || string_agg(o_orderstatus || ' (\' || o_orderkey || ')', chr(10) ORDER BY o_orderkey) AS text, CAST(1 AS BIGINT) AS page_count FROM orders GROUP BY o_custkey",
+    "table_to_tsv": "SELECT o_custkey, coalesce(string_agg(CASE WHEN o_orderkey % 6 <> 5 THEN CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus ELSE '' END || chr(9) || o_orderkey || chr(9) END, chr(10) ORDER BY o_orderkey), '') AS text FROM orders GROUP BY o_custkey",
     "pieces_newline": _numbered("doc_id", _pieces("text", "chr(10)", True), "documents"),
     "pieces_sentence": _numbered("doc_id", _pieces("text", "'. '", False), "documents"),
     "pieces_word": "WITH s AS (SELECT doc_id, string_split(text, ' ') AS p FROM documents), u AS (SELECT doc_id, unnest(range(0, len(p))) AS i, unnest(p) AS w, len(p) AS n FROM s) SELECT doc_id, CAST(i AS INTEGER) AS i, CASE WHEN i < n - 1 THEN w || ' ' ELSE w END AS piece FROM u WHERE i < n - 1 OR w <> ''",
@@ -110,4 +114,13 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "stored_chunks": f"SELECT id, max_by(text, seq) AS text, id AS filename FROM {_STORED} GROUP BY id",
     "clear_store": "SELECT CAST(0 AS BIGINT) AS chunk_count, CAST(0 AS BIGINT) AS vector_count",
     "ingest_failures": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Extraction error: Extraction failed: no ' || doc_id WHEN doc_id % 7 = 0 THEN 'No text content extracted from document' END AS failure FROM documents",
+    "ingest_turns": _TURNS + "SELECT '/in/c' || conv_id || '-' || turn || '.docx' AS file, CAST(count(content) AS INTEGER) AS total_chunks, CAST(count(content) AS INTEGER) AS vectors_stored, coalesce(string_agg('c' || conv_id || '-' || turn || '_' || lpad(CAST(chunk_index AS VARCHAR), 4, '0'), ',' ORDER BY chunk_index), '') AS chunk_ids, CASE WHEN count(content) = 0 THEN 'No text content extracted from document' ELSE '' END AS errors FROM conversations LEFT JOIN n USING (conv_id, turn) GROUP BY conv_id, turn",
+    "ingest_processed": _TURNS + "SELECT count(*) AS processed FROM (SELECT DISTINCT conv_id, turn FROM n)",
+    "embed_search_e2e": f"""WITH v AS (SELECT id, max_by(text, seq) FILTER (seq % 5 <> 0) AS vtext, max(seq) FILTER (seq % 5 <> 0) AS vseq, max_by(text, seq) AS text FROM {_STORED} GROUP BY id),
+w AS (SELECT id, md5(w) AS h FROM (SELECT id, unnest(string_split(lower(vtext), ' ')) AS w FROM v UNION ALL SELECT NULL, unnest(string_split(lower(p_name), ' ')) FROM part WHERE p_partkey = 1) WHERE w <> ''),
+b AS (SELECT id, CAST(CAST('0x' || substr(h, 1, 8) AS UBIGINT) % 384 AS INTEGER) AS i, CAST(sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x FROM w GROUP BY ALL),
+n AS (SELECT id, i, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12) AS x FROM b),
+s AS (SELECT id, i, {_HALF.format(x="x")} AS x FROM n WHERE id IS NOT NULL),
+t AS (SELECT s.id, coalesce(sum(s.x * q.x), 0) / sqrt(sum(s.x * s.x)) AS score FROM s LEFT JOIN (SELECT i, x FROM n WHERE id IS NULL) q ON q.i = s.i GROUP BY s.id)
+SELECT id, text, round(score, 6) + 0.0 AS score FROM t JOIN v USING (id) WHERE vseq IS NOT NULL ORDER BY score DESC, vseq LIMIT 5""",
 }

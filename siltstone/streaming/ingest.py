@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +16,8 @@ def ingest_stream(spark: SparkSession, folder: str, store_path: str, checkpoint:
     files = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
 
     def batch(df: DataFrame, number: int) -> None:
-        ingest_files(df.withColumn("seq", F.lit(number).cast("long") * (1 << 12) + F.pmod(F.xxhash64("path"), F.lit(1 << 12))), VectorStore(df.sparkSession, store_path), config)
+        # a batch has files_per_batch paths at most, so one task can number them, and they can be broadcast
+        order = df.select("path").distinct().withColumn("seq", F.lit(number).cast("long") * (1 << 20) + F.row_number().over(Window.orderBy("path")))
+        ingest_files(df.join(F.broadcast(order), "path"), VectorStore(df.sparkSession, store_path), config)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,6 @@ from siltstone.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"ingest_results", "stored_chunks", "clear_store", "embed_search_e2e"}
 
 
 def test_entry(spark):
@@ -17,7 +16,7 @@ def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
