@@ -95,8 +95,8 @@ class VectorStore:
         text is left out; one without embedding stores its chunk only and is
         not counted. created_at is that of this call.
         """
-        top = self.chunks().agg(F.max("ingest_seq")).first()[0] or 0
-        top = max(top, self.vectors().agg(F.max("ingest_seq")).first()[0] or 0)
+        both = self.chunks().select("ingest_seq").union(self.vectors().select("ingest_seq"))
+        top = both.agg(F.max("ingest_seq")).first()[0] or 0 if self.exists() else 0
         rows = records.where(F.col("id").isNotNull() & F.col("text").isNotNull())
         rows = rows.withColumn("ingest_seq", F.lit(top) + 1 + F.col("seq"))
         rows = rows.persist()  # both datasets and the count come of them

@@ -95,7 +95,7 @@ def ingest_files(files: DataFrame, store: VectorStore, config: Config | None = N
     try:
         if config.replace_source and store.exists():
             store.delete_sources(extracted.where(F.col("failure").isNull()).select("path"))
-        if embedded.take(1):
+        if embedded.count():
             log.info("storing chunks in %s", store.path)
             log.info("stored %d vectors", store.store(embedded))
         memory = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
