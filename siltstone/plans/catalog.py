@@ -230,6 +230,18 @@ def pdf_lines(spark, sf_dir):
     return x.select("o_custkey", "text", F.col("page_count").cast("bigint").alias("page_count"))
 
 
+@F.pandas_udf(T.BinaryType())
+def _ruled(rows: pd.Series) -> pd.Series:
+    return pd.Series([samples.pdf([[]], {0: [list(r.values()) for r in json.loads(x)]}) for x in rows])
+
+
+def pdf_tables(spark, sf_dir):
+    """A ruled table of the orders of each customer."""
+    rows = F.to_json(F.transform("l", lambda s: F.struct(s["o_orderkey"].cast("string").alias("a"), s["o_orderstatus"].alias("b"))))
+    x = _extracted(_books(spark, sf_dir), ".pdf", _ruled(rows))
+    return x.select("o_custkey", "text", F.col("metadata.tables_found").alias("tables_found"))
+
+
 def table_to_tsv(spark, sf_dir):
     rows = F.transform("l", lambda s: F.when(s["o_orderkey"] % 6 != 5, F.array(F.when(s["o_orderkey"] % 4 != 0, s["o_orderstatus"]), F.concat(F.lit(" "), s["o_orderkey"].cast("string"), F.lit("\t")), F.lit(""))))
     return _books(spark, sf_dir).select("o_custkey", native.table_text(rows).alias("text"))
@@ -415,7 +427,7 @@ def embed_search_e2e(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (search_topk, search_scores, search_multi_query, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
+    own = (search_topk, search_scores, search_multi_query, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
     return {f.__name__: f for f in own}
 
 

@@ -91,6 +91,7 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "docx_paragraphs": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(x='x')}), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
     "docx_fallback": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
     "pdf_lines": r"SELECT o_custkey, '[Page 1]' || chr(10) || chr(10) || string_agg(o_orderstatus || ' (\' || o_orderkey || ')', chr(10) ORDER BY o_orderkey) AS text, CAST(1 AS BIGINT) AS page_count FROM orders GROUP BY o_custkey",
+    "pdf_tables": "SELECT o_custkey, '[Page 1]' || chr(10) || chr(10) || string_agg(o_orderkey || ' ' || o_orderstatus, chr(10) ORDER BY o_orderkey) || chr(10) || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus, chr(10) ORDER BY o_orderkey) AS text, CAST(1 AS INTEGER) AS tables_found FROM orders GROUP BY o_custkey",
     "table_to_tsv": "SELECT o_custkey, coalesce(string_agg(CASE WHEN o_orderkey % 6 <> 5 THEN CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus ELSE '' END || chr(9) || o_orderkey || chr(9) END, chr(10) ORDER BY o_orderkey), '') AS text FROM orders GROUP BY o_custkey",
     "pieces_newline": _numbered("doc_id", _pieces("text", "chr(10)", True), "documents"),
     "pieces_sentence": _numbered("doc_id", _pieces("text", "'. '", False), "documents"),

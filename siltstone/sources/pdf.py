@@ -2,8 +2,9 @@
 
 pdfplumber is used where it can be imported. Otherwise a reader of plain PDF
 structure: objects, object streams, Flate and ASCII streams, text operators,
-ToUnicode maps. It finds no tables, and refuses encrypted files and fonts of
-character ids without a map to Unicode (an error record), so it is partial.
+ToUnicode maps, and tables whose cells are ruled. It refuses encrypted files and
+fonts of character ids without a map to Unicode (an error record), and finds no
+tables without lines, so it is partial.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|\[|\]|/[^\s<>\[\](){}/%]*|<[0-9A-Fa-f\s]*
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 #: A stream may expand to so many bytes.
 MOST = 256 << 20
+#: Points within which lines are taken for one, and the least length of a line.
+SNAP = 3.0
+#: Possible crossings of lines on a page beyond which it is a drawing, and is not searched for tables.
+DRAWING = 4_000_000
 
 
 class Name(str):
@@ -179,12 +184,14 @@ class Document:
         walk(catalog.get("Pages"), {}, 0)
         return out
 
-    def text(self, page: dict) -> str:
+    def contents(self, page: dict) -> tuple[str, list]:
+        """Text and tables of a page."""
         contents = self.get(page.get("Contents")) or []
         parts = contents if isinstance(contents, list) else [contents]
         data = b"\n".join(self.stream(v) for v in map(self.get, parts) if isinstance(v, tuple))
         fonts = {k: self._decoder(self.get(v)) for k, v in (self.get((self.get(page["Resources"]) or {}).get("Font")) or {}).items()}
-        return lay_out(shown(parse_values(data), fonts))
+        strings, lines = shown(parse_values(data), fonts)
+        return lay_out(strings), ruled_tables(lines, strings)
 
     def _decoder(self, font):
         """bytes -> text of a font."""
@@ -219,26 +226,71 @@ def _cmap(values: list) -> dict[int, str]:
     return table
 
 
-def shown(ops: list, fonts: dict):
-    """(y, x, size, text) of each string that the operators show; widths are estimated as half the size."""
+def _times(m: tuple, n: tuple) -> tuple:
+    """The transformation m, then n."""
+    (a, b, c, d, e, f), (g, h, i, j, k, l) = m, n  # noqa: E741
+    return a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + l
+
+
+def shown(ops: list, fonts: dict) -> tuple[list, list]:
+    """(y, x, size, text) of each string that the operators show, widths estimated as half the size; and (x, y, x, y) of each straight line that they paint."""
     decode, size, leading, args = (lambda b: b.decode("cp1252", "replace")), 12.0, 0.0, []
     x = y = line_x = line_y = 0.0
     scale, out = 1.0, []
+    view, views = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), []
+    path, at, first, lines = [], (0.0, 0.0), (0.0, 0.0), []
+
+    def place(x, y):
+        return view[0] * x + view[2] * y + view[4], view[1] * x + view[3] * y + view[5]
+
+    def put(text):
+        u, v = place(x, y)
+        out.append((v, u, size * scale * (abs(view[3]) or 1.0), text))
 
     def show(b):
         nonlocal x
         text = decode(b)
         if text:
-            out.append((y, x, size * scale, text))
+            put(text)
             x += 0.5 * size * scale * len(text)
 
+    def line(to):
+        nonlocal at
+        path.append((*place(*at), *place(*to)))
+        at = to
+
     for op in ops:
         if not isinstance(op, Op):
             args.append(op)
             continue
+        nums = [float(v) for v in args if isinstance(v, (int, float)) and not isinstance(v, Ref)]
         if op == b"BT":
             x = y = line_x = line_y = 0.0
             scale = 1.0
+        elif op == b"q":
+            views.append(view)
+        elif op == b"Q" and views:
+            view = views.pop()
+        elif op == b"cm" and len(nums) == 6:
+            view = _times(tuple(nums), view)
+        elif op == b"m" and len(nums) == 2:
+            at = first = nums[0], nums[1]
+        elif op == b"l" and len(nums) == 2:
+            line((nums[0], nums[1]))
+        elif op in (b"c", b"v", b"y") and len(nums) > 1:
+            at = nums[-2], nums[-1]
+        elif op == b"re" and len(nums) == 4:
+            u, v, w, h = nums
+            at = first = u, v
+            for corner in ((u + w, v), (u + w, v + h), (u, v + h), (u, v)):
+                line(corner)
+        elif op == b"h":
+            line(first)
+        elif op in (b"S", b"s", b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*", b"n"):
+            if op in (b"s", b"b", b"b*"):
+                line(first)
+            lines += path if op != b"n" else []
+            path = []
         elif op == b"Tf" and len(args) > 1:
             decode, size = fonts.get(args[-2], decode), float(args[-1])
         elif op == b"TL":
@@ -263,12 +315,76 @@ def shown(ops: list, fonts: dict):
                     show(part)
                 elif isinstance(part, (int, float)):
                     if part < -200 and out:
-                        out.append((y, x, size * scale, " "))
+                        put(" ")
                     x -= part / 1000 * size * scale
         args = []
+    return out, lines
+
+
+def _snapped(values) -> dict[float, float]:
+    """Each value's stand-in: the least of the values that are chained to it by steps of SNAP at most."""
+    out, last, least = {}, None, 0.0
+    for v in sorted(set(values)):
+        least = v if last is None or v - last > SNAP else least
+        out[v], last = least, v
     return out
 
 
+def _rules(spans: list) -> list:
+    """(place, from, to) of lines along one direction, those at one place that touch as one."""
+    stand = _snapped(s[0] for s in spans)
+    out: list = []
+    for place, a, b in sorted((stand[s], min(a, b), max(a, b)) for s, a, b in spans):
+        if out and out[-1][0] == place and a <= out[-1][2] + SNAP:
+            out[-1][2] = max(out[-1][2], b)
+        else:
+            out.append([place, a, b])
+    return [r for r in out if r[2] - r[1] >= SNAP]
+
+
+def ruled_tables(lines: list, strings: list) -> list[list[list[str | None]]]:
+    """Tables of more than one cell, top to bottom: rows of cell texts, None where a row has no cell of its own.
+
+    A cell is the least rectangle below and right of a crossing of lines whose
+    corners are crossings and whose sides are ruled; cells that share a corner
+    make a table.
+    """
+    across = _rules([(y, x, u) for x, y, u, v in lines if abs(y - v) <= 1 < abs(x - u)])
+    down = _rules([(x, y, v) for x, y, u, v in lines if abs(x - u) <= 1 < abs(y - v)])
+    if len(across) * len(down) > DRAWING:
+        return []
+    crossings: dict[tuple, tuple[int, int]] = {}
+    below: dict[int, list] = {}
+    right: dict[int, list] = {}
+    for i, (x, low, high) in enumerate(down):
+        for j, (y, a, b) in enumerate(across):
+            if a - SNAP <= x <= b + SNAP and low - SNAP <= y <= high + SNAP:
+                crossings[x, y] = i, j
+                below.setdefault(i, []).append(y)
+                right.setdefault(j, []).append(x)
+    cells = []
+    for (x, y), (i, j) in crossings.items():
+        corner = ((v, u) for v in sorted((v for v in below[i] if v < y), reverse=True) for u in sorted(u for u in right[j] if u > x))
+        for v, u in corner:
+            if (u, v) in crossings and crossings[u, v] == (crossings[u, y][0], crossings[x, v][1]):
+                cells.append((x, v, u, y))
+                break
+    tables: list[list] = []
+    for cell in sorted(cells, key=lambda c: (-c[3], c[0])):
+        corners = {(cell[k], cell[m]) for k in (0, 2) for m in (1, 3)}
+        near = [t for t in tables if t[0] & corners]
+        tables = [t for t in tables if not t[0] & corners]
+        tables.append([corners.union(*(t[0] for t in near)), [c for t in near for c in t[1]] + [cell]])
+    found = []
+    for _, own in tables:
+        if len(own) < 2:
+            continue
+        texts = {(x, top): lay_out([s for s in strings if x <= s[1] < u and v <= s[0] < top]) for x, v, u, top in own}
+        columns = sorted({c[0] for c in own})
+        found.append((-max(c[3] for c in own), columns[0], [[texts.get((x, top)) for x in columns] for top in sorted({c[3] for c in own}, reverse=True)]))
+    return [t for *_, t in sorted(found, key=lambda f: f[:2])]
+
+
 def lay_out(strings: list) -> str:
     """Lines from top to bottom, strings from left to right, a space where they stand apart."""
     lines: list[list] = []
@@ -293,7 +409,7 @@ def parse(content: bytes) -> dict:
     try:
         import pdfplumber
     except ImportError:
-        pages = [(d.text(p), []) for d in [Document(content)] for p in d.pages()]
+        pages = [d.contents(p) for d in [Document(content)] for p in d.pages()]
     else:
         with pdfplumber.open(io.BytesIO(content)) as book:
             pages = [(p.extract_text(layout=True, x_tolerance=3, y_tolerance=3), p.extract_tables()) for p in book.pages]

@@ -64,12 +64,27 @@ def docx(paragraphs: list, tables: list[list[list[str]]] = (), broken: bool = Fa
     return _zip({"word/document.xml": f'<w:document xmlns:w="{_WORDS}"><w:{part}>{body}</w:{part}></w:document>'})
 
 
-def pdf(pages: list[list[str]]) -> bytes:
-    """A file of plain lines a page, uncompressed."""
+def _shown(text: str) -> str:
+    return "(" + text.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)") + ") Tj"
+
+
+def _grid(rows: list[list[str]], top: int) -> str:
+    """A ruled table of cells of 100 by 20 points."""
+    out = []
+    for r, row in enumerate(rows):
+        for c, text in enumerate(row):
+            x, y = 72 + 100 * c, top - 20 * (r + 1)
+            out.append(f"{x} {y} 100 20 re S BT /F1 10 Tf {x + 4} {y + 6} Td {_shown(text)} ET")
+    return " ".join(out)
+
+
+def pdf(pages: list[list[str]], tables: dict[int, list[list[str]]] | None = None) -> bytes:
+    """A file of plain lines a page, uncompressed, with a ruled table below the lines of some pages (by number from 0)."""
     objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
     kids = []
-    for lines in pages:
-        text = "BT /F1 12 Tf 14 TL 72 720 Td " + " ".join("(" + x.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)") + ") Tj T*" for x in lines) + " ET"
+    for n, lines in enumerate(pages):
+        text = "BT /F1 12 Tf 14 TL 72 720 Td " + " ".join(f"{_shown(x)} T*" for x in lines) + " ET"
+        text += " " + _grid((tables or {}).get(n, []), 700 - 14 * len(lines))
         data = text.encode("cp1252", "replace")
         objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(data), data))
         objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))

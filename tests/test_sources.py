@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from siltstone.sources import records, samples
+from siltstone.sources import pdf, records, samples
 
 
 def parse(content, suffix):
@@ -75,6 +75,21 @@ def test_pdf_pages():
     assert x["text"] == "[Page 1]\n\nHello (x) \\ world\nsecond\n\n[Page 3]\n\nthird" and x["page_count"] == 3
 
 
+def test_pdf_tables():
+    x = parse(samples.pdf([["Title"], ["more"]], {0: [["name", "n"], ["a (b)", "1"], ["", "2"]], 1: [["alone"]]}), ".pdf")
+    assert x["metadata"]["tables_found"] == 1 and x["text"].endswith("name\tn\na (b)\t1\n\t2\n\n[Page 2]\n\nmore\nalone")
+    assert x["text"].startswith("[Page 1]\n\nTitle\nname")
+
+
+def test_ruled_tables_by_lines():
+    """Lines drawn apart, a cell that spans two columns, a scaled view, and a rectangle that is no table."""
+    draw = b"q 2 0 0 2 0 0 cm 10 10 m 110 10 l S 10 30 m 60 30 l S 60 30 m 110 30 l S 10 50 m 110 50 l S 10 10 m 10 50 l S 110 10 m 110 50 l S 60 10 m 60 30 l S "
+    text = b"BT /F1 8 Tf 12 35 Td (wide) Tj ET BT /F1 8 Tf 12 15 Td (left) Tj ET BT /F1 8 Tf 62 15 Td (right) Tj ET Q 300 300 50 50 re S 400 400 9 9 re n"
+    strings, lines = pdf.shown(pdf.parse_values(draw + text), {})
+    assert pdf.ruled_tables(lines, strings) == [[["wide", None], ["left", "right"]]]
+    assert pdf.ruled_tables([], strings) == []
+
+
 @pytest.mark.parametrize("suffix", [".pdf", ".xlsx"])
 def test_garbage_is_an_error_record(suffix):
     assert parse(b"garbage", suffix)["error"].startswith("Extraction failed: ")
