@@ -11,7 +11,7 @@ from .common import cut
 SENT = 200_000
 
 
-def _beside(least: DataFrame, edges: int) -> DataFrame:
+def beside(least: DataFrame, edges: int) -> DataFrame:
     """A side of one row a node for a join with edges, so that a hub's edges need not meet in one task: broadcast if small, else computed apart, which leaves the join plain exchanges whose large partitions Spark can split."""
     return F.broadcast(least) if edges <= SENT else cut(least)
 
@@ -30,10 +30,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # large star: neighbours above a node go to its least neighbour
         both = e.unionByName(e.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least"))
-        e = both.where("root > node").join(_beside(least, size), "node").select(F.col("root").alias("node"), F.col("least").alias("root"))
+        e = both.where("root > node").join(beside(least, size), "node").select(F.col("root").alias("node"), F.col("least").alias("root"))
         # small star: a node and its neighbours below go to the least of these
         least = e.groupBy("node").agg(F.min("root").alias("least"))
-        near = e.join(_beside(least, size), "node")
+        near = e.join(beside(least, size), "node")
         e = near.where("root > least").select(F.col("root").alias("node"), F.col("least").alias("root")).unionByName(least.withColumnRenamed("least", "root")).distinct()
         e = cut(e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()

@@ -9,12 +9,14 @@ coordinates come from one contiguous read.
 Equal sets are collapsed first: a class has one representative, the least
 doc_id. Representatives that share a band are joined into candidate clusters
 (a star around the least member of each bucket, then connected components), so
-each is in one cluster and no bucket is expanded into pairs. Inside a cluster
-every pair is verified on full sets: a cluster is dealt to pairs of blocks, a
-task's share each, and a block pair is one product of 0/1 matrices, which holds
-all its intersection sizes exactly. A task returns a spanning forest of its
-links and each member's number of links, never the pairs. Components of these
-links are the result.
+each is in one cluster and no bucket is expanded into pairs. Clusters are
+verified on full sets by products of 0/1 matrices of two blocks of members,
+which hold all intersection sizes exactly; a task returns a spanning forest of
+its links, never the pairs. First the members of a cluster's first block meet
+all others. In a large cluster most are then one component, and among these no
+link can add to it: only the rest meet all others. So a large group of copies
+costs a few times its size, while every link between different components is
+found. Components of these links are the result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, chunks, cut, grams, hashes, mix, prepare, runs, spark_ints, text_bytes
-from .graph import components
+from .graph import SENT, beside, components
 
 #: Signature coordinates: BANDS bands of ROWS. A pair at 0.85 misses all bands with probability 2e-8.
 BANDS, ROWS = 24, 4
@@ -127,64 +129,86 @@ def forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def verify(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that span those within clusters, and (a, null, links) for each member with links in a task.
+def _compared(docs: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that span those found.
 
-    members: id, cluster. All pairs within a cluster are compared.
+    dealt: id, cluster, pair, side, share. Members of one cluster and pair meet,
+    those of side 0 with those of side 1; where pair is 0, those of side 0 with
+    each other. share: what is done in one task, some pairs at a time.
     """
-    spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "cluster")
 
     def sets(batches):
         for batch in batches:
-            data, offs = text_bytes(batch.column(3))
+            data, offs = text_bytes(batch.column(5))
             out: list = []
             for i, j in chunks(offs):
                 out += [s.tobytes() for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["id", "cluster", "blocks", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], ["id", "cluster", "pairs", "side", "blocks", "s"])
 
     def compare(group: pa.Table) -> pa.Table:
         out: list[tuple] = []
         by: dict = {}
-        for k, key in enumerate(zip(*(group.column(c).to_pylist() for c in ("cluster", "lo", "hi")), strict=True)):
+        for k, key in enumerate(zip(*(group.column(c).to_pylist() for c in ("cluster", "pair")), strict=True)):
             by.setdefault(key, []).append(k)
-        ids, block, raw = group.column("id").to_pylist(), group.column("block").to_pylist(), group.column("s")
-        for (_, lo, hi), rows in by.items():
-            a = [k for k in rows if block[k] == lo]
-            b = [k for k in rows if block[k] == hi]
-            x = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in a]
-            y = x if lo == hi else [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in b]
-            if not x or not y:
+        ids, side, raw = group.column("id").to_numpy(), group.column("side").to_pylist(), group.column("s")
+        for (_, pair), rows in by.items():
+            a = [k for k in rows if side[k] == 0]
+            b = a if pair == 0 else [k for k in rows if side[k] == 1]
+            if not a or not b:
                 continue
+            x = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in a]
+            y = x if pair == 0 else [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in b]
             both = overlaps(x, y)
             total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-            linked = 100 * both >= percent * (total - both)
-            if lo == hi:
-                np.fill_diagonal(linked, False)
-            out += [(ids[a[i]], ids[b[j]], 0) for i, j in forest(linked, lo == hi)]
-            out += [(ids[k], None, int(c)) for k, c in zip(a, linked.sum(1), strict=True) if c]
-            if lo != hi:
-                out += [(ids[k], None, int(c)) for k, c in zip(b, linked.sum(0), strict=True) if c]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "links"), cols, strict=True)})
-
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("id")).select("id", "cluster", "blocks", "text")
-    dealt = texts.mapInArrow(sets, "id long, cluster long, blocks int, s binary")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.xxhash64("cluster", "lo", "hi"))
-    return dealt.groupBy(share.alias("share")).applyInArrow(compare, "a long, b long, links long")
+            linked = (100 * both >= percent * (total - both)) & (ids[a][:, None] != ids[b][None, :])
+            out += [(int(ids[a[i]]), int(ids[b[j]])) for i, j in forest(linked, pair == 0)]
+        cols = list(zip(*out, strict=True)) or [(), ()]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b"), cols, strict=True)})
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(dealt, "id").select("id", "cluster", "pairs", "side", "blocks", "text")
+    rows = texts.mapInArrow(sets, "id long, cluster long, pairs array<long>, side int, blocks int, s binary").withColumn("pair", F.explode("pairs"))
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.xxhash64("cluster", "pair"))
+    return rows.select("id", "cluster", "pair", "side", "s", share.alias("share")).groupBy("share").applyInArrow(compare, "a long, b long")
+
+
+def verify(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what all links within clusters connect. members: id, cluster."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = cut(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("long")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
+    first = members.select("id", "cluster", F.when(F.col("block") == 0, every).otherwise(F.array("block")).alias("pairs"), (F.col("block") > 0).cast("int").alias("side"), "blocks")
+    found = cut(_compared(docs, first, n, percent))
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    # the largest component of each large cluster, and who is outside of it and has not met all others
+    roots = components(found.join(large.select(F.col("id").alias("a")), "a", "left_semi"))
+    placed = cut(large.join(roots, F.col("id") == F.col("node"), "left").select("id", "cluster", "blocks", "block", F.coalesce("root", "id").alias("root")))
+    main = placed.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("main"))
+    rest = cut(placed.join(beside(main, large.count()), "cluster").where((F.col("root") != F.col("main")) & (F.col("block") > 0)).select("id", "cluster", "blocks"))
+    if rest.isEmpty():
+        return found
+    parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    parts = beside(parts, large.count())
+    # pairs of a block (from 1) and a part, numbered block * 2**32 + part
+    pair = lambda block, part: block * F.lit(1 << 32) + part
+    some = large.where("block > 0").join(parts, "cluster")
+    one = some.select("id", "cluster", F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: pair(F.col("block"), k)).alias("pairs"), F.lit(0).alias("side"), "blocks")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))
+    two = rest.join(parts, "cluster").select("id", "cluster", F.transform(F.sequence(F.lit(1).cast("long"), F.col("blocks").cast("long") - 1), lambda k: pair(k, own)).alias("pairs"), F.lit(1).alias("side"), "blocks")
+    dealt = cut(one.union(two))
+    size = dealt.agg(F.sum(F.size("pairs"))).first()[0]
+    # some rows of a large cluster each: as long as they are few, the texts stay where they are
+    return found.union(cut(_compared(docs, F.broadcast(dealt) if size <= SENT else dealt, n, percent)))
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id, kept, class_id, n_links.
+    """A row for each row of docs: doc_id, n_shingles, component_id, kept, class_id.
 
     component_id is the least doc_id that is reachable over links (100 *
     intersection >= percent * union of shingle sets), kept whether it is the
-    row's own. class_id is the least doc_id with the same set, n_links the
-    number of other classes that this one is linked with in its cluster.
+    row's own. class_id is the least doc_id with the same set.
     Null, empty and wordless texts have an empty set and are linked with
     nothing. A row without doc_id is linked with nothing, has no component and
     is kept. Rows that repeat a doc_id are the same document and get the same
@@ -201,14 +225,12 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     stars = buckets.where("n = 2").select("least", "most").union(crowded.where("id > least").select("least", "id"))
     clusters = components(stars, "least", "most")
     members = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
-    found = cut(verify(docs, members, shingle, percent))
-    roots = components(found.where("b is not null"))
-    degree = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
-    classes = reps.select("set", F.col("n_shingles").alias("_n"), "id").join(roots, F.col("id") == F.col("node"), "left").join(degree, "id", "left")
-    classes = classes.select(F.col("set").alias("_set"), "_n", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("_root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    roots = components(verify(docs, members, shingle, percent))
+    classes = reps.select("set", F.col("n_shingles").alias("_n"), "id").join(roots, F.col("id") == F.col("node"), "left")
+    classes = classes.select(F.col("set").alias("_set"), "_n", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("_root"))
     out = sig.select("doc_id", "n_shingles", "set").join(classes, (F.col("set") == F.col("_set")) & (F.col("n_shingles") == F.col("_n")) & F.col("doc_id").isNotNull(), "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def op1(docs: DataFrame) -> DataFrame:

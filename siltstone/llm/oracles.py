@@ -16,10 +16,9 @@ o AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS k FROM e a JOIN e
 l AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * k >= 85 * (n - k)),
 u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
-m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a),
-n AS (SELECT a AS id, count(*) AS n_links FROM u GROUP BY a)
-SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(m.root, s.doc_id) = s.doc_id AS kept, coalesce(c.id, s.doc_id) AS class_id, coalesce(n.n_links, 0) AS n_links
-FROM s LEFT JOIN c ON len(s.g) > 0 AND md5(array_to_string(list_sort(s.g), chr(10))) = c.k LEFT JOIN m ON m.id = c.id LEFT JOIN n ON n.id = c.id
+m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(m.root, s.doc_id) = s.doc_id AS kept, coalesce(c.id, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON len(s.g) > 0 AND md5(array_to_string(list_sort(s.g), chr(10))) = c.k LEFT JOIN m ON m.id = c.id
 """.replace("LOWER", _LOWER)
 
 #: One group after another, largest first, to the least-loaded of 16 shards; crc32 byte by byte.

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontam, langid, minhash, ordinal, packing, passages, rules, shards, sstable, suffixes, tokens
+from siltstone.llm import decontam, graph, langid, minhash, ordinal, packing, passages, rules, shards, sstable, suffixes, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hit string, start int"
 
@@ -95,6 +95,26 @@ def test_op1(docs, rows, monkeypatch, block):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_op1_chains_in_a_large_cluster(spark, monkeypatch, sent):
+    """Chains of documents each of which is like the next one only: every link counts, whatever block its ends are in."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SENT", sent)
+    monkeypatch.setattr(graph, "SENT", sent)
+    rng = random.Random(4)
+    rows = []
+    for chain, size in enumerate((50, 30, 9)):
+        words = [f"c{chain}w{rng.randrange(10**6)}" for _ in range(130 + 6 * size)]
+        rows += [(1000 * chain + rng.randrange(10) + 10 * i, " ".join(words[6 * i : 6 * i + 120])) for i in range(size)]
+    want, _ = roots(rows, 3, 85)
+    assert len(set(want.values())) == 3
+    # one cluster of all: candidates are glued as if they shared bands
+    members = spark.createDataFrame([(i, 0) for i, _ in rows], "id long, cluster long")
+    links = minhash.verify(spark.createDataFrame(rows, "doc_id long, text string"), members, 3, 85)
+    found = {r.node: r.root for r in minhash.components(links).collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == want
+
+
 def test_op2(docs, rows, spark):
     labels = spark.createDataFrame([(i, int(i % 5 != 0), None) for i in range(60)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = rules.op2(docs, labels).collect()
