@@ -29,6 +29,11 @@ with contextlib.suppress(OSError, AttributeError):
     ctypes.CDLL(None).mallopt(-3, 1 << 20)
 
 
+def release() -> None:
+    """Give memory that Arrow holds and doesn't use back to the system; for workers between large pieces of work."""
+    pa.default_memory_pool().release_unused()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches that carry texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
