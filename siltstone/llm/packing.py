@@ -23,7 +23,6 @@ of descending powers of two, so nothing is padded.
 
 from __future__ import annotations
 
-import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,8 +50,8 @@ class Phases:
 
     window: list[int]
     count: list[int]
-    used: list[list[int]]
-    cum: list[list[int]]
+    used: np.ndarray
+    cum: np.ndarray
 
 
 def round_robin(size: int, left: list[int], weight: list[float]) -> list[int]:
@@ -79,14 +78,14 @@ def round_robin(size: int, left: list[int], weight: list[float]) -> list[int]:
 def schedule(totals: list[int], weight: list[float], window: int) -> Phases:
     """Phases that give all tokens of all queues."""
     left, used, at = list(totals), [0] * len(totals), 0
-    out = Phases([], [], [], [])
+    number, count, given, sums = [], [], [], []
 
     def put(n: int, cum: list[int]) -> None:
         nonlocal at
-        out.window.append(at)
-        out.count.append(n)
-        out.used.append(list(used))
-        out.cum.append(cum)
+        number.append(at)
+        count.append(n)
+        given.append(np.array(used, np.int64))
+        sums.append(np.array(cum, np.int64))
         for s in range(len(left)):
             got = (cum[s + 1] * n >> FIX) - (cum[s] * n >> FIX)
             used[s] += got
@@ -111,15 +110,16 @@ def schedule(totals: list[int], weight: list[float], window: int) -> Phases:
     for b in reversed(range(remains.bit_length())):
         if remains >> b & 1:
             explicit(1 << b)
-    return out
+    # 64-bit arrays: at some thousand phases of a thousand queues every worker holds them
+    return Phases(number, count, np.array(given).reshape(-1, len(totals)), np.array(sums).reshape(-1, len(totals) + 1))
 
 
-def locate(p: Phases, starts: list[list[int]], s: int, a: int, n: int):
+def locate(p: Phases, s: int, a: int, n: int):
     """(start in the document, length, window, offset) arrays for tokens a..a+n of queue s."""
     pos, end, found = a, a + n, []
     while pos < end:
-        j = bisect.bisect_right(starts[s], pos) - 1
-        c0, c1, base = p.cum[j][s], p.cum[j][s + 1], p.used[j][s]
+        j = int(np.searchsorted(p.used[:, s], pos, "right")) - 1
+        c0, c1, base = int(p.cum[j, s]), int(p.cum[j, s + 1]), int(p.used[j, s])
         give = lambda k: (c1 * k >> FIX) - (c0 * k >> FIX)  # noqa: E731, B023
         stop = min(end - base, give(p.count[j]))
         k = max(0, ((pos - base) << FIX) // (c1 - c0) - 2)
@@ -194,11 +194,11 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
     if rest:
         totals.append(rest)
         weight.append(max(small, 1 - sum(weight)) if mixture else float(rest))
-    queue = F.lit(len(big))
-    for i, r in enumerate(big):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(r["source"])), i).otherwise(queue)
+    # at most 1024 rows, as each has 1/1024 of the tokens or of the target
+    own = spark.createDataFrame([(r["source"], i) for i, r in enumerate(big)], "_s string, _q int")
+    queues = per.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("_s")), "left").select("part", "source", "n", F.coalesce("_q", F.lit(len(big))).alias("queue"))
     before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("part").alias("_p"), F.col("source").alias("_s"), "queue", "base")
+    bases = queues.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("part").alias("_p"), F.col("source").alias("_s"), "queue", "base")
     if per.count() <= SENT:  # one row for each task and source; beyond it the join shuffles
         bases = F.broadcast(bases)
     placed = tok.join(bases, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "queue", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
@@ -206,14 +206,13 @@ def pack(docs: DataFrame, window: int = 4096, mixture: dict[str, float] | None =
 
     def task(batches):
         p = plan.value
-        starts = [[u[s] for u in p.used] for s in range(len(totals))]
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols: tuple[list, ...] = ([], [], [], [], [])
             counts = []
             for q, at, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                start, length, seq, off = locate(p, starts, q, at, n)
+                start, length, seq, off = locate(p, q, at, n)
                 for c, v in zip(cols, (start, length, seq, off, np.full(len(start), n)), strict=True):
                     c.append(v)
                 counts.append(len(start))

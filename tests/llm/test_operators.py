@@ -210,6 +210,13 @@ def hits(text, items):
     return len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit)
 
 
+def test_op3_many_sources(spark):
+    own = [(i, " ".join(f"w{i * 7 + j}" for j in range(5 + i % 3)), f"s{i % 700}" if i % 700 else None) for i in range(2100)]
+    got = packing.pack(spark.createDataFrame(own, "doc_id long, text string, source string"), 4096).withColumn("ids_crc32", F.crc32("ids")).collect()
+    check_pieces(got, [(i, t) for i, t, _ in own], 4096)
+    assert len({r.source for r in got if r.sequence_id == 0}) == 700
+
+
 def test_op3_refuses_a_target_it_cannot_keep(docs):
     with pytest.raises(ValueError, match="s1"):
         packing.pack(docs, mixture={"s0": 0.5, "s1": 0.0001})
