@@ -111,7 +111,7 @@ def schedule(totals: list[int], weight: list[float], window: int) -> Phases:
         if remains >> b & 1:
             explicit(1 << b)
     # 64-bit arrays: at some thousand phases of a thousand queues every worker holds them
-    return Phases(number, count, np.array(given).reshape(-1, len(totals)), np.array(sums).reshape(-1, len(totals) + 1))
+    return Phases(number, count, np.array(given, np.int64).reshape(len(number), len(totals)), np.array(sums, np.int64).reshape(len(number), len(totals) + 1))
 
 
 def locate(p: Phases, s: int, a: int, n: int):
