@@ -35,6 +35,8 @@ K = BANDS * ROWS
 UNIVERSE = 1 << 20
 #: Members of a cluster in a block; shingles that a matrix product takes at once.
 BLOCK, COLUMNS = 512, 8192
+#: Members of clusters of one block that one task compares, on the average, at most.
+SHARE = 2048
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +169,7 @@ def _compared(docs: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFr
 
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(dealt, "id").select("id", "cluster", "pairs", "side", "blocks", "text")
     rows = texts.mapInArrow(sets, "id long, cluster long, pairs array<long>, side int, blocks int, s binary").withColumn("pair", F.explode("pairs"))
-    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // SHARE))
     share = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(buckets))).otherwise(F.xxhash64("cluster", "pair"))
     return rows.select("id", "cluster", "pair", "side", "s", share.alias("share")).groupBy("share").applyInArrow(compare, "a long, b long")
 

@@ -85,6 +85,7 @@ def roots(rows, n, percent):
 @pytest.mark.parametrize("block", [512, 4])
 def test_op1(docs, rows, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SHARE", block)
     want, sets = roots(rows, 3, 85)
     got = minhash.op1(docs).collect()
     assert len(got) == len(rows)
@@ -280,8 +281,9 @@ def lines_and_periods():
     return [(i, t) for i, t in enumerate(rows + later)]
 
 
-@pytest.mark.parametrize("parts", [1, 4, 23])
-def test_op5_frequent_lines_and_periods(spark, parts):
+@pytest.mark.parametrize(("parts", "bucket"), [(1, 64 << 20), (4, 50), (23, 64 << 20)])
+def test_op5_frequent_lines_and_periods(spark, monkeypatch, parts, bucket):
+    monkeypatch.setattr(passages, "BUCKET", bucket)
     rows = lines_and_periods()
     found = defaultdict(set)
     words = {i: t.split() for i, t in rows}
