@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import itertools
 import tempfile
 import uuid
@@ -109,7 +110,7 @@ _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
 
 def _pow(n: int, sign: int) -> np.ndarray:
-    """_BASE ** (sign * i) mod 2**64 for i < n at least."""
+    """_BASE ** (sign * i) mod 2**64 for i < n at least, for sums over windows of values that are hashes already or are compared by bytes later."""
     have = _powers[sign]
     if len(have) < n:
         steps = np.full(max(n, CHUNK + 4096), _BASE if sign > 0 else _BASE_INV, np.uint64)
@@ -169,35 +170,72 @@ def runs(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Words of more bytes are hashed by a cryptographic function, one at a time.
+LONG = 256
+_STEP, _LENGTH = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
+#: _KEEP[k]: the low k bytes of a lane.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def lanes(data: np.ndarray):
+    """A function of places: the eight bytes from each on, as one number; those beyond the end are zero."""
+    whole = np.zeros(-(-len(data) // 8) * 8 + 16, np.uint8)
+    whole[: len(data)] = data
+    whole = whole.view("<u8")
+
+    def at(places: np.ndarray) -> np.ndarray:
+        q, shift = places >> 3, (places & 7).astype(np.uint64) << np.uint64(3)
+        # two shifts, as one by 64 bits is none
+        return (whole[q] >> shift) | ((whole[q + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+
+    return at
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], a chunk of bytes at a time; starts ascend."""
+    """64-bit hashes of data[start:end]: eight bytes at a time through mix(), chained, the length last; a chunk of bytes at a time; starts ascend.
+
+    Every lane is mixed before the next one is added, so sums over letters
+    that are equal in two words don't make their hashes equal.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
-        at = starts[i]
-        if ends[i] - at > CHUNK:  # a word longer than a chunk, in pieces
-            out[i] = _long_hash(data[at : ends[i]])
-            i += 1
-            continue
-        j = max(i + 1, int(np.searchsorted(starts, at + CHUNK)))
-        long = np.flatnonzero(ends[i:j] - starts[i:j] > CHUNK)
-        j = i + int(long[0]) if len(long) else j
-        span = int(ends[i:j].max() - at)
-        sums = np.zeros(span + 1, np.uint64)
-        np.cumsum((data[at : at + span].astype(np.uint64) + np.uint64(1)) * _pow(span + 1, 1)[:span], out=sums[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = mix((sums[e] - sums[s]) * _pow(span + 1, -1)[s] + (e - s).astype(np.uint64))
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK)))
+        size = ends[i:j] - starts[i:j]
+        long = np.flatnonzero(size > LONG)
+        short = np.flatnonzero(size <= LONG)
+        for k in long.tolist():
+            word = data[starts[i + k] : ends[i + k]].tobytes()
+            out[i + k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(short):
+            origin = starts[i]
+            at = lanes(data[origin : min(len(data), int(starts[j - 1]) + LONG)])
+            s, n = starts[i:j][short] - origin, size[short]
+            h = mix(at(s) & _KEEP[np.minimum(n, 8)])
+            some = np.flatnonzero(n > 8)
+            step = 8
+            while len(some):
+                h[some] = mix(h[some] * _STEP + (at(s[some] + step) & _KEEP[np.minimum(n[some] - step, 8)]))
+                step += 8
+                some = some[n[some] > step]
+            out[i:j][short] = mix(h + n.astype(np.uint64) * _LENGTH)
         i = j
     return out
 
 
-def _long_hash(word: np.ndarray) -> np.uint64:
-    total, factor, step = 0, 1, pow(int(_BASE), CHUNK, 1 << 64)
-    for i in range(0, len(word), CHUNK):
-        part = word[i : i + CHUNK].astype(np.uint64) + np.uint64(1)
-        total += int((part * _pow(len(part), 1)[: len(part)]).sum()) * factor
-        factor = factor * step % (1 << 64)
-    return mix(np.array([(total + len(word)) % (1 << 64)], np.uint64))[0]
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] is other[start:end], byte by byte, for each pair of places."""
+    ok = ends - starts == other_ends - other_starts
+    some, step = np.flatnonzero(ok), 0
+    x, y = lanes(data), lanes(other)
+    while len(some):
+        left = ends[some] - starts[some] - step
+        some, left = some[left > 0], left[left > 0]
+        same = ((x(starts[some] + step) ^ y(other_starts[some] + step)) & _KEEP[np.minimum(left, 8)]) == 0
+        ok[some[~same]] = False
+        some = some[same]
+        step += 8
+    return ok
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
