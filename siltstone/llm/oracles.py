@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, ledger
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -49,9 +49,54 @@ SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGI
 sha256(unhex(array_to_string(list_transform(range(1, len(l)), lambda k: substr(h, 2 * l[k][2] + 1, 2 * (l[k + 1][1] - l[k][2]))), ''))) AS kept_sha256 FROM w
 """
 
+#: Every score by its formula.
+RANKED = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), LOWER), 'TERM') AS w FROM documents),
+g AS MATERIALIZED (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), LOWER), 'TERM')) AS t FROM benchmark),
+f AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM f GROUP BY t), g),
+s AS (SELECT item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * n) // CAST(l AS BIGINT))))) AS score FROM q JOIN v USING (t) JOIN f USING (t) JOIN d USING (r), g GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM s JOIN d USING (r) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+""".replace("LOWER", _LOWER).replace("TERM", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+#: Every window as a sorted list.
+ROLLING = """
+WITH c AS MATERIALIZED (SELECT click_id, r.kind AS kind, r.ts AS ts, CAST(floor(100 * r.value + 0.5) AS BIGINT) AS c FROM (SELECT click_id, min({'gone': ts IS NULL, 'ts': ts, 'kind': kind, 'value': value}) AS r FROM clicks GROUP BY click_id) WHERE NOT r.gone),
+w AS (SELECT click_id, kind, c, list_sort(list(c) FILTER (c IS NOT NULL) OVER (PARTITION BY kind ORDER BY ts RANGE BETWEEN INTERVAL '59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)) AS l FROM c),
+m AS (SELECT click_id, kind, c, l, coalesce(len(l), 0) AS n, CASE WHEN len(l) >= 2 THEN l[(len(l) + 1) // 2] + l[len(l) // 2 + 1] END AS median2 FROM w),
+a AS (SELECT click_id, kind, c, n, median2, CASE WHEN n >= 2 THEN list_sort(list_transform(l, lambda x: abs(2 * x - median2))) END AS l FROM m),
+b AS (SELECT click_id, kind, c, n, median2, CASE WHEN n >= 2 THEN l[(n + 1) // 2] + l[n // 2 + 1] END AS mad4 FROM a)
+SELECT click_id, kind, CAST(n AS BIGINT) AS n, CAST(median2 AS BIGINT) AS median2, CAST(mad4 AS BIGINT) AS mad4, 2 * abs(2 * c - median2) > 3 * mad4 AS far FROM b
+"""
+
+
+
+def _secrets() -> str:
+    """Each rule's matches in each text, between marks, so that lengths give their places."""
+    mark = "chr(57344)"
+    parts = [
+        f"SELECT r, {i} AS o, '{x.kind}' AS kind, string_split(regexp_replace(x, '({p})', {mark} || '\\1' || {mark}, 'g'), {mark}) AS l, list_transform(l, lambda y: length(regexp_extract(y, '{p}', {x.group})) >= {x.least}) AS ok FROM d"
+        for i, x in enumerate(ledger.RULES)
+        for p in [x.pattern.replace("'", "''")]
+    ]
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS x FROM documents),
+p AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT r, o, kind, ok, l, unnest(range(2, len(l) + 1, 2)) AS k FROM p WHERE len(l) > 1),
+s AS (SELECT r, o, kind, CAST(list_sum(list_transform(l[1:k - 1], lambda y: length(y))) AS BIGINT) AS a, length(l[k]) AS n FROM e WHERE ok[k]),
+j AS (SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)
+"""
+
+
 SQL = {
     "op1_circulant_minhash": NEAR,
     "op4_prefix_decontamination": decontam.ORACLE,
     "op7_lpt_shards": SHARDS,
     "op10_suffix_merge": SUFFIXES,
+    "op11_wand_search": RANKED,
+    "op12_rolling_median": ROLLING,
+    "op13_blob_ledger": _secrets(),
 }

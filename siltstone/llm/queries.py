@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, minhash, oracles, ordinal, packing, passages, rules, shards, sstable, suffixes
+from . import decontam, langid, ledger, lexical, minhash, oracles, ordinal, packing, passages, rolling, rules, shards, sstable, suffixes
 from .common import prepare, table
 
 
@@ -50,6 +50,18 @@ def op10_suffix_merge(spark, sf_dir):
     return suffixes.op10(_docs(spark, sf_dir))
 
 
+def op11_wand_search(spark, sf_dir):
+    return lexical.op11(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_rolling_median(spark, sf_dir):
+    return rolling.op12(table(spark, sf_dir, "clicks"))
+
+
+def op13_blob_ledger(spark, sf_dir):
+    return ledger.op13(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
