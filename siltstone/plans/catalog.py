@@ -19,7 +19,7 @@ from siltstone.functions.token_count import TokenLength, token_length
 from siltstone.operators import embed, search
 from siltstone.operators.splitter import Splitter
 from siltstone.operators.store import VectorStore, last_wins, upsert, without
-from siltstone.plans import ingest, oracles
+from siltstone.plans import ingest, oracles, temporal
 from siltstone.sources import records, samples
 
 
@@ -428,8 +428,8 @@ def embed_search_e2e(spark, sf_dir):
 
 def queries() -> dict:
     own = (search_topk, search_scores, search_multi_query, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in (*own, *temporal.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | temporal.SQL

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from siltstone.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales client_changes".split()
 
 
 def test_entry(spark):
