@@ -65,7 +65,7 @@ def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tu
 
 
 def sessions(df: DataFrame, by: list[str], time: str, gap: int, total: str | None = None) -> DataFrame:
-    """by, started, ended (microseconds; the last row's), n and, if given, the sum `total` of a whole-number column, of each run of rows less than `gap` microseconds apart.
+    """by, started, ended (microseconds; the last row's), n and, if given, the sum `total` of a whole-number column, of each run of rows at most `gap` microseconds apart (as session_window has it).
 
     Rows are first counted in cells of the gap's length, all rows of which are
     of one session; only cells meet in a window, so a key with most of the rows
@@ -77,7 +77,7 @@ def sessions(df: DataFrame, by: list[str], time: str, gap: int, total: str | Non
     sums = [F.sum("_v").alias("total")] if total else []
     cells = rows.groupBy(*columns(by), F.floor(F.col("_t") / gap).alias("_cell")).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("*").alias("n"), *sums)
     w = Window.partitionBy(*columns(by)).orderBy("_cell")
-    opens = F.coalesce((F.col("_first") - F.lag("_last").over(w) >= gap).cast("long"), F.lit(1))
+    opens = F.coalesce((F.col("_first") - F.lag("_last").over(w) > gap).cast("long"), F.lit(1))
     cells = cells.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(w))
     again = [F.sum("total").alias("total")] if total else []
     return cells.groupBy(*columns(by), "_session").agg(F.min("_first").alias("started"), F.max("_last").alias("ended"), F.sum("n").alias("n"), *again).drop("_session")

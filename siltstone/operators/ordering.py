@@ -8,10 +8,13 @@ from pyspark.sql import types as T
 
 
 def number(df: DataFrame, name: str) -> Column:
-    """A column as long: microseconds of a timestamp, days of a date, a whole number as it is. Others raise."""
+    """A column as long: microseconds of a timestamp (without a zone as it stands), days of a date, a whole number as it is. Others raise."""
     kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(f"`{name}`").cast("timestamp"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(f"`{name}`")
+    if isinstance(kind, T.TimestampNTZType):  # not by way of the session's zone, in which hours are skipped and repeated
+        since = F.col(f"`{name}`") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+        return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
     if isinstance(kind, T.DateType):
         return F.unix_date(f"`{name}`").cast("long")
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.asof import asof_join
 from siltstone.operators.intervals import overlap_join, sessions
+from siltstone.operators.ordering import number
+from siltstone.operators.shared import drop_path, new_path
+from siltstone.streaming.sessions import append_sessions, close
 
 GAP = 30 * 60 * 1_000_000
 
@@ -58,14 +61,56 @@ def interval_journeys(spark, sf_dir):
     return overlap_join(a.select("client_id", F.timestamp_micros("started").alias("started"), F.timestamp_micros("closed").alias("closed")), s, ("started", "closed"), ("sold_at", "arrived_at"), ["client_id"], ["buyer"]).select("client_id", F.unix_micros("started").alias("started"), "sale_id")
 
 
-QUERIES = (asof_events_orders, asof_clicks_changes, asof_next_sale, click_sessions, interval_sessions_sales, interval_journeys)
+RANGES = 4
+
+
+def _streamed(spark, sf_dir):
+    """Where the sessions of clicks lie, and what each run did: the clicks come in RANGES equal ranges of their arrival, each read by a run of its own."""
+    c = _t(spark, sf_dir, "clicks").select("client_id", "ts", "arrived_at").withColumn("_a", number(_t(spark, sf_dir, "clicks"), "arrived_at"))
+    ends = c.agg(F.min("_a"), F.max("_a")).first()
+    low, width = ends[0] or 0, max(1, (ends[1] or 0) - (ends[0] or 0))
+    at, runs = new_path(spark, "click-sessions"), []
+    schema = c.select("client_id", "ts").schema
+    which = F.least(F.lit(RANGES - 1), F.floor((F.col("_a") - low) * RANGES / F.lit(width)))
+    run = lambda: append_sessions(spark, f"{at}/in", schema, f"{at}/out", f"{at}/state", ["client_id"], "ts", "30 minutes", "10 minutes")
+    for i in range(RANGES):
+        c.where(which == i).select("client_id", "ts").write.mode("append").parquet(f"{at}/in")
+        runs.append(run())
+    close(spark, f"{at}/in", schema, "ts")
+    runs.append(run())
+    for done in ("in", "state"):
+        drop_path(spark, f"{at}/{done}")
+    return f"{at}/out", runs
+
+
+def stream_click_sessions(spark, sf_dir):
+    """Sessions of the clicks as they arrived, those that came more than ten minutes late left out where the watermark says so."""
+    return spark.read.schema("client_id long, started long, ended long, n long").parquet(_streamed(spark, sf_dir)[0])
+
+
+def stream_late_clicks(spark, sf_dir):
+    """How many clicks each run read and how many of them it dropped as late, as it reports itself."""
+    out, runs = _streamed(spark, sf_dir)
+    drop_path(spark, out)
+    return spark.createDataFrame([(i, r.rows, r.late) for i, r in enumerate(runs[:RANGES])], "run int, n long, late long")
+
+
+QUERIES = (asof_events_orders, asof_clicks_changes, asof_next_sale, click_sessions, interval_sessions_sales, interval_journeys, stream_click_sessions, stream_late_clicks)
 
 _SESSIONS = """
-o AS (SELECT client_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM clicks WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY client_id ORDER BY ts)),
+o AS (SELECT client_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM clicks WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY client_id ORDER BY ts)),
 i AS (SELECT client_id, ts, sum(opens) OVER (PARTITION BY client_id ORDER BY ts) AS s FROM o),
 s AS MATERIALIZED (SELECT client_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n FROM i GROUP BY client_id, s)
 """
 
+#: Clicks by range of arrival, and whether they came after the watermark, which stands ten minutes before the latest click of the ranges before.
+_ARRIVED = f"""
+c AS MATERIALIZED (SELECT client_id, ts, least({RANGES - 1}, floor((epoch_us(arrived_at) - low) * {RANGES} / wide)) AS r FROM clicks, (SELECT epoch_us(min(arrived_at)) AS low, greatest(1, epoch_us(max(arrived_at)) - low) AS wide FROM clicks)),
+x AS (SELECT r, max(ts) AS top FROM c GROUP BY r),
+m AS (SELECT r, date_trunc('milliseconds', (SELECT max(top) FROM x y WHERE y.r < x.r)) - INTERVAL '10 minutes' AS mark FROM x),
+l AS MATERIALIZED (SELECT client_id, ts, r, coalesce(ts + INTERVAL '30 minutes' <= mark, false) AS late FROM c JOIN m USING (r))
+"""
+
 SQL = {
     "asof_events_orders": """
 SELECT event_id, e.user_id AS user_id, ts, o_orderdate, o_orderkey, o_orderstatus FROM events e ASOF LEFT JOIN
@@ -77,6 +122,8 @@ SELECT click_id, c.client_id AS client_id, ts, valid_at, change_id, op, segment,
 SELECT click_id, c.client_id AS client_id, ts, sold_at, sale_id FROM clicks c ASOF JOIN
 (SELECT * FROM sales QUALIFY row_number() OVER (PARTITION BY client_id, sold_at ORDER BY sale_id DESC) = 1) s ON c.client_id = s.client_id AND c.ts < s.sold_at WHERE sold_at - ts <= INTERVAL '6 hours'""",
     "click_sessions": f"WITH {_SESSIONS} SELECT client_id, started, ended, n FROM s",
+    "stream_click_sessions": f"WITH {_ARRIVED}, {_SESSIONS.replace('FROM clicks WHERE', 'FROM l WHERE NOT late AND')} SELECT client_id, started, ended, n FROM s",
+    "stream_late_clicks": f"WITH {_ARRIVED} SELECT CAST(r AS INTEGER) AS run, count(*) AS n, count(*) FILTER (late) AS late FROM l GROUP BY r",
     "interval_sessions_sales": f"""
 WITH {_SESSIONS}, b AS (SELECT client_id, sale_id, epoch_us(sold_at) AS sold FROM sales)
 SELECT s.client_id AS client_id, started, sale_id, sold FROM s JOIN b ON s.client_id = b.client_id AND started < sold + {GAP} AND sold < ended + {GAP}""",

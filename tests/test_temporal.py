@@ -123,7 +123,7 @@ def test_sessions_by_sorting(spark):
     for k in ("a", "b", None):
         run = []
         for t, v in [*sorted((t, v) for x, t, v in rows if x == k and t is not None), (10**9, 0)]:
-            if run and t - run[-1][0] >= 10:
+            if run and t - run[-1][0] > 10:
                 want[k, run[0][0], run[-1][0], len(run), sum(v for _, v in run)] += 1
                 run = []
             run.append((t, v))
