@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordering import number
+
 #: Points that a slice should hold, where an hour holds fewer; the longest slice in windows.
 SLICE, LONGEST = 20_000, 720
 #: Entries of the table of positions that a step builds; windows that it selects for at once.
@@ -203,9 +205,10 @@ def op12(clicks: DataFrame) -> DataFrame:
     ts, kind, value) counts. Clicks without ts go, even if another row of the
     id had none. Other columns are ignored.
     """
-    first = F.min(F.struct(F.col("ts").isNull().alias("gone"), "ts", "kind", "value"))
-    once = clicks.groupBy("click_id").agg(first.alias("r")).where("not r.gone")
-    rows = once.select("click_id", F.col("r.kind").alias("kind"), F.unix_micros(F.col("r.ts").cast("timestamp")).alias("us"), cents(F.col("r.value")).alias("c"))
+    timed = clicks.select("click_id", number(clicks, "ts").alias("us"), "kind", "value")
+    first = F.min(F.struct(F.col("us").isNull().alias("gone"), "us", "kind", "value"))
+    once = timed.groupBy("click_id").agg(first.alias("r")).where("not r.gone")
+    rows = once.select("click_id", F.col("r.kind").alias("kind"), F.col("r.us").alias("us"), cents(F.col("r.value")).alias("c"))
     got = rolling(rows, "kind", "us", "c", 3_600_000_000).select(F.col("kind").alias("_kind"), F.col("us").alias("_us"), "n", "median2", F.col("spread4").alias("mad4"))
     out = rows.join(got, F.col("kind").eqNullSafe(F.col("_kind")) & (F.col("us") == F.col("_us")))
     far = 2 * F.abs(2 * F.col("c") - F.col("median2")) > 3 * F.col("mad4")
