@@ -16,7 +16,7 @@ from siltstone.operators.ordering import columns, no_clash, number
 from siltstone.operators.shared import cut
 
 #: Rows of a key above which it is dealt by ranges of time.
-HOT = 1_000_000
+HOT = 100_000
 
 
 def _carried(rows: DataFrame, *by: str) -> DataFrame:

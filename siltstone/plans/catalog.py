@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions import half_pack, native
 from siltstone.functions.token_count import TokenLength, token_length
-from siltstone.operators import embed, search
+from siltstone.operators import ann, embed, search, shared
 from siltstone.operators.splitter import Splitter
 from siltstone.operators.store import VectorStore, last_wins, upsert, without
 from siltstone.plans import ingest, oracles, temporal
@@ -68,6 +68,33 @@ def search_multi_query(spark, sf_dir):
     return search.search_many(v, q, 5, order="vec_id").select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", _rounded("score").alias("score"))
 
 
+def _indexed(spark, sf_dir, use):
+    """use(index, vectors, queries) for an index of all vectors and every vector whose id is divisible by 100 as a query; a small result, after which the index goes."""
+    v = _t(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    path = shared.new_path(spark, "vectors")
+    out = shared.cut(use(ann.build(v, path), v, q))
+    shared.drop_path(spark, path)
+    return out
+
+
+def ann_search(spark, sf_dir):
+    """About the ten nearest vectors, by an index."""
+    return _indexed(spark, sf_dir, lambda ix, v, q: ann.search(ix, v, q, 10)).select("query_id", "rank", F.col("id").alias("vec_id"), _rounded("score").alias("score"))
+
+
+def ann_recall(spark, sf_dir):
+    """ann_search against search_many over all vectors: neighbours wanted, and whether nine of ten at least are found, or others as near."""
+
+    def compare(ix, v, q):
+        want = search.search_many(v, q, 10, order="vec_id").groupBy("query_id").agg(F.count("*").alias("wanted"), F.min("score").alias("least"))
+        got = ann.search(ix, v, q, 10).join(want, "query_id").where(F.col("score") >= F.col("least") - 1e-6)
+        found = got.agg(F.count("*").alias("found"))
+        return want.agg(F.count("*").alias("n_queries"), F.sum("wanted").alias("wanted")).crossJoin(found).select("n_queries", "wanted", (10 * F.col("found") >= 9 * F.col("wanted")).alias("enough"))
+
+    return _indexed(spark, sf_dir, compare)
+
+
 def search_limit_then_lookup(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings")
     hits = search.topk(v, _query(spark, sf_dir), 10, order="vec_id").select("vec_id", "score")
@@ -427,7 +454,7 @@ def embed_search_e2e(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (search_topk, search_scores, search_multi_query, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
+    own = (search_topk, search_scores, search_multi_query, ann_search, ann_recall, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
     return {f.__name__: f for f in (*own, *temporal.QUERIES)}
 
 

@@ -64,6 +64,7 @@ _STORED = "(SELECT p_brand || '-' || p_size AS id, p_name AS text, p_partkey AS
 SQL = {
     "search_topk": f"SELECT vec_id, round(s, 6) + 0.0 AS score FROM ({_TOP})",
     "search_scores": f"SELECT vec_id, round({_COS}, 6) + 0.0 AS score FROM embeddings e, {_Q}",
+    "ann_recall": "SELECT count(*) AS n_queries, CAST(sum(least(10, n)) AS BIGINT) AS wanted, true AS enough FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 100 = 0",
     "search_multi_query": "SELECT query_id, rank, vec_id, round(s, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5",
     "search_limit_then_lookup": f"SELECT doc_id AS id, text, round(s, 6) + 0.0 AS score FROM ({_TOP}) JOIN documents ON doc_id = vec_id WHERE doc_id % 3 <> 1",
     "search_zero_query": "SELECT vec_id, CAST(0 AS DOUBLE) AS score FROM embeddings WHERE false",
