@@ -87,3 +87,118 @@ def test_stream(spark, tmp_path):
     q = ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/store", f"file://{tmp_path}/ckpt", files_per_batch=2)
     q.awaitTermination(120)
     assert VectorStore(spark, f"file://{tmp_path}/store").stats()["vector_count"] == 3
+
+
+def test_an_upsert_writes_no_more_than_its_rows(spark, tmp_path):
+    from siltstone.operators import store as module
+    from siltstone.operators.commits import Folder
+
+    s = VectorStore(spark, f"file://{tmp_path}/s")
+    many = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("text"), F.lit(None).cast(META).alias("metadata"), F.lit(None).cast("binary").alias("embedding"), F.lit(None).cast("int").alias("dimension"), F.lit(None).cast("double").alias("norm"), F.col("id").alias("seq"))
+    s.store(many)
+    assert len(s.compact()) == module.BUCKETS
+    data = Folder(spark, f"file://{tmp_path}/s/data")
+    before, base = data.size(), s.state().base.copy()
+    ids = [f"k{i}" for i in range(10)]
+    s.store(many.where(F.col("id").isin(ids)).withColumn("text", F.lit("new")))
+    assert data.size() - before < before / 100
+    before = data.size()
+    touched = s.compact()
+    assert 0 < len(touched) <= 10 and data.size() - before < before * (len(touched) + 3) / module.BUCKETS
+    after = s.state().base
+    assert {b for b in base if after[b] != base[b]} == set(touched)  # no other bucket is written
+    assert s.chunks().count() == 20_000 and s.chunks().where("text = 'new'").count() == 10
+    assert s.compact() == []
+
+
+def test_two_writers_at_once_both_get_in(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/s"
+    VectorStore(spark, path).open()
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: VectorStore(spark, path).store(records(spark, [(f"w{k}-{i}", f"text {k}", [1.0, float(k)]) for i in range(5)] + [("shared", f"by {k}", [1.0, 1.0])])), range(4)))
+    s = VectorStore(spark, path)
+    assert s.generation() == 5 and s.stats()["vector_count"] == 21
+    last = s.log.entries()[1][-1][1]["segment"]
+    assert s.chunks().where("id = 'shared'").first().text == spark.read.parquet(s._at(last, "chunks")).where("id = 'shared'").first().text
+    assert len({r.ingest_seq for r in s.vectors().collect()}) == 21
+
+
+def test_a_number_of_the_log_is_given_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from siltstone.operators.commits import Folder, Log
+
+    folder = Folder(spark, f"file://{tmp_path}/f")
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda k: folder.publish("one", f"{k}"), range(8))) == 1
+    assert folder.names().count("one") == 1 and len(folder.read("one")) == 1
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda k: Log(spark, f"file://{tmp_path}/log").append({"k": k}), range(16)))
+    assert sorted(got) == list(range(1, 17))
+    assert sorted(e["k"] for _, e in Log(spark, f"file://{tmp_path}/log").entries()[1]) == list(range(16))
+
+
+def test_random_writes_equal_a_dictionary(spark, tmp_path, monkeypatch):
+    import random
+
+    from siltstone.operators import store as module
+
+    monkeypatch.setattr(module, "NEWER", 3)
+    rng = random.Random(4)
+    s, chunks, vectors, states = VectorStore(spark, f"file://{tmp_path}/s").open(), {}, {}, []
+    for k in range(14):
+        step = rng.choice(["store", "store", "store", "delete", "compact", "clear" if k == 8 else "store"])
+        if step == "store":
+            rows = [(f"i{rng.randrange(12)}", f"t{k}-{j}", rng.choice([None, [1.0, float(j)]])) for j in range(5)]
+            s.store(records(spark, rows))
+            for i, t, v in rows:
+                chunks[i] = t
+                if v:
+                    vectors[i] = v
+        elif step == "delete":
+            gone = [f"i{rng.randrange(12)}" for _ in range(3)]
+            s.delete(*gone)
+            for i in gone:
+                chunks.pop(i, None)
+                vectors.pop(i, None)
+        elif step == "compact":
+            s.compact()
+        else:
+            s.clear()
+            chunks, vectors = {}, {}
+        assert {r.id: r.text for r in s.chunks().collect()} == chunks and {r.chunk_id for r in s.vectors().collect()} == set(vectors)
+        states.append((s.generation(), dict(chunks)))
+    for since, old in states[:: 4]:
+        feed = {r.id: (r.change, r.text) for r in s.changes(since).collect()}
+        new = dict(old)
+        for i, (change, text) in feed.items():
+            assert (change == "added") == (i not in old)
+            new.pop(i, None)
+            if change != "removed":
+                new[i] = text
+        assert new == chunks  # the feed turns the old state into the new one
+    assert {r.id: r.text for r in s.chunks(states[5][0]).collect()} == states[5][1]
+    s.vacuum(grace=0)
+    assert {r.id: r.text for r in s.chunks().collect()} == chunks
+    assert set(folder_names(s)) <= {*s.state().base.values(), *(x[1] for x in s.state().newer)}
+
+
+def folder_names(s):
+    from siltstone.operators.commits import Folder
+
+    return Folder(s.spark, f"{s.path}/data").names()
+
+
+def test_a_merge_that_a_clear_overtook_is_void(spark, tmp_path):
+    s = VectorStore(spark, f"file://{tmp_path}/s")
+    s.store(records(spark, [("a", "one", [1.0, 0.0])]))
+    state = s.state()
+    s.compact()
+    s.clear()
+    entry = s.log.entries()[1]
+    s.log.append({"kind": "compact", "segment": state.newer[0][1], "buckets": state.newer[0][3], "through": state.version})
+    assert s.stats()["chunk_count"] == 0 and entry
+    s.store(records(spark, [("b", "two", None)]))
+    assert [r.id for r in s.chunks().collect()] == ["b"]
