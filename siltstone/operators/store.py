@@ -25,7 +25,7 @@ from siltstone.operators.commits import Folder, Log
 #: Hash buckets of base segments; newer segments from which on a write compacts.
 BUCKETS, NEWER = 32, 16
 #: The entry's number is above these bits of ingest_seq, a row's place in its write below.
-PLACE = 40
+PLACE = 44
 
 
 def last_wins(incoming: DataFrame, key: str, seq: str) -> DataFrame:
