@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontam, graph, langid, minhash, ordinal, packing, passages, rules, shards, sstable, suffixes, tokens
+from siltstone.llm import common, decontam, graph, langid, minhash, ordinal, packing, passages, rules, shards, sstable, suffixes, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hit string, start int"
 
@@ -440,6 +440,42 @@ def test_more_languages_than_a_byte_holds(spark):
     assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in got) > 290
 
 
+def test_scripts_narrow_the_candidates(spark):
+    rng = random.Random(1)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    rows = [(i, " ".join(word("абвгдежзик") for _ in range(120)), "ru") for i in range(200)] + [(1000 + i, "the cat sat on a mat", "en") for i in range(30)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    unseen = spark.createDataFrame([(i, " ".join(word("лмнопрстуфхцчшщ") for _ in range(20))) for i in range(40)] + [(50, "שלום עולם"), (51, "բարեւ")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.label(unseen, model).collect()}
+    assert all(got[i].lang_pred == "ru" and got[i].score == 1 for i in range(40))
+    assert got[50].lang_pred in ("ru", "en")  # a script that none was learned in: all are candidates
+    data = np.frombuffer("aé жщ ქ שׁ ա 漢 한 か 𝒜".encode(), np.uint8)
+    starts, _, _ = common.runs(data, np.array([0, len(data)]), common.SPACES)
+    assert [langid._NAMES[x] for x in langid.scripts(data, starts)] == ["latin", "cyrillic", "georgian", "hebrew", "armenian", "han", "hangul", "kana", "other"]
+
+
+def test_a_long_text_and_many_languages_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    langs = 300
+    logp = rng.normal(-9, 1, (langid.BUCKETS, langs)).astype(np.float32)
+    uses = np.zeros((langid.SCRIPTS, langs), bool)
+    uses[langid._NAMES.index("latin")] = True
+    letters = rng.integers(97, 123, 4 << 20).astype(np.uint8)
+    letters[rng.integers(0, len(letters), len(letters) // 4)] = 32
+    n = len(letters) // 16
+    tracemalloc.start()
+    part = letters[:n]  # a sixteenth is labelled here; memory doesn't depend on how much follows
+    starts, ends, _ = common.runs(part, np.array([0, n]), langid._SEP)
+    got = langid.label_long(len(starts), lambda a, b: langid.word_scores(part, starts[a:b], ends[a:b], logp, uses), 12.0)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    whole = langid.viterbi(langid.word_scores(part, starts[:6000], ends[:6000], logp, uses), np.array([0, 6000]), 12.0)
+    part_only = langid.label_long(6000, lambda a, b: langid.word_scores(part, starts[a:b], ends[a:b], logp, uses), 12.0)
+    assert (whole == part_only).all() and len(got) == len(starts)
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -447,6 +483,7 @@ def test_viterbi_is_best():
         s = rng.normal(0, 3, (n, k))
         best = max(np.ndindex(*[k] * n), key=lambda p: sum(s[i, x] for i, x in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
         assert langid.viterbi(s, np.array([0, n]), 2.0).tolist() == list(best)
+        assert langid.label_long(int(n), lambda i, j, s=s: s[i:j], 2.0).tolist() == list(best)
 
 
 @pytest.mark.parametrize("run", [24 << 20, 40_000])
