@@ -8,8 +8,9 @@ some position implies where the window would lie in the document: candidates
 that leave the document are dropped (length and position bounds), the rest are
 verified there.
 
-The windows are the smaller side. They are cut by hash into blocks of about
-BLOCK windows. A pass over the documents counts rarity for one block, another
+The windows are the smaller side. They are cut by hash of window and item into
+blocks of about BLOCK rows, so a window that many items share is in some blocks
+with some of its items each. A pass over the documents counts rarity for one block, another
 looks for it; then the block goes and the next one comes, with the hits so far
 in a written table. So neither the driver nor an executor ever holds more than
 one block, however large the benchmark is.
@@ -26,32 +27,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_ALNUM, chunks, cut, drop_path, fresh, grams, hashes, mark, mix, new_path, prepare, runs, spark_ints, text_bytes
+from .common import LOWER, NOT_ALNUM, chunks, cut, drop_path, fresh, grams, hashes, mark, mix, new_path, prepare, runs, same_words, spark_ints, text_bytes
 
 #: Words of a window and of a shingle; windows of a block.
 WINDOW, SHINGLE, BLOCK = 10, 3, 200_000
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of lower-cased texts, and the first word of each text."""
-    data = LOWER[data]
-    starts, ends, first = runs(data, offs, NOT_ALNUM)
-    return hashes(data, starts, ends), first
+class Words:
+    """Words of lower-cased texts: their bytes, hashes, and the first word of each text."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        self.data = LOWER[data]
+        self.starts, self.ends, self.first = runs(self.data, offs, NOT_ALNUM)
+        self.hash = hashes(self.data, self.starts, self.ends)
 
 
 def windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item, n (words), words (binary hashes): each distinct window of each item; an item shorter than a window is one."""
+    """item, n (words), words (lower case, a space between): each distinct window of each item; an item shorter than a window is one."""
 
     def task(batches):
         for batch in batches:
             items = batch.column(0).to_pylist()
             data, offs = text_bytes(batch.column(1))
-            h, first = words(data, offs)
+            found = Words(data, offs)
+            raw, spans = found.data.tobytes(), list(zip(found.starts.tolist(), found.ends.tolist(), strict=True))
             out: set = set()
             for i, item in enumerate(items):
-                w = h[first[i] : first[i + 1]]
+                w = [raw[a:b] for a, b in spans[found.first[i] : found.first[i + 1]]]
                 n = min(window, len(w))
-                out |= {(item or "", n, w[j : j + n].tobytes()) for j in range(len(w) - n + 1)} if n else set()
+                out |= {(item or "", n, b" ".join(w[j : j + n])) for j in range(len(w) - n + 1)} if n else set()
             cols = list(zip(*sorted(out), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["item", "n", "words"])
 
@@ -59,7 +63,7 @@ def windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 class Block:
-    """Windows of one block, in arrays: words (padded), sizes, items, and prefix shingles sorted by hash."""
+    """Windows of one block, in arrays: words and their hashes (padded), sizes, items, and prefix shingles sorted by hash."""
 
     def __init__(self, rows, window: int):
         at: dict = {}
@@ -67,9 +71,12 @@ class Block:
             at.setdefault((r["n"], bytes(r["words"])), []).append(r["item"])
         keys = sorted(at)
         self.n = np.array([n for n, _ in keys], np.int64)
+        offs = np.concatenate([[0], np.cumsum([len(w) for _, w in keys])])
+        self.text = Words(np.frombuffer(b"".join(w for _, w in keys), np.uint8), offs)
         self.words = np.zeros((len(keys), window), np.uint64)
-        for i, (n, w) in enumerate(keys):
-            self.words[i, :n] = np.frombuffer(w, np.uint64)
+        for j in range(window):
+            own = np.flatnonzero(self.n > j)
+            self.words[own, j] = self.text.hash[self.text.first[own] + j]
         self.items = [sorted(at[k]) for k in keys]
         #: (window, offset, shingle size, hash) of every shingle.
         parts = []
@@ -100,9 +107,9 @@ class Block:
         order = order[np.argsort(self.hash[order], kind="stable")]
         self.window, self.offset, self.size, self.hash = (x[order] for x in (self.window, self.offset, self.size, self.hash))
 
-    def find(self, h: np.ndarray, first: np.ndarray, contain: float) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of each verified occurrence among texts with word hashes h."""
-        found = []
+    def find(self, some: Words, contain: float) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, window) of each occurrence in some texts, verified by the bytes of its words."""
+        found, h, first = [], some.hash, some.first
         last = np.repeat(first[1:], np.diff(first))
         begin = np.repeat(first[:-1], np.diff(first))
         for k in self.sizes:
@@ -124,8 +131,12 @@ class Block:
             if contain >= 1:
                 same = np.ones(len(w), bool)
                 for j in range(self.words.shape[1]):
-                    some = same & (j < self.n[w])
-                    same[some] = h[start[some] + j] == self.words[w[some], j]
+                    own = np.flatnonzero(same & (j < self.n[w]))
+                    same[own] = h[start[own] + j] == self.words[w[own], j]
+                for j in range(self.words.shape[1]):
+                    own = np.flatnonzero(same & (j < self.n[w]))
+                    x, y = start[own] + j, self.text.first[w[own]] + j
+                    same[own] = same_words(some.data, some.starts[x], some.ends[x], self.text.data, self.text.starts[y], self.text.ends[y])
             else:
                 same = np.fromiter((_overlap(h[s : s + self.n[x]], self.words[x, : self.n[x]]) >= contain - 1e-9 for s, x in zip(start, w, strict=True)), bool, len(w))
             found.append((start[same], w[same]))
@@ -162,7 +173,7 @@ def _rarity(docs: DataFrame, block: Block) -> np.ndarray:
         for batch in batches:
             data, offs = text_bytes(batch.column(0))
             for i, j in chunks(offs):
-                h, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                h = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]).hash
                 for k in sizes:
                     g = grams(h, k)
                     g = g[small[(g >> np.uint64(44)).astype(np.int64)]]
@@ -207,14 +218,15 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, contain: f
                 old = [batch.column(k).to_pylist() if batch.num_columns > len(names) else [None] * batch.num_rows for k in (len(names), len(names) + 1)]
                 n_words, n_hit, items, bits = [], [], [], []
                 for i, j in chunks(offs):
-                    h, first = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    some = Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    h, first = some.hash, some.first
                     sets: list[set] = [set(old[1][d] or ()) for d in range(i, j)]
                     hit = np.zeros(len(h), bool)
                     for d in range(i, j):
                         if old[0][d]:
                             hit[first[d - i] : first[d - i + 1]] = np.unpackbits(np.frombuffer(old[0][d], np.uint8), count=int(first[d - i + 1] - first[d - i]))
                     if sent is not None:
-                        start, w = sent.value.find(h, first, contain)
+                        start, w = sent.value.find(some, contain)
                         hit |= mark(len(h), start, start + sent.value.n[w])
                         own = np.searchsorted(first, start, "right") - 1
                         for d, x in np.unique(np.column_stack([own, w]), axis=0) if len(w) else ():
@@ -239,7 +251,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, contain: f
     wanted = cut(windows(benchmark, window))
     n, path = max(1, math.ceil(wanted.count() / BLOCK)), None
     for b in range(n):
-        rows, sent = wanted.where(F.pmod(F.xxhash64("words"), F.lit(n)) == b).collect(), None
+        rows, sent = wanted.where(F.pmod(F.xxhash64("words", "item"), F.lit(n)) == b).collect(), None
         if rows:
             block = Block(rows, window)
             block.choose(_rarity(docs.select("text"), block), contain)

@@ -540,3 +540,21 @@ def test_stages_keep_columns_of_any_name(spark, docs, tmp_path):
         for r in out.collect():
             assert all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for n in names), name
     assert corpus_pipeline.STAGES[-1][1](spark, odd, d).count() > 0
+
+
+def test_words_of_one_sum_are_told_apart(spark):
+    """Two words of 1024 letters whose polynomial hashes agree for any base, whatever the letters' order of powers."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}\nx y z"), (4, f"{a} {b} {a} {b}")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(1)
+    assert {r.doc_id: r.component_id for r in minhash.op1(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in rules.op2(df, labels).collect()} == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+    assert {r.doc_id: r.ids_crc32 for r in sstable.op6(df).collect()} == {i: crc(ids_of(t)) for i, t in rows}
+    pieces = defaultdict(list)
+    for r in packing.pack(df).orderBy("doc_id", "start").collect():
+        pieces[r.doc_id] += list(np.frombuffer(r.ids, "<u4")) if isinstance(r.ids, (bytes, bytearray)) else list(r.ids)
+    assert {i: [int(x) for x in v] for i, v in pieces.items()} == {i: ids_of(t) for i, t in rows}
+    bench = spark.createDataFrame([(7, a), (8, f"{b} x")], "item_id long, text string")
+    assert {r.doc_id: r.n_items for r in decontam.op4(df, bench).collect()} == {1: 1, 2: 0, 3: 2, 4: 1}
