@@ -2,9 +2,11 @@
 
 overlap_join() places a span on a level by its length, so that it touches two
 bins of its level at most, and again on every coarser level that the other side
-uses. Two spans meet on the level of the longer one, in the bin where the later
+uses. Two spans meet on the coarser of their levels, in the bin where the later
 one starts: exactly once, however long they are. So the join is on equal
-values; no pair is compared that doesn't share a bin.
+values; no pair is compared that doesn't share a bin. Where a side has few long
+spans, these go into the several bins of a finer level instead, as a level of
+their own would cost a copy of every row of the other side.
 """
 
 from __future__ import annotations
@@ -28,6 +30,17 @@ def _levelled(df: DataFrame, by: list[str], start: str, end: str, name: str) ->
     return rows
 
 
+def _targets(counts: dict[int, int], other: int, levels: list[int]) -> dict[int, int]:
+    """The level that spans of each level go to: the next finer one of `levels`, again and again, while their bins there are fewer than the other side's rows."""
+    target, bins = {x: x for x in counts}, dict(counts)
+    for high, low in zip(levels, levels[1:]):
+        n = bins.get(high, 0) << STEP * (high - low)
+        if 0 < n <= other:
+            bins[low] = bins.get(low, 0) + n
+            target = {x: low if t == high else t for x, t in target.items()}
+    return target
+
+
 def _binned(rows: DataFrame, name: str, others: list[int]) -> DataFrame:
     """rows once for each bin (level, bin) they touch on their own level and on the coarser ones of `others`."""
     above = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col(f"{name}l"))
@@ -36,6 +49,13 @@ def _binned(rows: DataFrame, name: str, others: list[int]) -> DataFrame:
     return rows.select("*", F.inline(F.flatten(F.transform(levels, bins))))
 
 
+def _moved(rows: DataFrame, level: str, target: dict[int, int]) -> DataFrame:
+    moved = [(x, t) for x, t in target.items() if x != t]
+    if not moved:
+        return rows
+    return rows.withColumn(level, F.coalesce(*(F.when(F.col(level) == x, F.lit(t)) for x, t in moved), F.col(level)))
+
+
 def _bin(place: str, level: Column) -> Column:
     # floor also below zero
     return F.call_function("shiftright", F.expr(place), (level * STEP).cast("int"))
@@ -53,10 +73,13 @@ def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tu
     b_by = b_by or by
     no_clash(a.columns, b.columns)
     x, y = _levelled(a, by, *a_span, "a"), _levelled(b, b_by, *b_span, "b")
-    # 32 numbers a side at most
-    present = lambda rows, name: sorted(r[0] for r in rows.select(f"{name}l").distinct().collect())
+    # 32 counts a side at most
+    present = lambda rows, name: {r[0]: r[1] for r in rows.groupBy(f"{name}l").count().collect()}
     in_a, in_b = present(x, "a"), present(y, "b")
-    x, y = _binned(x, "a", in_b), _binned(y, "b", in_a)
+    levels = sorted({*in_a, *in_b}, reverse=True)
+    to_a, to_b = _targets(in_a, sum(in_b.values()), levels), _targets(in_b, sum(in_a.values()), levels)
+    x, y = _moved(x, "al", to_a), _moved(y, "bl", to_b)
+    x, y = _binned(x, "a", sorted({*to_b.values()})), _binned(y, "b", sorted({*to_a.values()}))
     keys = [*(f"k{i}" for i in range(len(by))), "level", "bin"]
     level = F.col("level")
     once = (F.greatest("al", "bl") == level) & (F.greatest(_bin("as", level), _bin("bs", level)) == F.col("bin"))

@@ -115,6 +115,12 @@ def test_a_long_span_is_not_spread_over_many_bins(spark):
     assert intervals.overlap_join(one, many, ("s", "e"), ("x", "y")).count() == 2000
 
 
+def test_few_long_spans_go_to_a_finer_level():
+    assert intervals._targets({0: 50, 2: 3, 9: 1}, 100, [9, 2, 0]) == {0: 0, 2: 0, 9: 9}
+    assert intervals._targets({3: 7}, 1000, [5, 3, 1]) == {3: 1}
+    assert intervals._targets({}, 5, []) == {}
+
+
 def test_sessions_by_sorting(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-200, 900, 1)]), rng.randint(-3, 3)) for _ in range(300)]
