@@ -558,3 +558,37 @@ def test_words_of_one_sum_are_told_apart(spark):
     assert {i: [int(x) for x in v] for i, v in pieces.items()} == {i: ids_of(t) for i, t in rows}
     bench = spark.createDataFrame([(7, a), (8, f"{b} x")], "item_id long, text string")
     assert {r.doc_id: r.n_items for r in decontam.op4(df, bench).collect()} == {1: 1, 2: 0, 3: 2, 4: 1}
+
+
+def mosaics(changes, seed=1, pairs=30):
+    """Documents with all 14-word slices of 60-word passages, then pairs of documents that share such a passage but for some words."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    early, late = [], []
+    for _ in range(pairs):
+        p = say(60)
+        early += [say(40) + p[i : i + 14] + say(40) for i in range(0, 47, 7 if len(late) % 4 else 1)]
+        q = list(p)
+        for i in rng.sample(range(4, 56), changes):
+            q[i] = f"changed{rng.randrange(10**6)}"
+        late += [say(50) + p + say(50), say(50) + q + say(50)]
+    rng.shuffle(early)
+    rows = [(i, " ".join(x)) for i, x in enumerate(early + late)]
+    return rows, [(len(early) + 2 * k, len(early) + 2 * k + 1) for k in range(pairs)]
+
+
+@pytest.mark.parametrize("changes,least", [(6, 29), (8, 27)])
+def test_op5_mosaics_at_any_partitioning(spark, changes, least):
+    """Every seed of a shared passage stands in earlier documents; each row found is a passage, and the rows are the same however the table lies."""
+    rows, pairs = mosaics(changes)
+    split = {i: t.split() for i, t in rows}
+    found = []
+    for parts in (1, 4, 23):
+        got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sum(any(r.doc_id == b and r.other_id == a and r.start <= 56 and r.stop >= 104 for r in got) for a, b in pairs) >= least
+        for r in got:
+            a, b = split[r.doc_id][r.start : r.stop], split[r.other_id][r.other_start : r.other_stop]
+            assert r.other_id < r.doc_id and len(a) >= 50 and len(passages._common(np.array([hash(x) for x in a]), np.array([hash(x) for x in b]))) >= 0.8 * max(len(a), len(b))
+        found.append(sorted(map(tuple, got)))
+    assert found[0] == found[1] == found[2]
