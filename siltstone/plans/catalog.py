@@ -20,7 +20,7 @@ from siltstone.operators import ann, embed, search, shared
 from siltstone.operators.splitter import Splitter
 from siltstone.operators.store import VectorStore, last_wins, upsert, without
 from siltstone.plans import ingest, oracles, temporal
-from siltstone.sources import records, samples
+from siltstone.sources import office, records, samples
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -269,6 +269,30 @@ def pdf_tables(spark, sf_dir):
     return x.select("o_custkey", "text", F.col("metadata.tables_found").alias("tables_found"))
 
 
+def office_source(spark, sf_dir):
+    """A workbook of the parts of each brand in a folder, read back by the data source, workbooks only."""
+    import pyarrow.fs as pafs
+
+    p = _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("l"))
+    cells = F.to_json(F.transform("l", lambda s: F.struct(s["p_partkey"].alias("a"), s["p_size"].alias("b"))))
+    name = F.translate("p_brand", "#", "-")
+    at = _place(spark, "office")
+
+    def write(batches):
+        fs, folder = pafs.FileSystem.from_uri(at)
+        fs.create_dir(folder, recursive=True)
+        for batch in batches:
+            for n, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for end, data in ((".xlsx", content), (".txt", b"not read")):
+                    with fs.open_output_stream(f"{folder}/{n}{end}") as f:
+                        f.write(data)
+            yield batch.select([0])
+
+    p.select(name.alias("name"), _workbook(name, cells).alias("content")).mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    files = office.register(spark).read.format("office").load(at).where("suffix = '.xlsx'")
+    return files.select("filename", F.col("metadata.total_rows").alias("total_rows"), "text", "error")
+
+
 def table_to_tsv(spark, sf_dir):
     rows = F.transform("l", lambda s: F.when(s["o_orderkey"] % 6 != 5, F.array(F.when(s["o_orderkey"] % 4 != 0, s["o_orderstatus"]), F.concat(F.lit(" "), s["o_orderkey"].cast("string"), F.lit("\t")), F.lit(""))))
     return _books(spark, sf_dir).select("o_custkey", native.table_text(rows).alias("text"))
@@ -454,7 +478,7 @@ def embed_search_e2e(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (search_topk, search_scores, search_multi_query, ann_search, ann_recall, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
+    own = (search_topk, search_scores, search_multi_query, ann_search, ann_recall, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, office_source, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
     return {f.__name__: f for f in (*own, *temporal.QUERIES)}
 
 

@@ -88,6 +88,7 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "xml_workouts": "SELECT user_id, string_agg('Workout: ' || event_type || ' - ' || event_id || 'min ()', chr(10) ORDER BY event_id) AS text, count(*) AS record_count, CAST(0 AS BIGINT) AS n_types FROM events GROUP BY user_id",
     "xml_generic": "SELECT user_id, string_agg(event_id || chr(10) || event_type, chr(10) ORDER BY event_id) AS text, CAST(0 AS BIGINT) AS record_count FROM events GROUP BY user_id",
     "xml_partial_error": "SELECT user_id, string_agg(event_type || ': ' || event_id, chr(10) ORDER BY event_id) AS text, true AS failed, true AS partial FROM events GROUP BY user_id",
+    "office_source": "SELECT replace(p_brand, '#', '-') || '.xlsx' AS filename, count(*) AS total_rows, chr(10) || '[Sheet: ' || replace(p_brand, '#', '-') || ']' || chr(10) || string_agg(p_partkey || chr(9) || p_size, chr(10) ORDER BY p_partkey, p_size) AS text, CAST(NULL AS VARCHAR) AS error FROM part GROUP BY p_brand",
     "xlsx_rows": "SELECT o_custkey, chr(10) || '[Sheet: C' || o_custkey || ']' || coalesce(chr(10) || string_agg(o_orderkey || chr(9) || CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus ELSE '' END || chr(9) || CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END, chr(10) ORDER BY o_orderkey) FILTER (o_orderkey % 5 <> 4), '') AS text, count(*) FILTER (o_orderkey % 5 <> 4) AS total_rows, CAST(1 AS BIGINT) AS page_count FROM orders GROUP BY o_custkey",
     "docx_paragraphs": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(x='x')}), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
     "docx_fallback": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
