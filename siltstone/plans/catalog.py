@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions import half_pack, native
+from siltstone.functions import half_pack, native, split_table
 from siltstone.functions.token_count import TokenLength, token_length
-from siltstone.operators import ann, embed, search, shared
+from siltstone.operators import ann, embed, sampling, search, shared
 from siltstone.operators.splitter import Splitter
 from siltstone.operators.store import VectorStore, last_wins, upsert, without
 from siltstone.plans import ingest, oracles, temporal
@@ -335,6 +335,12 @@ def split_words(spark, sf_dir):
     return Splitter(120, 20).documents(_plain(spark, sf_dir)).select("conv_id", "turn", "chunk_index", "content")
 
 
+def split_lateral(spark, sf_dir):
+    """split_words by the table function, from SQL."""
+    _plain(spark, sf_dir).createOrReplaceTempView("_plain_turns")
+    return split_table.register(spark).sql("SELECT t.conv_id, t.turn, c.chunk_index, c.content FROM _plain_turns t, LATERAL split_text(t.text, 120, 20) c")
+
+
 def split_forced(spark, sf_dir):
     return Splitter(120, 20, separators=("\n",)).documents(_plain(spark, sf_dir)).select("conv_id", "turn", "chunk_index", "content")
 
@@ -440,6 +446,18 @@ def clear_store(spark, sf_dir):
     return s.chunks().agg(F.count("*").alias("chunk_count")).crossJoin(s.vectors().agg(F.count("*").alias("vector_count")))
 
 
+def sample_orders(spark, sf_dir):
+    """Forty orders of each priority, dear ones more likely."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return sampling.sample(o, ["o_orderpriority"], 40, ["o_orderkey"], "o_totalprice", seed=7)
+
+
+def sample_clicks(spark, sf_dir):
+    """A hundred clicks of each kind, all kinds alike whatever their sizes."""
+    c = _t(spark, sf_dir, "clicks").select("click_id", "kind").distinct()
+    return sampling.sample(c, ["kind"], 100, ["click_id"])
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -478,7 +496,7 @@ def embed_search_e2e(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (search_topk, search_scores, search_multi_query, ann_search, ann_recall, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, office_source, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
+    own = (search_topk, search_scores, search_multi_query, ann_search, ann_recall, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, office_source, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_lateral, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, sample_orders, sample_clicks, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
     return {f.__name__: f for f in (*own, *temporal.QUERIES)}
 
 

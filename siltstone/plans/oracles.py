@@ -89,6 +89,8 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "xml_generic": "SELECT user_id, string_agg(event_id || chr(10) || event_type, chr(10) ORDER BY event_id) AS text, CAST(0 AS BIGINT) AS record_count FROM events GROUP BY user_id",
     "xml_partial_error": "SELECT user_id, string_agg(event_type || ': ' || event_id, chr(10) ORDER BY event_id) AS text, true AS failed, true AS partial FROM events GROUP BY user_id",
     "office_source": "SELECT replace(p_brand, '#', '-') || '.xlsx' AS filename, count(*) AS total_rows, chr(10) || '[Sheet: ' || replace(p_brand, '#', '-') || ']' || chr(10) || string_agg(p_partkey || chr(9) || p_size, chr(10) ORDER BY p_partkey, p_size) AS text, CAST(NULL AS VARCHAR) AS error FROM part GROUP BY p_brand",
+    "sample_orders": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 0 QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY -ln((CAST('0x' || substr(md5(o_orderkey || '|7'), 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE) / o_totalprice) <= 40",
+    "sample_clicks": "SELECT click_id, kind FROM (SELECT DISTINCT click_id, kind FROM clicks) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5(click_id || '|0') DESC) <= 100",
     "xlsx_rows": "SELECT o_custkey, chr(10) || '[Sheet: C' || o_custkey || ']' || coalesce(chr(10) || string_agg(o_orderkey || chr(9) || CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus ELSE '' END || chr(9) || CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END, chr(10) ORDER BY o_orderkey) FILTER (o_orderkey % 5 <> 4), '') AS text, count(*) FILTER (o_orderkey % 5 <> 4) AS total_rows, CAST(1 AS BIGINT) AS page_count FROM orders GROUP BY o_custkey",
     "docx_paragraphs": f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format(x='x')}), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
     "docx_fallback": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents",
@@ -101,6 +103,7 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "pieces_char": "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS i, substr(p_name, i, 1) AS piece FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part)",
     "overlap_tail": "WITH s AS (SELECT doc_id, string_split(text, ' ') AS p FROM documents), u AS (SELECT doc_id, unnest(range(0, len(p))) AS i, unnest(p) AS w, len(p) AS n FROM s), v AS (SELECT doc_id, i, CASE WHEN i < n - 1 THEN w || ' ' ELSE w END AS piece FROM u WHERE i < n - 1 OR w <> ''), r AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS total FROM v) SELECT doc_id, count(*) FILTER (total <= 51) AS n, coalesce(string_agg(piece, '' ORDER BY i) FILTER (total <= 51), '') AS text FROM r GROUP BY doc_id",
     "split_words": _WORDS + "SELECT conv_id, turn, chunk_index, content FROM n",
+    "split_lateral": _WORDS + "SELECT conv_id, turn, chunk_index, content FROM n",
     "split_forced": _FORCED,
     "split_documents_meta": _WORDS + "SELECT conv_id, turn, chunk_index, total AS total_chunks, CAST(length(content) AS INTEGER) AS chunk_size, conv_id AS source FROM n",
     "split_no_loss": "SELECT doc_id, true AS ok FROM documents",
