@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
 from xml.etree import ElementTree
 
-from siltstone.sources.safe_zip import Archive, events, local
+from siltstone.sources.safe_zip import Archive, TooLarge, events, local
 
 _BODY, _STYLES = "word/document.xml", "word/styles.xml"
 #: Element names of a run's contents that stand for text of their own.
@@ -72,20 +71,25 @@ def structured(content: bytes) -> list[str]:
 def stream(content: bytes) -> list[str]:
     """Every non-empty paragraph in document order, of any namespace; where the file breaks off, those that ended before."""
     paragraphs = [""]
-    # the last resort: whatever fails leaves what was read
-    with contextlib.suppress(Exception):
+    try:
         for e in (e for kind, e in events(Archive(content).open(_BODY)) if kind == "end"):
             name = local(e.tag) if "}" in e.tag else ""
             paragraphs[-1] += e.text or "" if name == "t" else ""
             if name == "p" and paragraphs[-1]:
                 paragraphs.append("")
             e.clear()
+    except TooLarge:
+        raise
+    except Exception:  # noqa: BLE001  the last resort: whatever fails leaves what was read
+        pass
     return paragraphs[:-1]
 
 
 def parse(content: bytes) -> dict:
     try:
         parts = structured(content)
+    except TooLarge:
+        raise
     except Exception:  # noqa: BLE001  any fault of the structured reader
         parts = stream(content)
     return {"text": "\n\n".join(parts), "page_count": 1, "metadata": {"format": "docx"}}

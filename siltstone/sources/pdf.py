@@ -10,6 +10,7 @@ tables without lines, so it is partial.
 from __future__ import annotations
 
 import base64
+import bisect
 import io
 import re
 import zlib
@@ -21,8 +22,8 @@ _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 MOST = 256 << 20
 #: Points within which lines are taken for one, and the least length of a line.
 SNAP = 3.0
-#: Possible crossings of lines on a page beyond which it is a drawing, and is not searched for tables.
-DRAWING = 4_000_000
+#: Crossings of lines on a page beyond which it is hatched, not ruled: its tables are left out, and the file's record is marked partial.
+CROSSINGS = 250_000
 
 
 class Name(str):
@@ -184,14 +185,17 @@ class Document:
         walk(catalog.get("Pages"), {}, 0)
         return out
 
-    def contents(self, page: dict) -> tuple[str, list]:
-        """Text and tables of a page."""
+    def contents(self, page: dict) -> tuple[str, list | None]:
+        """Text and tables of a page; None for tables of a page that is hatched."""
         contents = self.get(page.get("Contents")) or []
         parts = contents if isinstance(contents, list) else [contents]
         data = b"\n".join(self.stream(v) for v in map(self.get, parts) if isinstance(v, tuple))
         fonts = {k: self._decoder(self.get(v)) for k, v in (self.get((self.get(page["Resources"]) or {}).get("Font")) or {}).items()}
         strings, lines = shown(parse_values(data), fonts)
-        return lay_out(strings), ruled_tables(lines, strings)
+        try:
+            return lay_out(strings), ruled_tables(lines, strings)
+        except Hatched:
+            return lay_out(strings), None
 
     def _decoder(self, font):
         """bytes -> text of a font."""
@@ -342,6 +346,10 @@ def _rules(spans: list) -> list:
     return [r for r in out if r[2] - r[1] >= SNAP]
 
 
+class Hatched(Exception):
+    """A page with more than CROSSINGS crossings."""
+
+
 def ruled_tables(lines: list, strings: list) -> list[list[list[str | None]]]:
     """Tables of more than one cell, top to bottom: rows of cell texts, None where a row has no cell of its own.
 
@@ -351,17 +359,20 @@ def ruled_tables(lines: list, strings: list) -> list[list[list[str | None]]]:
     """
     across = _rules([(y, x, u) for x, y, u, v in lines if abs(y - v) <= 1 < abs(x - u)])
     down = _rules([(x, y, v) for x, y, u, v in lines if abs(x - u) <= 1 < abs(y - v)])
-    if len(across) * len(down) > DRAWING:
-        return []
+    # lines across are sorted by place: each line down looks at those between its ends only
+    places = [r[0] for r in across]
     crossings: dict[tuple, tuple[int, int]] = {}
     below: dict[int, list] = {}
     right: dict[int, list] = {}
     for i, (x, low, high) in enumerate(down):
-        for j, (y, a, b) in enumerate(across):
-            if a - SNAP <= x <= b + SNAP and low - SNAP <= y <= high + SNAP:
+        for j in range(bisect.bisect_left(places, low - SNAP), bisect.bisect_right(places, high + SNAP)):
+            y, a, b = across[j]
+            if a - SNAP <= x <= b + SNAP:
                 crossings[x, y] = i, j
                 below.setdefault(i, []).append(y)
                 right.setdefault(j, []).append(x)
+        if len(crossings) > CROSSINGS:
+            raise Hatched
     cells = []
     for (x, y), (i, j) in crossings.items():
         corner = ((v, u) for v in sorted((v for v in below[i] if v < y), reverse=True) for u in sorted(u for u in right[j] if u > x))
@@ -413,14 +424,15 @@ def parse(content: bytes) -> dict:
     else:
         with pdfplumber.open(io.BytesIO(content)) as book:
             pages = [(p.extract_text(layout=True, x_tolerance=3, y_tolerance=3), p.extract_tables()) for p in book.pages]
-    parts, tables = [], 0
+    parts, tables, partial = [], 0, False
     for n, (text, grids) in enumerate(pages, 1):
+        partial |= grids is None
         if text:
             parts += [f"[Page {n}]", text]
-        for t in filter(None, map(tsv, grids)):
+        for t in filter(None, map(tsv, grids or [])):
             parts.append(t)
             tables += 1
-    return {"text": "\n\n".join(parts), "page_count": len(pages), "metadata": {"format": "pdf", "tables_found": tables}}
+    return {"text": "\n\n".join(parts), "page_count": len(pages), "metadata": {"format": "pdf", "tables_found": tables, **({"partial": True} if partial else {})}}
 
 
 def tsv(rows: list) -> str:

@@ -12,6 +12,10 @@ MOST, RATIO = 512 << 20, 200
 DEPTH = 256
 
 
+class TooLarge(ValueError):
+    """A limit that a file of good faith doesn't reach; the file becomes an error record."""
+
+
 class Archive:
     def __init__(self, content: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(content))
@@ -20,7 +24,7 @@ class Archive:
     def open(self, name: str):
         info = self.zip.getinfo(name)
         if info.file_size > MOST or (info.file_size > 1 << 20 and info.file_size > RATIO * max(1, info.compress_size)):
-            raise ValueError(f"{name} expands too far")
+            raise TooLarge(f"{name} expands to {info.file_size} bytes, beyond {MOST} or {RATIO} times its stored size")
         return self.zip.open(info)
 
 
@@ -30,7 +34,7 @@ def events(stream):
     for kind, element in ElementTree.iterparse(stream, events=("start", "end")):
         depth += 1 if kind == "start" else -1
         if depth > DEPTH:
-            raise ValueError("XML is nested too deeply")
+            raise TooLarge("XML is nested too deeply")
         yield kind, element
 
 

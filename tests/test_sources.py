@@ -103,3 +103,26 @@ def test_router(spark):
     assert out["/a/x"].error.startswith("Unsupported format: . ")
     assert out["/a/x.xml"].error.startswith("Extraction failed: ")
     assert out["/a/y.xml"].text == "t" and out["/a/y.xml"].stem == "y" and out["/a/y.xml"].metadata.format == "xml"
+
+
+def test_a_drawing_keeps_its_tables_and_a_hatched_page_is_marked():
+    import time
+
+    grid = [(0, y, 100, y) for y in (0, 20, 40)] + [(x, 0, x, 40) for x in (0, 50, 100)]
+    strings = [(30, 5, 8, "a"), (30, 55, 8, "b"), (10, 5, 8, "c"), (10, 55, 8, "d")]
+    # three thousand lines each way that never meet: nine million pairs
+    apart = [(200, 100 + 5 * k, 300, 100 + 5 * k) for k in range(3000)] + [(400 + 5 * k, 0, 400 + 5 * k, 50) for k in range(3000)]
+    began = time.perf_counter()
+    assert pdf.ruled_tables(grid + apart, strings) == [[["a", "b"], ["c", "d"]]]
+    assert time.perf_counter() - began < 5
+    hatched = [(0, 5 * k, 5000, 5 * k) for k in range(600)] + [(5 * k, 0, 5 * k, 5000) for k in range(600)]
+    with pytest.raises(pdf.Hatched):
+        pdf.ruled_tables(hatched, [])
+
+
+def test_a_word_file_beyond_the_limits_is_an_error(monkeypatch):
+    from siltstone.sources import safe_zip
+
+    monkeypatch.setattr(safe_zip, "MOST", 100)
+    x = parse(samples.docx(["some words " * 50]), ".docx")
+    assert x["error"].startswith("Extraction failed: word/document.xml expands to") and x["text"] == ""
