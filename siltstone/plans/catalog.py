@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions import half_pack, native, split_table
 from siltstone.functions.token_count import TokenLength, token_length
-from siltstone.operators import ann, embed, sampling, search, shared
+from siltstone.operators import ann, embed, sampling, search, shared, sketches
 from siltstone.operators.splitter import Splitter
 from siltstone.operators.store import VectorStore, last_wins, upsert, without
 from siltstone.plans import ingest, oracles, temporal
@@ -446,6 +446,12 @@ def clear_store(spark, sf_dir):
     return s.chunks().agg(F.count("*").alias("chunk_count")).crossJoin(s.vectors().agg(F.count("*").alias("vector_count")))
 
 
+def sketch_events(spark, sf_dir):
+    """Events and users of each type, merged from summaries of the days; the middle value is in the tests, as it is not exact."""
+    days = sketches.summarize(_t(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value")
+    return sketches.estimates(sketches.merge(days, ["event_type"])).select("event_type", "n", F.col("distinct").alias("users"))
+
+
 def sample_orders(spark, sf_dir):
     """Forty orders of each priority, dear ones more likely."""
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
@@ -496,7 +502,7 @@ def embed_search_e2e(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (search_topk, search_scores, search_multi_query, ann_search, ann_recall, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, office_source, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_lateral, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, sample_orders, sample_clicks, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
+    own = (search_topk, search_scores, search_multi_query, ann_search, ann_recall, search_limit_then_lookup, search_zero_query, search_zero_vectors, half_round, half_pack_roundtrip, l2_normalize, mean_pool, embed_hash, batch_assign, embed_counters, latency_average, route_formats, xml_records, xml_workouts, xml_generic, xml_partial_error, xlsx_rows, docx_paragraphs, docx_fallback, pdf_lines, pdf_tables, office_source, table_to_tsv, pieces_newline, pieces_sentence, pieces_word, pieces_char, overlap_tail, split_words, split_lateral, split_forced, split_documents_meta, split_no_loss, split_full, token_lengths, strip_unicode, preview, score_badge, chunk_ids, decode_metadata, record_type_cap, upsert_last_wins, delete_ids, store_stats, orphan_chunks, stored_chunks, clear_store, sketch_events, sample_orders, sample_clicks, ingest_failures, ingest_results, ingest_turns, ingest_processed, embed_search_e2e)
     return {f.__name__: f for f in (*own, *temporal.QUERIES)}
 
 

@@ -89,6 +89,7 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "xml_generic": "SELECT user_id, string_agg(event_id || chr(10) || event_type, chr(10) ORDER BY event_id) AS text, CAST(0 AS BIGINT) AS record_count FROM events GROUP BY user_id",
     "xml_partial_error": "SELECT user_id, string_agg(event_type || ': ' || event_id, chr(10) ORDER BY event_id) AS text, true AS failed, true AS partial FROM events GROUP BY user_id",
     "office_source": "SELECT replace(p_brand, '#', '-') || '.xlsx' AS filename, count(*) AS total_rows, chr(10) || '[Sheet: ' || replace(p_brand, '#', '-') || ']' || chr(10) || string_agg(p_partkey || chr(9) || p_size, chr(10) ORDER BY p_partkey, p_size) AS text, CAST(NULL AS VARCHAR) AS error FROM part GROUP BY p_brand",
+    "sketch_events": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
     "sample_orders": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 0 QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY -ln((CAST('0x' || substr(md5(o_orderkey || '|7'), 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE) / o_totalprice) <= 40",
     "sample_clicks": "SELECT click_id, kind FROM (SELECT DISTINCT click_id, kind FROM clicks) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5(click_id || '|0') DESC) <= 100",
     "xlsx_rows": "SELECT o_custkey, chr(10) || '[Sheet: C' || o_custkey || ']' || coalesce(chr(10) || string_agg(o_orderkey || chr(9) || CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus ELSE '' END || chr(9) || CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END, chr(10) ORDER BY o_orderkey) FILTER (o_orderkey % 5 <> 4), '') AS text, count(*) FILTER (o_orderkey % 5 <> 4) AS total_rows, CAST(1 AS BIGINT) AS page_count FROM orders GROUP BY o_custkey",
