@@ -4,7 +4,9 @@ Rows are points (series, time, value). Equal points are counted once with a
 weight, in Spark, so a burst of one value at one time is one row. A series is
 cut by time into slices; a slice goes to a task with the points that its
 windows reach back to, so a hot series is many tasks and a window never needs
-another one.
+another one. Where windows hold very many points, slices are parts of a window's
+length; of the slices that lie whole within all windows of a slice its task
+gets no points, but how often each value occurs in them.
 
 In a task, points in time order are cut into short panes, and each pane is
 sorted by value into a run once. A window is a stretch of whole panes and two
@@ -26,12 +28,15 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.ordering import number
 
-#: Points that a slice should hold, where an hour holds fewer; the longest slice in windows.
+#: Points that a slice should hold, where a window holds fewer; the longest slice in windows.
 SLICE, LONGEST = 20_000, 720
+#: Points of a window, on the average, from which on slices are shorter than it; how many there are to a window at most.
+DENSE, PARTS = 100_000, 64
 #: Entries of the table of positions that a step builds; windows that it selects for at once.
 TABLE, WINDOWS = 1 << 22, 2048
 #: Values of this size and more, and those that are no numbers, have no cents.
 WIDEST = 1 << 58
+_NONE = np.empty(0, np.int64)
 
 
 def cents(value: Column) -> Column:
@@ -43,17 +48,23 @@ def cents(value: Column) -> Column:
 class Panes:
     """Points in time order, in panes of equal length; each pane is a run sorted by value."""
 
-    def __init__(self, values: np.ndarray, weights: np.ndarray):
+    def __init__(self, values: np.ndarray, weights: np.ndarray, always: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)):
+        """always: values, each once, and their weights in every window besides its points."""
         n = len(values)
-        self.values, ranks = np.unique(values, return_inverse=True)
+        self.values, ranks = np.unique(np.concatenate([values, always[0]]), return_inverse=True)
+        own = np.zeros(len(self.values) + 1, np.int64)
+        own[ranks[n:] + 1] = always[1]
+        ranks = ranks[:n]
         self.size = size = max(int(n**0.5) // 2, 8, -(-n * len(self.values) // TABLE))
-        panes, wide = -(-n // size), len(self.values) + 1
+        panes, wide = max(1, -(-n // size)), len(self.values) + 1
         at = np.arange(n)
         order = np.lexsort((ranks, at // size))
         #: By pane and place in its run: rank, place in time, weight.
         self.ranks, self.times = np.full(panes * size, wide, np.int32), np.full(panes * size, -1, np.int32)
         self.weights = np.zeros(panes * size, np.int64)
         self.ranks[:n], self.times[:n], self.weights[:n] = ranks[order], order, weights[order]
+        #: always[r]: the weight of values below rank r that every window holds.
+        self.always = np.cumsum(own)
         self.ranks, self.times, self.weights = (x.reshape(panes, size) for x in (self.ranks, self.times, self.weights))
         self.plain = bool((weights == 1).all())
         #: below[p, r]: the weight of points in runs before p with a rank below r.
@@ -85,7 +96,7 @@ class Windows:
         return np.count_nonzero(hit, axis=1) if self.heavy is None else (hit * self.heavy[some]).sum(1)
 
     def _whole(self, rank: np.ndarray, some) -> np.ndarray:
-        return self.panes.below[self.high[some] + rank] - self.panes.below[self.low[some] + rank]
+        return self.panes.below[self.high[some] + rank] - self.panes.below[self.low[some] + rank] + self.panes.always[rank]
 
     def select(self, k: np.ndarray, some: np.ndarray) -> np.ndarray:
         """The k-th (from 0) least value of each window in `some`."""
@@ -136,11 +147,11 @@ def _both(select, n: np.ndarray) -> np.ndarray:
     return one + two
 
 
-def medians(times: np.ndarray, values: np.ndarray, weights: np.ndarray, at: np.ndarray, reach: int):
-    """For each of the ascending times `at`: the weight in (at - reach, at], its doubled median and doubled median of |2 * value - median|; 0 where less than two. times ascend."""
+def medians(times: np.ndarray, values: np.ndarray, weights: np.ndarray, at: np.ndarray, reach: int, always: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)):
+    """For each of the ascending times `at`: the weight in (at - reach, at], its doubled median and doubled median of |2 * value - median|; 0 where less than two. times ascend; always: values and weights that all windows hold besides."""
     begin, end = np.searchsorted(times, at - reach, "right"), np.searchsorted(times, at, "right")
     before = np.concatenate([[0], np.cumsum(weights)])
-    n = before[end] - before[begin]
+    n = before[end] - before[begin] + always[1].sum()
     median, spread = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     todo = np.flatnonzero(n >= 2)
     i = 0
@@ -149,7 +160,7 @@ def medians(times: np.ndarray, values: np.ndarray, weights: np.ndarray, at: np.n
         most = origin + max(2 * (end[todo[i]] - origin), WINDOWS)
         j = max(i + 1, int(np.searchsorted(end[todo], most, "right")))
         stop = end[todo[j - 1]]
-        panes = Panes(values[origin:stop], weights[origin:stop])
+        panes = Panes(values[origin:stop], weights[origin:stop], always)
         per = max(1, min(WINDOWS, (1 << 19) // panes.size))
         for a in range(i, j, per):
             own = todo[a : min(a + per, j)]
@@ -171,26 +182,41 @@ def rolling(points: DataFrame, series: str, time: str, value: str, reach: int) -
     or twice the only middle one; spread4 the same of |2 * value - median2|;
     both are null where n < 2. Rows without time are left out. An empty table
     gives no rows. A task holds one slice of a series and a window before it,
-    each distinct (time, value) once.
+    each distinct (time, value) once; from DENSE points a window on, two slices
+    of a PARTS-th of a window and how often each value occurs in between.
     """
     rows = points.where(F.col(time).isNotNull()).select(F.col(series).alias("s"), F.col(time).alias("t"), F.col(value).alias("v"))
     # one row of statistics: how many points a window's length of a series holds
     total = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct("s", F.floor(F.col("t") / reach))).alias("k")).first()
-    length = reach * max(1, min(LONGEST, SLICE * (total["k"] or 1) // max(1, total["n"])))
+    held = total["n"] / max(1, total["k"] or 0)
+    parts = int(min(PARTS, held // DENSE + 1))
+    while reach % parts:  # the slices of a window are of equal length
+        parts -= 1
+    length = reach * max(1, min(LONGEST, int(SLICE // max(1, held)))) if parts == 1 else reach // parts
     counted = rows.groupBy("s", "t", "v").agg(F.count("*").alias("w"))
     own = F.floor(F.col("t") / F.lit(length)).cast("long")
-    last = F.floor((F.col("t") + F.lit(reach - 1)) / F.lit(length)).cast("long")
-    dealt = counted.select("s", F.explode(F.sequence(own, last)).alias("slice"), "t", "v", "w")
+    if parts == 1:
+        last = F.floor((F.col("t") + F.lit(reach - 1)) / F.lit(length)).cast("long")
+        dealt = counted.select("s", F.explode(F.sequence(own, last)).alias("slice"), "t", "v", "w")
+    else:
+        # a window of a slice begins in the slice `parts` before it, and holds those between whole
+        dealt = counted.select("s", F.explode(F.array(own, own + parts)).alias("slice"), "t", "v", "w")
+        between = counted.where(F.col("v").isNotNull()).groupBy("s", own.alias("o"), "v").agg(F.sum("w").alias("w"))
+        between = between.select("s", F.explode(F.sequence(F.col("o") + 1, F.col("o") + parts - 1)).alias("slice"), "v", "w").groupBy("s", "slice", "v").agg(F.sum("w").alias("w"))
+        dealt = dealt.union(between.select("s", "slice", F.lit(None).cast("long"), "v", "w"))
     kind = points.schema[series].dataType
 
     def task(key, group):
+        whole = group.filter(group.column("t").is_null())
+        group = group.filter(group.column("t").is_valid())
+        always = whole.column("v").to_numpy(), whole.column("w").to_numpy()
         t = group.column("t").to_numpy()
         order = np.argsort(t, kind="stable")
         t = t[order]
         there = group.column("v").is_valid().to_numpy(zero_copy_only=False)[order]
         v, w = group.column("v").fill_null(0).to_numpy()[order], group.column("w").to_numpy()[order]
         at = np.unique(t[t // length == key[1].as_py()])
-        n, median, spread = medians(t[there], v[there], w[there], at, reach)
+        n, median, spread = medians(t[there], v[there], w[there], at, reach, always)
         few = n < 2
         return pa.table([pa.repeat(key[0], len(at)), pa.array(at), pa.array(n), pa.array(median, mask=few), pa.array(spread, mask=few)], names=["s", "t", "n", "median2", "spread4"])
 

@@ -103,9 +103,10 @@ def windows(rows, reach):
     return Counter(out.values())
 
 
-@pytest.mark.parametrize("slice_,wide,spread", [(20_000, 40_000, 1000), (5, 3000, 7), (50, 60, 1 << 57)])
-def test_medians_by_sorting_every_window(spark, monkeypatch, slice_, wide, spread):
+@pytest.mark.parametrize("slice_,wide,spread,dense", [(20_000, 40_000, 1000, 100_000), (5, 3000, 7, 100_000), (50, 60, 1 << 57, 100_000), (50, 3000, 40, 8), (50, 900, 5, 1)])
+def test_medians_by_sorting_every_window(spark, monkeypatch, slice_, wide, spread, dense):
     monkeypatch.setattr(rolling, "SLICE", slice_)
+    monkeypatch.setattr(rolling, "DENSE", dense)  # few: slices shorter than a window
     monkeypatch.setattr(rolling, "WINDOWS", 64)
     rng = random.Random(slice_)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(-wide, wide), rng.choice([None, 0, rng.randint(-spread, spread)])) for _ in range(500)]
