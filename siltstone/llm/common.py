@@ -122,9 +122,9 @@ def _pow(n: int, sign: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
+    x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
 
@@ -179,16 +179,10 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 def lanes(data: np.ndarray):
     """A function of places: the eight bytes from each on, as one number; those beyond the end are zero."""
-    whole = np.zeros(-(-len(data) // 8) * 8 + 16, np.uint8)
+    whole = np.zeros(len(data) + 8, np.uint8)
     whole[: len(data)] = data
-    whole = whole.view("<u8")
-
-    def at(places: np.ndarray) -> np.ndarray:
-        q, shift = places >> 3, (places & 7).astype(np.uint64) << np.uint64(3)
-        # two shifts, as one by 64 bits is none
-        return (whole[q] >> shift) | ((whole[q + 1] << np.uint64(1)) << (np.uint64(63) - shift))
-
-    return at
+    from_each = np.ndarray((len(data) + 1,), "<u8", whole.data, 0, (1,))
+    return from_each.__getitem__
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -201,24 +195,20 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK)))
-        size = ends[i:j] - starts[i:j]
-        long = np.flatnonzero(size > LONG)
-        short = np.flatnonzero(size <= LONG)
-        for k in long.tolist():
+        size, origin = ends[i:j] - starts[i:j], starts[i]
+        n = np.minimum(size, LONG)
+        place = starts[i:j] - origin
+        at = lanes(data[origin : min(len(data), int(starts[j - 1]) + LONG)])
+        h = mix(at(place) & _KEEP[np.minimum(n, 8)])
+        some, step = np.flatnonzero(n > 8), 8
+        while len(some):
+            h[some] = mix(h[some] * _STEP + (at(place[some] + step) & _KEEP[np.minimum(n[some] - step, 8)]))
+            step += 8
+            some = some[n[some] > step]
+        out[i:j] = mix(h + n.astype(np.uint64) * _LENGTH)
+        for k in np.flatnonzero(size > LONG).tolist():
             word = data[starts[i + k] : ends[i + k]].tobytes()
             out[i + k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(short):
-            origin = starts[i]
-            at = lanes(data[origin : min(len(data), int(starts[j - 1]) + LONG)])
-            s, n = starts[i:j][short] - origin, size[short]
-            h = mix(at(s) & _KEEP[np.minimum(n, 8)])
-            some = np.flatnonzero(n > 8)
-            step = 8
-            while len(some):
-                h[some] = mix(h[some] * _STEP + (at(s[some] + step) & _KEEP[np.minimum(n[some] - step, 8)]))
-                step += 8
-                some = some[n[some] > step]
-            out[i:j][short] = mix(h + n.astype(np.uint64) * _LENGTH)
         i = j
     return out
 
