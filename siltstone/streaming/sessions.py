@@ -8,12 +8,15 @@ than the watermark when their batch starts are dropped, and counted.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.operators.commits import Folder
 from siltstone.operators.ordering import columns, number
 
 
@@ -42,15 +45,36 @@ class Progress:
     watermark: str | None = None
 
 
-def progress(query: StreamingQuery) -> Progress:
-    """The totals of a query that has ended; its batches must fit spark.sql.streaming.numRecentProgressUpdates."""
+def _late_rows(spark: SparkSession, checkpoint: str, schema, time: str, gap: str, batch: dict) -> int:
+    """Rows of a batch whose session of their own had ended by the watermark of the batch before, which is what the state goes by. It counts rows of one key and time as one itself, by task."""
+    mark = json.loads(Folder(spark, f"{checkpoint}/offsets").read(str(batch["batchId"] - 1)).splitlines()[1])["batchWatermarkMs"]
+    source = batch["sources"][0]
+    # offsets come as a dictionary or its text, with one number; none before the first batch
+    first, last = (int(m[0]) if (m := re.search(r"-?\d+", str(source[o]))) else -1 for o in ("startOffset", "endOffset"))
+    log = Folder(spark, f"{checkpoint}/sources/0")
+    names, files = set(log.names()), []
+    for n in range(first + 1, last + 1):
+        entries = map(json.loads, log.read(f"{n}.compact" if f"{n}.compact" in names else str(n)).splitlines()[1:])
+        files += [unquote(e["path"]) for e in entries if e["batchId"] == n]
+    rows = spark.read.schema(schema).parquet(*files)
+    ended = F.timestamp_micros(number(rows, time)) + F.expr(f"INTERVAL '{gap}'")
+    return rows.where(F.unix_micros(ended) <= mark * 1000).count()
+
+
+def progress(query: StreamingQuery, late=None) -> Progress:
+    """The totals of a query that has ended; its batches must fit spark.sql.streaming.numRecentProgressUpdates.
+
+    late: the late rows of a batch's progress, called where the state dropped
+    any; without it, rows of one key and time count as one in a task.
+    """
     out = Progress()
     for p in query.recentProgress:
         p = p if isinstance(p, dict) else json.loads(p.json)
         out.batches += p["numInputRows"] > 0
         out.rows += p["numInputRows"]
         for s in p["stateOperators"]:
-            out.late += s["numRowsDroppedByWatermark"]
+            dropped = s["numRowsDroppedByWatermark"]
+            out.late += late(p) if late and dropped else dropped
             out.open = s["numRowsTotal"]
         out.watermark = p["eventTime"].get("watermark") or out.watermark
     return out
@@ -68,7 +92,7 @@ def append_sessions(spark: SparkSession, folder: str, schema, out: str, checkpoi
     made = sessions(reader.parquet(folder), by, time, gap, delay, total)
     query = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return progress(query)
+    return progress(query, lambda p: _late_rows(spark, checkpoint, schema, time, gap, p))
 
 
 def close(spark: SparkSession, folder: str, schema, time: str, at: str = "9000-01-01") -> None:
