@@ -111,6 +111,22 @@ m AS (SELECT r, date_trunc('milliseconds', (SELECT max(top) FROM x y WHERE y.r <
 l AS MATERIALIZED (SELECT client_id, ts, r, coalesce(ts + INTERVAL '30 minutes' <= mark, false) AS late FROM c JOIN m USING (r))
 """
 
+def _ranges() -> str:
+    """Sessions range by range, as a run has them: those of before that were still open and the clicks that are not late make new ones, of which those that the watermark has passed are final (done); a later click starts another session beside them, however near."""
+    steps = []
+    for r in range(RANGES):
+        held = f" UNION ALL SELECT client_id, s, e, n FROM t{r - 1} WHERE NOT done" if r else ""
+        done = f"coalesce(max(e) + INTERVAL '30 minutes' <= (SELECT date_trunc('milliseconds', max(top)) - INTERVAL '10 minutes' FROM x WHERE r <= {r}), false)" if r < RANGES - 1 else "true"
+        steps.append(f"""
+a{r} AS (SELECT client_id, ts AS s, ts AS e, 1 AS n FROM l WHERE r = {r} AND NOT late AND ts IS NOT NULL{held}),
+b{r} AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY client_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM a{r}),
+g{r} AS (SELECT *, sum(opens) OVER (PARTITION BY client_id ORDER BY s, e) AS g FROM b{r}),
+t{r} AS MATERIALIZED (SELECT client_id, min(s) AS s, max(e) AS e, sum(n) AS n, {done} AS done FROM g{r} GROUP BY client_id, g)""")
+    return ",".join(steps)
+
+
+_WRITTEN = " UNION ALL ".join(f"SELECT * FROM t{r} WHERE done" for r in range(RANGES))
+
 SQL = {
     "asof_events_orders": """
 SELECT event_id, e.user_id AS user_id, ts, o_orderdate, o_orderkey, o_orderstatus FROM events e ASOF LEFT JOIN
@@ -122,8 +138,8 @@ SELECT click_id, c.client_id AS client_id, ts, valid_at, change_id, op, segment,
 SELECT click_id, c.client_id AS client_id, ts, sold_at, sale_id FROM clicks c ASOF JOIN
 (SELECT * FROM sales QUALIFY row_number() OVER (PARTITION BY client_id, sold_at ORDER BY sale_id DESC) = 1) s ON c.client_id = s.client_id AND c.ts < s.sold_at WHERE sold_at - ts <= INTERVAL '6 hours'""",
     "click_sessions": f"WITH {_SESSIONS} SELECT client_id, started, ended, n FROM s",
-    "stream_click_sessions": f"WITH {_ARRIVED}, {_SESSIONS.replace('FROM clicks WHERE', 'FROM l WHERE NOT late AND')} SELECT client_id, started, ended, n FROM s",
-    "stream_late_clicks": f"WITH {_ARRIVED} SELECT CAST(r AS INTEGER) AS run, count(*) AS n, count(*) FILTER (late) AS late FROM l GROUP BY r",
+    "stream_click_sessions": f"WITH {_ARRIVED}, {_ranges()} SELECT client_id, epoch_us(s) AS started, epoch_us(e) AS ended, CAST(n AS BIGINT) AS n FROM ({_WRITTEN})",
+    "stream_late_clicks": f"WITH {_ARRIVED} SELECT CAST(k AS INTEGER) AS run, count(r) AS n, count(*) FILTER (late) AS late FROM range({RANGES}) q(k) LEFT JOIN l ON r = k GROUP BY k",
     "interval_sessions_sales": f"""
 WITH {_SESSIONS}, b AS (SELECT client_id, sale_id, epoch_us(sold_at) AS sold FROM sales)
 SELECT s.client_id AS client_id, started, sale_id, sold FROM s JOIN b ON s.client_id = b.client_id AND started < sold + {GAP} AND sold < ended + {GAP}""",
