@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import native
 
-#: Queries of a block that search_many broadcasts at once.
-QUERIES = 1024
+#: Queries of a block and vectors of a part that search_many compares as a tile; vectors at once, and what a matrix product may be off.
+QUERIES, PART, AT_ONCE, NEAR = 1024, 16_384, 2048, 1e-9
 
 
 def _check(query: list[float], k: int) -> list[float]:
@@ -60,23 +63,68 @@ def lookup(hits: DataFrame, chunks: DataFrame, hit_key: str = "chunk_id", key: s
     return chunks.join(F.broadcast(hits), chunks[key] == hits[hit_key])
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", order: str = "ingest_seq") -> DataFrame:
-    """The k best vectors for each query (query_id, query): query_id, rank and the vectors' columns.
+def _tile(some: pa.Table, ask: pa.Table, k: int, vector: str, order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ask, row of some, score) of the k best of a tile for each of its queries.
 
-    Any number of queries, in blocks of QUERIES; each row is scored against all
-    of a block where it lies, and the window keeps k a query before the shuffle.
+    A matrix product tells which rows can be among them; their scores are summed
+    anew in the order of the dimensions, so that equal vectors tie wherever they lie.
+    """
+    v, q = (t.column(c).combine_chunks().cast(pa.list_(pa.float64())) for t, c in ((some, vector), (ask, "_query")))
+    sizes = {*pc.unique(pc.list_value_length(v)).to_pylist(), *pc.unique(pc.list_value_length(q)).to_pylist()}
+    if len(sizes) > 1:
+        raise ValueError(f"queries and vectors are of several dimensions: {sorted(sizes)}")
+    v, q = (np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)) for x in (v, q))
+    size, place = some.column("_norm").to_numpy(), np.empty(len(v), np.int64)
+    place[pc.sort_indices(some.select([order]), [(order, "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(v))
+    parts = []
+    for i in range(0, len(v), AT_ONCE):
+        near = np.nan_to_num(q @ v[i : i + AT_ONCE].T / size[i : i + AT_ONCE], nan=np.inf)
+        least = np.partition(near, -k, axis=1)[:, -k] if k < near.shape[1] else np.full(len(q), -np.inf)
+        a, b = np.nonzero(near >= least[:, None] - NEAR)
+        b += i
+        score = np.zeros(len(a))
+        for d in range(q.shape[1]):
+            score += v[b, d] * q[a, d]
+        score /= size[b]
+        parts.append(_first(a, b, score, place, k))
+    return _first(*map(np.concatenate, zip(*parts, strict=True)), place, k)
+
+
+def _first(a: np.ndarray, b: np.ndarray, score: np.ndarray, place: np.ndarray, k: int):
+    """Of each a the k rows b of the greatest score, then the least place; NaN is greatest, as it is to Spark."""
+    at = np.lexsort((place[b], -np.nan_to_num(score, nan=np.inf), a))
+    a, b, score = a[at], b[at], score[at]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], score[keep]
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", order: str = "ingest_seq", with_vector: bool = True) -> DataFrame:
+    """The k best vectors for each query (query_id, query): query_id, rank and the vectors' columns, `vector` itself only if asked for.
+
+    Any number of queries. Blocks of about QUERIES of them meet parts of about
+    PART vectors in tiles, of which each keeps k rows a query; nothing but
+    numbers of rows reaches the driver. Unequal dimensions raise.
     """
     if k < 0:
         raise ValueError("top_k must not be negative")
-    q = queries.withColumn("query", native.l2_normalize("query")).where(native.norm("query") > 0)
-    n = native.norm(vector)
+    q = queries.select("query_id", native.l2_normalize("query").alias("_query"), native.norm("query").alias("_n")).where("_n > 0").drop("_n")
+    rows = vectors.withColumn("_norm", native.norm(vector)).where("_norm > 0")
+    n_blocks, n_parts = max(1, -(-q.count() // QUERIES)), max(1, -(-vectors.count() // PART))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = rows.withColumn("_part", deal(order, n_parts)).withColumn("_block", upto(n_blocks))
+    right = q.withColumn("_block", deal("query_id", n_blocks)).withColumn("_part", upto(n_parts))
+    names = [c for c in vectors.columns if c not in ("query_id", "score", "rank") and (with_vector or c != vector)]
+    schema = T.StructType([*(vectors.schema[c] for c in names), q.schema["query_id"], T.StructField("score", T.DoubleType())])
+
+    def compare(some: pa.Table, ask: pa.Table) -> pa.Table:
+        a = b = score = np.empty(0, np.int64)
+        if k and some.num_rows and ask.num_rows:
+            a, b, score = _tile(some, ask, k, vector, order)
+        own = some.select(names).take(pa.array(b))
+        return own.append_column("query_id", ask.column("query_id").take(pa.array(a))).append_column("score", pa.array(score, pa.float64()))
+
+    tile = ["_part", "_block"]
+    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(compare, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(order))
-    # blocks by hash of the id, of about QUERIES each; nothing but their number reaches the driver
-    n_blocks = max(1, -(-q.count() // QUERIES))
-    blocks = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i) for i in range(n_blocks)] if n_blocks > 1 else [q]
-    out = None
-    for block in blocks:
-        rows = vectors.where(n > 0).crossJoin(F.broadcast(block)).withColumn("score", native.dot(vector, "query") / n)
-        part = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("query")
-        out = part if out is None else out.union(part)
-    return out
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
