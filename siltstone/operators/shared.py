@@ -26,6 +26,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the Arrow batches that carry files and texts to Python, by rows and by bytes; they stay bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage; the copy is in the shared folder."""
     folder(df.sparkSession)

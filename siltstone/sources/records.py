@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import native
+from siltstone.operators.shared import bounded
 from siltstone.schemas import EXTRACTED
 from siltstone.sources import docx, pdf, xlsx, xml
 
@@ -59,6 +60,7 @@ def extract(files: DataFrame) -> DataFrame:
     A null content is a file that can't be read: an error record if its suffix
     is read, like all failures. Columns other than path and content are kept.
     """
+    bounded(files.sparkSession)
     suffix = native.suffix("path")
     rows = files.withColumn("suffix", suffix).withColumn("_route", route_error(F.col("suffix")))
     meta = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name != "format" else F.col("suffix").alias("format") for f in EXTRACTED["metadata"].dataType))
