@@ -1,11 +1,12 @@
 """Exact rolling medians and deviations (12): panes, runs, bisection of ranks.
 
 Rows are points (series, time, value). Equal points are counted once with a
-weight, in Spark, so a burst of one value at one time is one row. A series is
-cut by time into slices; a slice goes to a task with the points that its
-windows reach back to, so a hot series is many tasks and a window never needs
-another one. Where windows hold very many points, slices are parts of a window's
-length; of the slices that lie whole within all windows of a slice its task
+weight, in Spark, so a burst of one value at one time is one row. The stretches
+of a window's length of each series are counted, and by these counts a series is
+cut into slices of whole stretches and about equal numbers of points; a slice goes to
+a task with the points that its windows reach back to, so a hot series is many tasks and a window never needs
+another one. Where a stretch or the one before it holds very many points, slices are parts of
+it; of the slices that lie whole within all windows of a slice its task
 gets no points, but how often each value occurs in them.
 
 In a task, points in time order are cut into short panes, and each pane is
@@ -23,15 +24,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.ordering import number
 
-#: Points that a slice should hold, where a window holds fewer; the longest slice in windows.
-SLICE, LONGEST = 20_000, 720
-#: Points of a window, on the average, from which on slices are shorter than it; how many there are to a window at most.
+from .common import cut
+
+#: Points that a slice should hold, where a window holds fewer.
+SLICE = 8_000
+#: Points of a window's length from which on slices are shorter than it; how many there are to a window at most.
 DENSE, PARTS = 100_000, 64
+#: Rows about stretches up to which they are sent to all tasks; beyond that they meet the points by key.
+SENT = 200_000
 #: Entries of the table of positions that a step builds; windows that it selects for at once.
 TABLE, WINDOWS = 1 << 22, 2048
 #: Values of this size and more, and those that are no numbers, have no cents.
@@ -172,6 +177,36 @@ def medians(times: np.ndarray, values: np.ndarray, weights: np.ndarray, at: np.n
     return n, median, spread
 
 
+def dealt(points: DataFrame, series: str, time: str, value: str, reach: int) -> DataFrame:
+    """s, fine, slice, mine, t, v, w: the points that each slice needs for rolling(), `mine` where they lie in it, and, without t, weights of values that all its windows hold."""
+    rows = points.where(F.col(time).isNotNull()).select(F.col(series).alias("s"), F.col(time).alias("t"), F.col(value).alias("v"))
+    stretch = F.floor(F.col("t") / F.lit(reach)).cast("long")
+    cells = cut(rows.groupBy("s", stretch.alias("o")).agg(F.count("*").alias("m")))
+    most, count = cells.agg(F.coalesce(F.max("m"), F.lit(0)), F.count("*")).first()
+    parts = int(min(PARTS, most // DENSE + 1))
+    while reach % parts:  # the parts of a stretch are of equal length
+        parts -= 1
+    length = reach // parts
+    by = Window.partitionBy("s").orderBy("o")
+    next_to = lambda c, f, n: F.when(f("o").over(by) == F.col("o") + n, f(c).over(by))
+    cells = cells.select("*", F.floor((F.sum("m").over(by) - F.col("m")) / SLICE).cast("long").alias("k"), (F.lit(parts > 1) & (F.greatest("m", F.coalesce(next_to("m", F.lag, -1), F.lit(0))) > DENSE)).alias("fine"))
+    cells = cells.select(F.col("s").alias("_s"), "o", "k", "fine", next_to("k", F.lead, 1).alias("k1"), next_to("fine", F.lead, 1).alias("fine1"))
+    counted = rows.groupBy("s", "t", "v").agg(F.count("*").alias("w"))
+    counted = counted.join(F.broadcast(cells) if count <= SENT else cells, F.col("s").eqNullSafe(F.col("_s")) & (stretch == F.col("o")))
+    own = F.floor(F.col("t") / F.lit(length)).cast("long")
+    # the slice of a point, and that of the stretch, or part, after the windows' length, if there are windows
+    to = F.array(F.struct("fine", F.when(F.col("fine"), own).otherwise(F.col("k")).alias("slice"), F.lit(True).alias("mine")), F.struct(F.col("fine1").alias("fine"), F.when(F.col("fine1"), own + parts).otherwise(F.col("k1")).alias("slice"), F.lit(False).alias("mine")))
+    to = F.filter(to, lambda x: x["mine"] | (x["slice"].isNotNull() & ((x["fine"] != F.col("fine")) | (x["slice"] != F.col("k")) | F.col("fine"))))
+    out = counted.select("s", F.inline(to), "t", "v", "w")
+    if parts > 1:
+        # a window of a part begins in the part `parts` before it, and holds those between whole
+        between = counted.where(F.col("v").isNotNull() & (F.col("fine") | F.col("fine1"))).groupBy("s", "o", "fine", "fine1", own.alias("g"), "v").agg(F.sum("w").alias("w"))
+        after = F.filter(F.sequence(F.col("g") + 1, F.col("g") + parts - 1), lambda j: F.when(F.floor(j / F.lit(parts)) == F.col("o"), F.col("fine")).otherwise(F.coalesce("fine1", F.lit(False))))
+        between = between.select("s", F.explode(after).alias("slice"), "v", "w").groupBy("s", "slice", "v").agg(F.sum("w").alias("w"))
+        out = out.union(between.select("s", F.lit(True), "slice", F.lit(False), F.lit(None).cast("long"), "v", "w"))
+    return out
+
+
 def rolling(points: DataFrame, series: str, time: str, value: str, reach: int) -> DataFrame:
     """series, time, n, median2, spread4 for each distinct (series, time) of points.
 
@@ -182,28 +217,11 @@ def rolling(points: DataFrame, series: str, time: str, value: str, reach: int) -
     or twice the only middle one; spread4 the same of |2 * value - median2|;
     both are null where n < 2. Rows without time are left out. An empty table
     gives no rows. A task holds one slice of a series and a window before it,
-    each distinct (time, value) once; from DENSE points a window on, two slices
-    of a PARTS-th of a window and how often each value occurs in between.
+    each distinct (time, value) once: SLICE points, or as many as a window's length
+    holds, up to DENSE; where that holds more, two slices of a PARTS-th of it
+    and how often each value occurs in between.
     """
-    rows = points.where(F.col(time).isNotNull()).select(F.col(series).alias("s"), F.col(time).alias("t"), F.col(value).alias("v"))
-    # one row of statistics: how many points a window's length of a series holds
-    total = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct("s", F.floor(F.col("t") / reach))).alias("k")).first()
-    held = total["n"] / max(1, total["k"] or 0)
-    parts = int(min(PARTS, held // DENSE + 1))
-    while reach % parts:  # the slices of a window are of equal length
-        parts -= 1
-    length = reach * max(1, min(LONGEST, int(SLICE // max(1, held)))) if parts == 1 else reach // parts
-    counted = rows.groupBy("s", "t", "v").agg(F.count("*").alias("w"))
-    own = F.floor(F.col("t") / F.lit(length)).cast("long")
-    if parts == 1:
-        last = F.floor((F.col("t") + F.lit(reach - 1)) / F.lit(length)).cast("long")
-        dealt = counted.select("s", F.explode(F.sequence(own, last)).alias("slice"), "t", "v", "w")
-    else:
-        # a window of a slice begins in the slice `parts` before it, and holds those between whole
-        dealt = counted.select("s", F.explode(F.array(own, own + parts)).alias("slice"), "t", "v", "w")
-        between = counted.where(F.col("v").isNotNull()).groupBy("s", own.alias("o"), "v").agg(F.sum("w").alias("w"))
-        between = between.select("s", F.explode(F.sequence(F.col("o") + 1, F.col("o") + parts - 1)).alias("slice"), "v", "w").groupBy("s", "slice", "v").agg(F.sum("w").alias("w"))
-        dealt = dealt.union(between.select("s", "slice", F.lit(None).cast("long"), "v", "w"))
+    slices = dealt(points, series, time, value, reach)
     kind = points.schema[series].dataType
 
     def task(key, group):
@@ -215,12 +233,12 @@ def rolling(points: DataFrame, series: str, time: str, value: str, reach: int) -
         t = t[order]
         there = group.column("v").is_valid().to_numpy(zero_copy_only=False)[order]
         v, w = group.column("v").fill_null(0).to_numpy()[order], group.column("w").to_numpy()[order]
-        at = np.unique(t[t // length == key[1].as_py()])
+        at = np.unique(t[group.column("mine").to_numpy(zero_copy_only=False)[order]])
         n, median, spread = medians(t[there], v[there], w[there], at, reach, always)
         few = n < 2
         return pa.table([pa.repeat(key[0], len(at)), pa.array(at), pa.array(n), pa.array(median, mask=few), pa.array(spread, mask=few)], names=["s", "t", "n", "median2", "spread4"])
 
-    out = dealt.groupBy("s", "slice").applyInArrow(task, f"s {kind.simpleString()}, t long, n long, median2 long, spread4 long")
+    out = slices.groupBy("s", "fine", "slice").applyInArrow(task, f"s {kind.simpleString()}, t long, n long, median2 long, spread4 long")
     return out.select(F.col("s").alias(series), F.col("t").alias(time), "n", "median2", "spread4")
 
 
