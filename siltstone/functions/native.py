@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Java class of the 29 code points that Python's str.strip() removes (fixed values).
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What strip() leaves of a text that is not empty then.
+INK = WHITE.replace("[", "[^", 1)
 
 
 def strip(c: Column | str) -> Column:

@@ -21,32 +21,41 @@ BATCH = 32
 DIMENSION = 384
 
 
+#: By dimension, what HashProvider knows of words; it outlives a task, as Spark uses a worker again.
+_places: dict[int, dict[str, int]] = {}
+
+
 class HashProvider:
     """Words at ASCII spaces, lower-cased; md5 gives bucket (first 8 hex digits) and sign (the next digit)."""
 
-    #: Words whose place a worker keeps.
+    #: Words whose place a worker keeps: the first, as words that recur come early.
     KEPT = 200_000
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
-        self._known: dict[str, tuple[int, int]] = {}
+        #: Twice the bucket, and 1 more where the sign is negative.
+        self._known = _places.setdefault(dimension, {})
 
     def __getstate__(self):
-        return {"dimension": self.dimension, "_known": {}}
+        return {"dimension": self.dimension}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
 
-    def _place(self, word: str) -> tuple[int, int]:
+    def _place(self, word: str) -> int:
         h = hashlib.md5(word.encode()).digest()
-        return int.from_bytes(h[:4]) % self.dimension, 1 if h[4] < 128 else -1
+        return int.from_bytes(h[:4]) % self.dimension * 2 + (h[4] >= 128)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         words = [[w for w in t.lower().split(" ") if w] for t in texts]
-        new = {w for ws in words for w in ws} - self._known.keys()
-        if len(self._known) + len(new) > self.KEPT:
-            self._known, new = {}, {w for ws in words for w in ws}
-        self._known.update((w, self._place(w)) for w in new)
-        places = np.array([(i, *self._known[w]) for i, ws in enumerate(words) for w in ws], np.int64).reshape(-1, 3)
-        out = np.zeros((len(texts), self.dimension))
-        np.add.at(out, (places[:, 0], places[:, 1]), places[:, 2])
+        known = self._known
+        new = {w: self._place(w) for w in {w for ws in words for w in ws if w not in known}}
+        if len(known) + len(new) <= self.KEPT:
+            known.update(new)
+        n, places = self.dimension, [known[w] if w in known else new[w] for ws in words for w in ws]
+        at, sign = np.divmod(np.array(places, np.int64), 2)
+        cells = at + np.repeat(np.arange(len(texts)) * n, [len(ws) for ws in words])
+        out = np.bincount(cells, 1.0 - 2 * sign, len(texts) * n).reshape(len(texts), n)
         return l2(out)
 
 

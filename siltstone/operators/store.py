@@ -179,7 +179,8 @@ class VectorStore:
         not counted. created_at is that of this call.
         """
         rows = records.where(F.col("id").isNotNull() & F.col("text").isNotNull()).withColumn("bucket", bucket("id")).withColumn("ingest_seq", F.col("seq").cast("long"))
-        rows = rows.persist()  # both datasets and the count come of them
+        if not (held := records.is_cached):
+            rows = rows.persist()  # both datasets and the count come of them
         whole = rows.where(F.col("embedding").isNotNull())
         vectors = whole.select(F.col("id").alias("chunk_id"), "embedding", "dimension", F.lit("float16").alias("dtype"), "norm", "ingest_seq", "bucket")
         chunks = rows.select("id", "text", "metadata", F.current_timestamp().alias("created_at"), "ingest_seq", "bucket")
@@ -193,7 +194,8 @@ class VectorStore:
             else:
                 self.open()
         finally:
-            rows.unpersist()
+            if not held:
+                rows.unpersist()
         return stored
 
     def _commit(self, entry: dict) -> int:

@@ -43,7 +43,7 @@ class Config:
 
 def failures(extracted: DataFrame) -> DataFrame:
     """extracted with `failure`: why a file yields no chunks; null if it does."""
-    blank = native.strip(F.coalesce("text", F.lit(""))) == ""
+    blank = ~F.coalesce("text", F.lit("")).rlike(native.INK)
     return extracted.withColumn("failure", F.when(F.col("error").isNotNull(), F.concat(F.lit("Extraction error: "), F.col("error"))).when(blank, "No text content extracted from document"))
 
 
@@ -51,13 +51,17 @@ def chunk_rows(good: DataFrame, config: Config) -> DataFrame:
     """A row for each chunk of files (path, filename, stem, text, page_count, seq): id, text, metadata, seq."""
     rows = config.splitter().documents(good, metadata=F.lit(None))
     name = F.concat_ws("_", "stem", F.substring(F.sha2("path", 256), 1, 16)) if config.unique_ids else F.col("stem")
-    meta = F.struct(F.col("path").alias("source"), "filename", "chunk_index", "total_chunks", token_length("content", config.tokens).alias("token_count"), "page_count")
+    # a chunk's size is its count of tokens, unless the caller counts something else
+    tokens = F.col("chunk_size") if config.length is None else token_length("content", config.tokens)
+    meta = F.struct(F.col("path").alias("source"), "filename", "chunk_index", "total_chunks", tokens.alias("token_count"), "page_count")
     return rows.select("path", native.chunk_id(name, F.col("chunk_index")).alias("id"), F.col("content").alias("text"), meta.alias("metadata"), (F.col("seq").cast("long") * F.lit(1 << 24).cast("long") + F.col("chunk_index")).alias("seq"))
 
 
 def results(files: DataFrame, embedded: DataFrame, seconds: float, memory_mb: float) -> DataFrame:
     """Result rows (see schemas.RESULT) in input order, with seq. Times are the run's, dealt to files that have chunks."""
-    per = embedded.groupBy(F.col("path").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("ids"), F.count("embedding").alias("stored"), F.avg(F.col("batch_ms") / F.col("batch_size")).alias("ms"))
+    # dealt by file first: lists gathered before that would be as many as there are chunks, as these lie spread
+    own = embedded.select(F.col("path").alias("_p"), "seq", "id", F.col("embedding").isNotNull().alias("there"), (F.col("batch_ms") / F.col("batch_size")).alias("ms")).repartition("_p")
+    per = own.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("ids"), F.count_if("there").alias("stored"), F.avg("ms").alias("ms"))
     done = files.join(per, F.col("path") == F.col("_p"), "left")
     n, ok = F.coalesce(F.size("ids"), F.lit(0)), F.col("failure").isNull() & F.col("_p").isNotNull()
     error = F.coalesce("failure", F.when(F.col("_p").isNull(), F.lit("No chunks created from text")))
