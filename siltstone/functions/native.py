@@ -67,8 +67,9 @@ def norm(v: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    # the norm is an element of its own, as what stands in a lambda is computed for each of its elements
+    v = F.col(v) if isinstance(v, str) else v
+    return F.element_at(F.transform(F.array(F.greatest(norm(v), F.lit(1e-12))), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

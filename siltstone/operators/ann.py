@@ -9,8 +9,10 @@ best of these by the vectors themselves. How many lists are looked into is
 calibrated when the index is built: exact neighbours of sampled vectors say how
 far down the order of lists they lie.
 
-Any number of queries is one plan. A list and the queries that probe it meet in
-tiles of bounded size, so neither a crowded list nor a popular one is one task.
+Any number of queries is one plan. Parts of all lists meet blocks of queries in
+tiles of bounded size, so neither a crowded list nor a popular one is one task;
+a tile goes through its lists and keeps the best of each query, not of each
+query and list.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from siltstone.operators.shared import cut
 
 #: Lists at most; sampled vectors that k-means starts from, and that calibrate the probes.
 LISTS, SAMPLE, TRIALS = 4096, 32_768, 256
-#: Vectors and queries of a tile; vectors that are compared at once.
-PART, QUERIES, AT_ONCE = 16_384, 1024, 4096
+#: Vectors of a file of the index; bytes of codes and queries of a tile; vectors, and queries, that are compared at once.
+PART, CODES, QUERIES, AT_ONCE, ASKED = 16_384, 1 << 24, 8192, 4096, 1024
 
 _ROWS = "id long, code binary, list int"
 
@@ -169,7 +171,7 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "emb
     n, dimension = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         raise ValueError("an index needs a vector at least")
-    rows = unit(vectors, key, vector, dimension)
+    rows = cut(unit(vectors, key, vector, dimension))  # gone through some ten times
     some = _matrix(_sample(rows, n, SAMPLE).select("v").toArrow().column("v").combine_chunks(), dimension)
     count = min(lists or LISTS, max(1, round(n**0.5)) if lists is None else lists, LISTS, len(some))
     centres = some[np.linspace(0, len(some) - 1, count).astype(int)]
@@ -194,7 +196,8 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "emb
     coded = rows.mapInArrow(encode, _ROWS)
     # a crowded list is written by some tasks, of about PART rows each
     spread = max(1, -(-n // (PART * 8)))
-    coded.repartition("list", F.pmod(F.xxhash64("id"), F.lit(spread))).write.partitionBy("list").parquet(f"{path}/rows")
+    tasks = max(spread, spark.sparkContext.defaultParallelism)
+    coded.repartition(tasks, "list", F.pmod(F.xxhash64("id"), F.lit(spread))).write.partitionBy("list").parquet(f"{path}/rows")
     # how far down the order of lists the exact neighbours of sampled vectors lie
     trial = some[: min(TRIALS, len(some))]
     near = exact(rows, trial, k).select("query", "v").toArrow()
@@ -205,6 +208,46 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "emb
     return VectorIndex(spark, path, centres, step.astype(np.float32), probes).save()
 
 
+def _ranked(q: np.ndarray, own: np.ndarray, code: np.ndarray, centres: np.ndarray, step: np.ndarray, probes: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of code, nearness) of the `depth` nearest codes to each query in the lists it looks into. own: the codes' lists, ascending."""
+    looks = np.zeros((len(q), len(centres)), bool)
+    np.put_along_axis(looks, _best(q @ centres.T, probes), True, 1)
+    held, more, waiting = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))], [], 0
+    least = np.full(len(q), -np.inf, np.float32)
+
+    def best() -> None:
+        """Of what is held and waits, the best of each query, and what others must reach from now on."""
+        nonlocal held, more, waiting
+        a, b, near = map(np.concatenate, zip(*held, *more, strict=True))
+        at = np.lexsort((-near, a))
+        a, b, near = a[at], b[at], near[at]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        full = rank == depth - 1
+        least[a[full]] = near[full]
+        keep = rank < depth
+        held, more, waiting = [(a[keep], b[keep], near[keep])], [], 0
+
+    for i in range(0, len(code), AT_ONCE):
+        lists = own[i : i + AT_ONCE]
+        some = np.flatnonzero(looks[:, np.unique(lists)].any(1))
+        if not len(some):
+            continue
+        near = q[some] @ (centres[lists] + code[i : i + AT_ONCE] * step).T
+        low = least[some]
+        if (new := np.isneginf(low)).any() and depth < near.shape[1]:
+            # nothing to reach yet: the slice's own best say what is worth keeping
+            low[new] = np.partition(np.where(looks[np.ix_(some[new], lists)], near[new], -np.inf), -depth, axis=1)[:, -depth]
+        x, y = np.nonzero(near >= low[:, None])
+        seen = looks[some[x], lists[y]]
+        x, y = x[seen], y[seen]
+        more.append((some[x], i + y, near[x, y]))
+        waiting += len(x)
+        if waiting > len(q) * depth:
+            best()
+    best()
+    return held[0]
+
+
 def search(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", probes: int | None = None, depth: int | None = None) -> DataFrame:
     """query_id, rank, id, score: about the k nearest vectors to each row of queries (query_id, query), best first, ties by id.
 
@@ -223,34 +266,35 @@ def search(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int =
         centres, _ = sent.value
         for batch in batches:
             q = _matrix(batch.column("v"), dimension)
-            top = _best(q @ centres.T, probes) if len(q) else np.empty((0, probes), int)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(list(top.astype(np.int32)), pa.list_(pa.int32()))], ["id", "v", "lists"])
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_best(q @ centres.T, probes)).astype(np.int32))], ["list"])
 
-    asked = cut(unit(queries, "query_id", "query", dimension).mapInArrow(probe, "id long, v array<float>, lists array<int>"))
-    asked_of = asked.select("id", "v", F.explode("lists").alias("list"))
+    asked = cut(unit(queries, "query_id", "query", dimension))
     rows = index.rows()
-    # two numbers a list, LISTS rows at most
-    crowd = cut(rows.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(asked_of.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")), "list"))
-    if crowd.count() < count:
-        rows = rows.where(F.col("list").isin([r[0] for r in crowd.select("list").collect()]))
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tile = ["list", "part", "block"]
-    left = rows.join(F.broadcast(crowd), "list").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("block", upto("blocks")).select(*tile, "id", "code")
-    right = asked_of.join(F.broadcast(crowd), "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("part", upto("parts")).select(*tile, "id", "v")
+    # LISTS numbers at most
+    lists = [r[0] for r in asked.mapInArrow(probe, "list int").distinct().collect()]
+    if len(lists) < count:
+        rows = rows.where(F.col("list").isin(lists))
+    n, blocks, cores = rows.count(), max(1, -(-asked.count() // QUERIES)), spark.sparkContext.defaultParallelism
+    # a tile for each core, if that leaves some vectors to each
+    parts = max(1, -(-n * dimension // CODES), min(-(-cores // blocks), n // AT_ONCE))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    tile = ["part", "block"]
+    left = rows.withColumn("part", deal(parts)).withColumn("block", upto(blocks))
+    right = asked.withColumn("block", deal(blocks)).withColumn("part", upto(parts))
 
     def compare(some: pa.Table, ask: pa.Table) -> pa.Table:
-        out = {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())}
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
         if some.num_rows and ask.num_rows:
             centres, step = sent.value
-            q, code = _matrix(ask.column("v").combine_chunks(), dimension), np.frombuffer(b"".join(some.column("code").to_pylist()), np.int8).reshape(-1, dimension)
-            ids, asks, parts = some.column("id").to_numpy(), ask.column("id").to_numpy(), []
-            base = q @ centres[some.column("list")[0].as_py()]
-            for i in range(0, len(code), AT_ONCE):
-                near = (q * step) @ code[i : i + AT_ONCE].astype(np.float32).T + base[:, None]
-                top = _best(near, depth)
-                parts.append((np.repeat(asks, top.shape[1]), ids[i + top].ravel(), np.take_along_axis(near, top, 1).ravel()))
-            out = dict(zip(out, (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)), strict=True))
-        return pa.table(out)
+            some = some.sort_by("list")
+            own, code = some.column("list").to_numpy(), np.frombuffer(b"".join(some.column("code").to_pylist()), np.int8).reshape(-1, dimension)
+            q, ids, asks = _matrix(ask.column("v").combine_chunks(), dimension), some.column("id").to_numpy(), ask.column("id").to_numpy()
+            for j in range(0, len(q), ASKED):
+                a, b, near = _ranked(q[j : j + ASKED], own, code, centres, step, probes, depth)
+                found.append((asks[j + a], ids[b], near))
+        return pa.table(dict(zip(("query_id", "id", "near"), (pa.array(np.concatenate(x)) for x in zip(*found, strict=True)), strict=True)))
 
     found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(compare, "query_id long, id long, near float")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")

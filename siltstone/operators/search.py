@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from siltstone.functions import native
 
-#: Queries of a block and vectors of a part that search_many compares as a tile; vectors at once, and what a matrix product may be off.
-QUERIES, PART, AT_ONCE, NEAR = 1024, 16_384, 2048, 1e-9
+#: Queries of a block and numbers in the vectors of a part that search_many compares as a tile; queries and vectors at once, and what a matrix product may be off.
+QUERIES, PART, AT_ONCE, NEAR = 8192, 1 << 22, 1024, 1e-9
 
 
 def _check(query: list[float], k: int) -> list[float]:
@@ -76,18 +76,33 @@ def _tile(some: pa.Table, ask: pa.Table, k: int, vector: str, order: str) -> tup
     v, q = (np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)) for x in (v, q))
     size, place = some.column("_norm").to_numpy(), np.empty(len(v), np.int64)
     place[pc.sort_indices(some.select([order]), [(order, "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(v))
-    parts = []
+    parts = [_some(v, q[j : j + AT_ONCE], size, place, k, j) for j in range(0, len(q), AT_ONCE)]
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _some(v: np.ndarray, q: np.ndarray, size: np.ndarray, place: np.ndarray, k: int, start: int):
+    """_tile for some of its queries, from `start` on. The k best so far say what the next vectors must reach."""
+    a = b = np.empty(0, np.int64)
+    score, least = np.empty(0), np.full(len(q), -np.inf)
     for i in range(0, len(v), AT_ONCE):
-        near = np.nan_to_num(q @ v[i : i + AT_ONCE].T / size[i : i + AT_ONCE], nan=np.inf)
-        least = np.partition(near, -k, axis=1)[:, -k] if k < near.shape[1] else np.full(len(q), -np.inf)
-        a, b = np.nonzero(near >= least[:, None] - NEAR)
-        b += i
-        score = np.zeros(len(a))
+        near = q @ v[i : i + AT_ONCE].T
+        near /= size[i : i + AT_ONCE]
+        np.copyto(near, np.inf, where=np.isnan(near))
+        if k < near.shape[1] and i == 0:
+            least = np.partition(near, -k, axis=1)[:, -k]
+        x, y = np.nonzero(near >= least[:, None] - NEAR)
+        if not len(x):
+            continue
+        y += i
+        s = np.zeros(len(x))
         for d in range(q.shape[1]):
-            score += v[b, d] * q[a, d]
-        score /= size[b]
-        parts.append(_first(a, b, score, place, k))
-    return _first(*map(np.concatenate, zip(*parts, strict=True)), place, k)
+            s += v[y, d] * q[x, d]
+        s /= size[y]
+        a, b, score = _first(*map(np.concatenate, ((a, x), (b, y), (score, s))), place, k)
+        held = np.bincount(a, minlength=len(q))
+        last = np.nan_to_num(score[np.cumsum(held) - 1], nan=np.inf) if len(a) else score
+        least = np.where(held == k, last, -np.inf)
+    return a + start, b, score
 
 
 def _first(a: np.ndarray, b: np.ndarray, score: np.ndarray, place: np.ndarray, k: int):
@@ -101,15 +116,18 @@ def _first(a: np.ndarray, b: np.ndarray, score: np.ndarray, place: np.ndarray, k
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", order: str = "ingest_seq", with_vector: bool = True) -> DataFrame:
     """The k best vectors for each query (query_id, query): query_id, rank and the vectors' columns, `vector` itself only if asked for.
 
-    Any number of queries. Blocks of about QUERIES of them meet parts of about
-    PART vectors in tiles, of which each keeps k rows a query; nothing but
-    numbers of rows reaches the driver. Unequal dimensions raise.
+    Any number of queries. Blocks of about QUERIES of them meet parts of vectors
+    of about PART numbers in tiles, of which each keeps k rows a query; nothing
+    but numbers of rows reaches the driver. Unequal dimensions raise.
     """
     if k < 0:
         raise ValueError("top_k must not be negative")
     q = queries.select("query_id", native.l2_normalize("query").alias("_query"), native.norm("query").alias("_n")).where("_n > 0").drop("_n")
     rows = vectors.withColumn("_norm", native.norm(vector)).where("_norm > 0")
-    n_blocks, n_parts = max(1, -(-q.count() // QUERIES)), max(1, -(-vectors.count() // PART))
+    n, numbers = vectors.agg(F.count("*"), F.coalesce(F.sum(F.size(vector).cast("long")), F.lit(0))).first()
+    n_blocks, cores = max(1, -(-q.count() // QUERIES)), vectors.sparkSession.sparkContext.defaultParallelism
+    # a tile for each core, if that leaves some vectors to each
+    n_parts = max(1, -(-numbers // PART), min(-(-cores // n_blocks), n // AT_ONCE))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = rows.withColumn("_part", deal(order, n_parts)).withColumn("_block", upto(n_blocks))
