@@ -120,7 +120,7 @@ WHEN '.pdf' THEN NULL WHEN '.docx' THEN NULL WHEN '.xlsx' THEN NULL WHEN '.xml'
     "orphan_chunks": f"SELECT id, max_by(text, seq) AS text FROM {_STORED} GROUP BY id HAVING count(*) FILTER (seq % 5 <> 0) = 0",
     "stored_chunks": f"SELECT id, max_by(text, seq) AS text, id AS filename FROM {_STORED} GROUP BY id",
     "clear_store": "SELECT CAST(0 AS BIGINT) AS chunk_count, CAST(0 AS BIGINT) AS vector_count",
-    "ingest_failures": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Extraction error: Extraction failed: no ' || doc_id WHEN doc_id % 7 = 0 THEN 'No text content extracted from document' END AS failure FROM documents",
+    "ingest_failures": f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Extraction error: Extraction failed: no ' || doc_id WHEN doc_id % 7 = 0 OR coalesce({_STRIP.format(x='text')}, '') = '' THEN 'No text content extracted from document' END AS failure FROM documents",
     "ingest_turns": _TURNS + "SELECT '/in/c' || conv_id || '-' || turn || '.docx' AS file, CAST(count(content) AS INTEGER) AS total_chunks, CAST(count(content) AS INTEGER) AS vectors_stored, coalesce(string_agg('c' || conv_id || '-' || turn || '_' || lpad(CAST(chunk_index AS VARCHAR), 4, '0'), ',' ORDER BY chunk_index), '') AS chunk_ids, CASE WHEN count(content) = 0 THEN 'No text content extracted from document' ELSE '' END AS errors FROM conversations LEFT JOIN n USING (conv_id, turn) GROUP BY conv_id, turn",
     "ingest_processed": _TURNS + "SELECT count(*) AS processed FROM (SELECT DISTINCT conv_id, turn FROM n)",
     "embed_search_e2e": f"""WITH v AS (SELECT id, max_by(text, seq) FILTER (seq % 5 <> 0) AS vtext, max(seq) FILTER (seq % 5 <> 0) AS vseq, max_by(text, seq) AS text FROM {_STORED} GROUP BY id),
